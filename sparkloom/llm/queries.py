@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import media, mixing
-from sparkloom.llm.common import table
+from sparkloom.llm import langid, licenses, media, mixing, quality
+from sparkloom.llm.common import held_out, table
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.with_fold(langid.predict(docs, langid.fit(langid.teaching(docs))))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +26,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    teaching = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = quality.score(docs, quality.fit(docs, teaching))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {"op8_media": op8_media, "op9_mixing": op9_mixing}
+    return {
+        "op1_langid": op1_langid,
+        "op7_licenses": op7_licenses,
+        "op8_media": op8_media,
+        "op9_mixing": op9_mixing,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracles() -> dict[str, str]:
