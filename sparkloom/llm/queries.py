@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import embeddings, langid, licenses, media, mixing, quality
+from sparkloom.llm import embeddings, langid, licenses, media, mixing, near_dedup, quality
 from sparkloom.llm.common import held_out, table
 
 
@@ -14,6 +14,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_fold(langid.predict(docs, langid.fit(langid.teaching(docs))))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), length=4)
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +44,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_langid": op1_langid,
+        "op2_near_dedup": op2_near_dedup,
         "op4_embeddings": op4_embeddings,
         "op7_licenses": op7_licenses,
         "op8_media": op8_media,
@@ -49,4 +54,8 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_embeddings": embeddings.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {
+        "op2_near_dedup": near_dedup.ORACLE,
+        "op4_embeddings": embeddings.ORACLE,
+        "op9_mixing": mixing.ORACLE,
+    }
