@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import embeddings, langid, licenses, media, mixing, near_dedup, quality
+from sparkloom.llm import embeddings, langid, licenses, media, mixing, near_dedup, quality, substrings
 from sparkloom.llm.common import held_out, table
 
 
@@ -18,6 +18,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), length=4)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ def queries() -> dict:
     return {
         "op1_langid": op1_langid,
         "op2_near_dedup": op2_near_dedup,
+        "op3_substrings": op3_substrings,
         "op4_embeddings": op4_embeddings,
         "op7_licenses": op7_licenses,
         "op8_media": op8_media,
@@ -56,6 +61,7 @@ def queries() -> dict:
 def oracles() -> dict[str, str]:
     return {
         "op2_near_dedup": near_dedup.ORACLE,
+        "op3_substrings": substrings.ORACLE,
         "op4_embeddings": embeddings.ORACLE,
         "op9_mixing": mixing.ORACLE,
     }
