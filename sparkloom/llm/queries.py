@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import embeddings, langid, licenses, media, mixing, near_dedup, quality, substrings
+from sparkloom.llm import embeddings, langid, licenses, lines, media, mixing, near_dedup, quality, substrings
 from sparkloom.llm.common import held_out, table
 
 
@@ -26,6 +26,12 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    return found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", kept)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -51,6 +57,7 @@ def queries() -> dict:
         "op2_near_dedup": op2_near_dedup,
         "op3_substrings": op3_substrings,
         "op4_embeddings": op4_embeddings,
+        "op6_line_dedup": op6_line_dedup,
         "op7_licenses": op7_licenses,
         "op8_media": op8_media,
         "op9_mixing": op9_mixing,
