@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import embeddings, langid, licenses, lines, media, mixing, near_dedup, quality, substrings
+from sparkloom.llm import embeddings, langid, licenses, lines, media, mixing, near_dedup, packing, quality, substrings
 from sparkloom.llm.common import held_out, table
 
 
@@ -26,6 +26,10 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
@@ -57,6 +61,7 @@ def queries() -> dict:
         "op2_near_dedup": op2_near_dedup,
         "op3_substrings": op3_substrings,
         "op4_embeddings": op4_embeddings,
+        "op5_packing": op5_packing,
         "op6_line_dedup": op6_line_dedup,
         "op7_licenses": op7_licenses,
         "op8_media": op8_media,
