@@ -52,11 +52,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
         .withColumn("left_weight", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("level", F.col("left_words") / F.col("left_weight"))
     )
-    level = F.min(F.when(F.col("stop_per_weight") > F.col("level"), F.col("level"))).over(every)
+    # Levels fall from the first place that isn't stopped on, where the true one stands.
+    level = F.max(F.when(F.col("stop_per_weight") > F.col("level"), F.col("level"))).over(every)
     return stops.withColumn("common", level).select(
         "source_key",
         "source_size",
-        F.when(F.col("common").isNull() | (F.col("stop_per_weight") <= F.col("level")), F.col("stop").cast("double"))
+        F.when(F.col("common").isNull() | (F.col("stop_per_weight") <= F.col("common")), F.col("stop").cast("double"))
         .otherwise(F.col("weight") * F.col("common"))
         .alias("target"),
     )
@@ -133,8 +134,8 @@ levels AS (
   SELECT *, (wanted - coalesce(sum(stop) OVER w, 0)::DOUBLE) / (all_weight - coalesce(sum(weight) OVER w, 0))::DOUBLE AS level
   FROM stops WINDOW w AS (ORDER BY stop_per_weight, source_key NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 share AS (
-  SELECT source_key, source_size, CASE WHEN common IS NULL OR stop_per_weight <= level THEN stop::DOUBLE ELSE weight * common END AS target
-  FROM (SELECT *, min(CASE WHEN stop_per_weight > level THEN level END) OVER () AS common FROM levels)),
+  SELECT source_key, source_size, CASE WHEN common IS NULL OR stop_per_weight <= common THEN stop::DOUBLE ELSE weight * common END AS target
+  FROM (SELECT *, max(CASE WHEN stop_per_weight > level THEN level END) OVER () AS common FROM levels)),
 placed AS (
   SELECT s.doc_id, s.size, h.source_size, h.target, s.source_key,
          CASE WHEN h.source_size > 0 THEN floor(h.target / h.source_size)::BIGINT ELSE 0 END AS whole,
