@@ -66,7 +66,7 @@ def payload_hash(payload: Column) -> Column:
 def string_list(value: Column) -> Column:
     """A JSON array's strings, else the parts between commas; trimmed, without empty ones."""
     parts = F.coalesce(F.from_json(value, "array<string>"), F.split(value, ","))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def category_tokens(value: Column) -> Column:
