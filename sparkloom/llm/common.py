@@ -43,7 +43,15 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables of ``stored`` that no later plan reads."""
+    for frame in frames:
+        _delete(frame.sparkSession, frame._stored_at)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -54,6 +62,17 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def bounded_sample(frame: DataFrame, keys: list[str], size: int, seed: str) -> DataFrame:
+    """The ``size`` rows of smallest seeded hash of ``keys``.
+
+    A threshold on the hash, with room for chance, comes first: so all tasks together offer the driver's
+    merge about twice ``size`` rows, and not ``size`` each."""
+    draw = F.xxhash64(F.lit(seed), *keys)
+    share = 2 * (size + 100) / max(1, frame.count())
+    near = frame if share >= 1 else frame.where(draw < F.lit(int(-(2**63) + share * 2**64)))
+    return near.orderBy(draw, *keys).limit(size)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the Arrow batches of later Python stages by rows, and by bytes where Spark can."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,17 +1,20 @@
 """Near-duplicate documents by an inverted join of MinHash signature coordinates.
 
 1. Documents with equal shingle sets are one class; only classes go on, so exact copies cost nothing.
-2. A signature has ``COORDINATES`` minima. A link at the threshold agrees in about 4 of 5 coordinates;
-   pairs with fewer than ``MATCHES`` agreeing ones can't be links but for a chance under 1e-6.
+2. A signature has ``COORDINATES`` minima. A link at the threshold agrees in about 4 of 5 of them;
+   pairs with fewer than ``MATCHES`` agreeing ones can't be links but for a chance of a few in a million.
 3. A class is posted under coordinate-value pairs. Those are put in one global order, rare ones first (by
    counts in a bounded sample; any global order is right, rare first is short), and only the first
    ``COORDINATES - MATCHES + 1`` are posted: two signatures agreeing in ``MATCHES`` places share one of them.
-4. Each posting list is merged in order of set size. Members whose sizes can't reach the threshold are
-   skipped, and a member meets its ``WINDOW`` nearest smaller ones only: work is linear in postings.
+4. Posting lists are merged in order of size classes. Members whose sizes can't reach the threshold are
+   skipped. A list of up to ``SHORT`` members says all its pairs; a longer one only neighbours in a random
+   order of its own, so that work is linear in postings.
 5. The pairs' agreeing coordinates are counted over whole signatures; those above the match threshold
    are confirmed on full sets, best pairs first, and confirmed links are united.
-6. Pairs across what is united by then and farther apart than the window in a list are tried last, so
-   no link between components is lost; lists that are one component by then give none.
+6. Of short lists, pairs across what is united by then are confirmed next. Long lists that are not one
+   component by then are settled whole: their members' full sets meet in blocks, where intersections are
+   counted by merging the sets' own posting lists, and only a forest of the links leaves a block. Thus no link
+   between components is lost, and no pairs of a large group are listed.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing; repeated rows
 are one document; ties of size go by id; an empty table gives no rows; extra columns are ignored.
@@ -19,20 +22,24 @@ are one document; ties of size go by id; an empty table gives no rows; extra col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import as_bytes, map_batches, small_batches, stored
-from sparkloom.llm.components import components
+from sparkloom.llm.common import as_bytes, bounded_sample, discard, map_batches, small_batches, stored
+from sparkloom.llm.components import Forest, components
 from sparkloom.llm.shingles import mixed, set_digest, shingle_set
 
-COORDINATES = 64
-MATCHES = 34
-WINDOW = 8
+COORDINATES = 128
+MATCHES = 82
+SHORT = 9
+#: Shingles of one side of a block of a long list.
+BLOCK_SHINGLES = 1_000_000
 #: Signatures whose coordinate values are counted for the global order.
 ORDER_SAMPLE = 20_000
 #: Best partners of a class that are confirmed first.
@@ -84,7 +91,7 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
     """(token, class_id, n): the rarest coordinate-value pairs of each class that any match must share."""
     spark = classes.sparkSession
     kind = classes.schema["class_id"].dataType.simpleString()
-    drawn = classes.orderBy(F.xxhash64(F.lit("order"), "class_id")).limit(ORDER_SAMPLE).select("signature").collect()
+    drawn = bounded_sample(classes.select("class_id", "signature"), ["class_id"], ORDER_SAMPLE, "order").select("signature").collect()
     frequent, times = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     if drawn:
         frequent, times = np.unique(_tokens(np.frombuffer(b"".join(r[0] for r in drawn), np.uint32).reshape(-1, COORDINATES)), return_counts=True)
@@ -107,55 +114,81 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
     return map_batches(classes.select("class_id", "n", "signature"), work, f"token long, class_id {kind}, n long")
 
 
-def _merge(postings: DataFrame, percent: int, window: int) -> DataFrame:
-    """(a, b): pairs that stand near each other in a posting list and whose sizes allow the threshold; a pair can come twice."""
+def _merge(postings: DataFrame, percent: int, short: int) -> DataFrame:
+    """(a, b, of_short): all pairs of short lists, neighbours of long ones, if their sizes allow the threshold; a pair can come several times."""
     kind = postings.schema["class_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set = set()
-        last, near = None, []
+        token, held, tail = None, [], None  # held: the list so far while it is short; tail: its last member once it is long
+        found: list = []
+
+        def say(x: tuple, y: tuple, of_short: bool) -> None:
+            if 100 * min(x[1], y[1]) >= percent * max(x[1], y[1]) and x[0] != y[0]:
+                pair = (min(x[0], y[0]), max(x[0], y[0]), of_short)
+                if pair not in said:
+                    said.add(pair)
+                    found.append(pair)
+
+        def close() -> None:
+            if tail is None:
+                for i, x in enumerate(held):
+                    for y in held[:i]:
+                        say(x, y, True)
+
+        def flush(of) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([*[pa.array([p[i] for p in found], of) for i in range(2)], pa.array([p[2] for p in found], pa.bool_())], names=["a", "b", "of_short"])
+            found.clear()
+            return out
+
+        of = None
         for batch in batches:
-            found = []
-            for token, own, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if token != last:
-                    last, near = token, []
-                for other, size in near:
-                    if 100 * size >= percent * n and other != own:
-                        pair = (other, own) if other < own else (own, other)
-                        if pair not in said:
-                            said.add(pair)
-                            found.append(pair)
-                near.append((own, n))
-                if len(near) > window:
-                    near.pop(0)
+            of = batch.column(1).type
+            for own_token, own, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if own_token != token:
+                    close()
+                    token, held, tail = own_token, [], None
+                member = (own, n)
+                if tail is not None:
+                    say(tail, member, False)
+                    tail = member
+                    continue
+                held.append(member)
+                if len(held) > short:
+                    for x, y in zip(held, held[1:], strict=False):
+                        say(x, y, False)
+                    held, tail = [], member
             if len(said) > REMEMBERED:
                 said.clear()
-            of = batch.column(1).type
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], of) for i in range(2)], names=["a", "b"])
+            yield flush(of)
+        close()
+        if found:
+            yield flush(of)
 
-    merged = postings.repartition("token").sortWithinPartitions("token", "n", "class_id")
-    return merged.mapInArrow(run, f"a {kind}, b {kind}")
+    order = (F.floor(F.log("n") / math.log(100 / percent)), F.xxhash64("token", "class_id"), F.col("class_id"))
+    merged = postings.repartition("token").sortWithinPartitions("token", *order)
+    return merged.mapInArrow(run, f"a {kind}, b {kind}, of_short boolean")
 
 
 def _counted(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """(a, b, agree) of pairs with enough agreeing coordinates."""
+    """(a, b, of_short, agree) of pairs with enough agreeing coordinates."""
     kind = classes.schema["class_id"].dataType.simpleString()
     of_a = classes.select(F.col("class_id").alias("a"), F.col("signature").alias("sa"))
     of_b = classes.select(F.col("class_id").alias("b"), F.col("signature").alias("sb"))
 
     def work(batch: pa.RecordBatch):
-        agree = (_read(batch.column(2)) == _read(batch.column(3))).sum(axis=1)
+        agree = (_read(batch.column(3)) == _read(batch.column(4))).sum(axis=1)
         keep = pa.array(agree >= matches)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree, pa.int32())], names=["a", "b", "agree"]).filter(keep)
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(agree, pa.int32())], names=["a", "b", "of_short", "agree"]).filter(keep)
 
-    joined = pairs.distinct().join(of_a, "a").join(of_b, "b").select("a", "b", "sa", "sb")
-    return map_batches(joined, work, f"a {kind}, b {kind}, agree int")
+    once = pairs.groupBy("a", "b").agg(F.max("of_short").alias("of_short"))
+    joined = once.join(of_a, "a").join(of_b, "b").select("a", "b", "of_short", "sa", "sb")
+    return map_batches(joined, work, f"a {kind}, b {kind}, of_short boolean, agree int")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """(src, dst): pairs whose full sets reach the threshold; only texts of classes in pairs are read into sets."""
-    kind = classes.schema["class_id"].dataType.simpleString()
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("class_id").join(classes.select("class_id", "d1", "d2"), "class_id")
+def _sets(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """(class_id, members): full sets of ``wanted`` (class_id, d1, d2), read from the texts whose set has the class's digest."""
+    kind = wanted.schema["class_id"].dataType.simpleString()
     texts = docs.select(docs["doc_id"].alias("of_doc"), docs["text"].alias("own_text"))
     texts = wanted.join(texts, F.col("class_id") == F.col("of_doc")).select("class_id", "d1", "d2", "own_text")
 
@@ -168,7 +201,14 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, length: in
                 sets.append(values.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(sets, pa.binary())], names=["class_id", "members"])
 
-    sets = map_batches(texts, make, f"class_id {kind}, members binary")
+    return map_batches(texts, make, f"class_id {kind}, members binary")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """(src, dst): pairs whose full sets reach the threshold; only texts of classes in pairs are read into sets."""
+    kind = classes.schema["class_id"].dataType.simpleString()
+    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("class_id")
+    sets = _sets(ends.join(classes.select("class_id", "d1", "d2"), "class_id"), docs, length)
 
     def compare(batch: pa.RecordBatch):
         keep = []
@@ -189,43 +229,97 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _far_pairs(postings: DataFrame, found: DataFrame, percent: int, window: int) -> DataFrame:
-    """Pairs of different components in lists longer than the window."""
-    of = postings.join(found, F.col("class_id") == F.col("node"), "left").select("token", "class_id", "n", F.coalesce("component", "class_id").alias("part"))
-    lists = of.groupBy("token").agg(F.count("*").alias("m"), F.min("part").alias("low"), F.max("part").alias("high"))
-    mixed_lists = lists.where((F.col("m") > window + 1) & (F.col("low") != F.col("high"))).select(F.col("token"))
-    left = of.join(mixed_lists, "token", "left_semi")
-    right = left.toDF("token", "other", "n2", "part2")
-    fits = (F.col("class_id") < F.col("other")) & (F.col("part") != F.col("part2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    return left.join(right, "token").where(fits).select(F.col("class_id").alias("a"), F.col("other").alias("b")).distinct()
+def _unsettled(postings: DataFrame, found: DataFrame, short: int) -> DataFrame:
+    """(group_id, class_id): members of long lists that hold several components. Lists of one first member are one
+    group: near copies share most lists, and those mostly begin with the same one, so that a class is in few groups."""
+    of = postings.join(found, F.col("class_id") == F.col("node"), "left").select("token", "class_id", F.coalesce("component", "class_id").alias("part"))
+    lists = of.groupBy("token").agg(F.count("*").alias("m"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("class_id").alias("group_id"))
+    mixed_lists = lists.where((F.col("m") > short) & (F.col("low") != F.col("high"))).select("token", "group_id")
+    return of.join(mixed_lists, "token").select("group_id", "class_id").distinct()
+
+
+def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, [j, ...]): sets of ``right`` that reach the threshold with left[i], by merging posting lists of the right sets' members."""
+    sizes = np.array([len(x) for x in right], dtype=np.int64)
+    values = np.concatenate(right) if right else np.empty(0, np.uint64)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], np.repeat(np.arange(len(right)), sizes)[order]
+    for i, own in enumerate(left):
+        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        times = high - low
+        if not times.any():
+            continue
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        shared = np.bincount(owners[at], minlength=len(right))
+        linked = np.flatnonzero((shared > 0) & (100 * shared >= percent * (len(own) + sizes - shared)))
+        if len(linked):
+            yield i, linked
+
+
+def _settled(groups: DataFrame, classes: DataFrame, docs: DataFrame, length: int, percent: int, block_shingles: int) -> DataFrame:
+    """(src, dst): a forest of all links within each group, block against block."""
+    kind = classes.schema["class_id"].dataType.simpleString()
+    wanted = groups.select("class_id").distinct().join(classes.select("class_id", "d1", "d2"), "class_id")
+    blocks = groups.join(classes.select("class_id", "n"), "class_id").groupBy("group_id").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "group_id").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "class_id"), F.col("blocks")).cast("int"))
+    sets = _sets(wanted, docs, length).toDF("set_id", "members")
+    dealt = (
+        placed.join(sets, F.col("class_id") == F.col("set_id"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("group_id", "class_id", "members", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+
+    def settle(table: pa.Table) -> pa.Table:
+        ids, blocks_of = table["class_id"].to_pylist(), table["block"].to_numpy()
+        sets_of = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        left, right = np.flatnonzero(blocks_of == low), np.flatnonzero(blocks_of == high)
+        forest = Forest()
+        for i, linked in links_between([sets_of[x] for x in left], [sets_of[x] for x in right], percent):
+            for j in linked.tolist():
+                if ids[left[i]] != ids[right[j]]:
+                    forest.link(ids[left[i]], ids[right[j]])
+        stars, of = forest.stars(), table["class_id"].type
+        return pa.table({"src": pa.array([s[0] for s in stars], of), "dst": pa.array([s[1] for s in stars], of)})
+
+    return dealt.groupBy("group_id", "low", "high").applyInArrow(settle, f"src {kind}, dst {kind}")
 
 
-def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, matches: int = MATCHES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, matches: int = MATCHES, short: int = SHORT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text).
 
     ``length`` words make a shingle; documents link where 100 * shared >= ``percent`` * all shingles."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     sketches = stored(_sketches(docs, length), "sketches")
+    # Differing texts under one repeated id are classes of one id; they go by their own digests.
     classes = stored(
         sketches.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("d1", "d2")
         .agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("signature").alias("signature")),
         "classes",
     )
-    # Differing texts under one repeated id keep classes of one id; such a class goes by its own digest.
     postings = stored(_postings(classes, matches), "postings")
-    counted = stored(_counted(_merge(postings, percent, window), classes, matches), "pairs")
+    small_batches(spark, 4_000)
+    counted = stored(_counted(_merge(postings, percent, short), classes, matches), "pairs")
+    small_batches(spark)
     order = [F.desc("agree"), "other"]
     ends = counted.select(F.col("a").alias("own"), F.col("b").alias("other"), "agree").union(counted.select("b", "a", "agree"))
     best = ends.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy(*order))).where(F.col("place") <= FIRST)
-    best = best.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
+    best = stored(best.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct(), "best")
     links = stored(_confirmed(best, classes, docs, length, percent), "links")
     found = components(links)
-    rest = _across(counted.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
-    far = _counted(_far_pairs(postings, found, percent, window), classes, matches).select("a", "b")
-    later = stored(rest.union(far).distinct(), "later-pairs")
-    if not later.isEmpty():
-        found = components(links.union(_confirmed(later, classes, docs, length, percent)))
+    rest = stored(_across(counted.where("of_short").select("a", "b").join(best, ["a", "b"], "left_anti"), found), "rest")
+    more = [links]
+    if not rest.isEmpty():
+        more.append(stored(_confirmed(rest, classes, docs, length, percent), "links"))
+        found = components(more[0].union(more[1]))
+    groups = stored(_unsettled(postings, found, short), "groups")
+    if not groups.isEmpty():
+        more.append(stored(_settled(groups, classes, docs, length, percent, block_shingles), "links"))
+    if len(more) > 1:
+        found = components(reduce(DataFrame.union, more))
+    discard(postings, counted, best, rest, groups, *more)
     told = classes.join(found, F.col("class_id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "class_id").alias("component"))
     return (
         sketches.join(told, ["d1", "d2"], "left")
