@@ -4,16 +4,18 @@ A line goes where an earlier line (smaller document, then smaller line number) i
 ``edits`` insertions, deletions and replacements. Lines are compared without blanks at their ends, and
 only those of at least ``least_chars`` characters; shorter ones always stay.
 
-1. Equal lines meet first: of each, the first place stays. Only distinct lines go on.
+1. Equal lines meet first, as hashes without their texts: of each, the first place stays. Only lines at first places go on.
 2. Each distinct line is cut into ``edits + 1`` segments of nearly equal length. Within ``edits`` edits
    at least one segment stays whole, so a line probes, for each length that a partner may have, the
    segments' places moved as far as edits on both sides allow (the multi-match-aware ranges). A line
    probes lengths up to its own, hence each pair is met once.
-3. Candidates are verified by a banded bit-parallel edit distance: the band's 2 * edits + 1 cells of a column
+3. Postings carry the line's counts of twelve letters; an edit changes them by two at most, and pairs whose counts are
+   farther apart than ``edits`` allow are no candidates. Variants of one line with other words meet often in a segment, and end here.
+4. Candidates are verified by a banded bit-parallel edit distance: the band's 2 * edits + 1 cells of a column
    are bits of one long, and a column costs a dozen operations whatever the band.
 
-Hashes of segments and lines only propose: a line's identity is two 64-bit hashes, and a near pair is
-confirmed on the lines themselves.
+A line's identity is two 64-bit hashes, and a near pair is confirmed on the lines themselves. Texts are exchanged once, by document:
+segments, verified lines and the result all come from that exchange, each joined to its own list of line numbers a document.
 
 Defined cases: null texts stay null and empty ones empty; documents with a null id stay whole and don't count as
 earlier; repeated rows are one document and keep the same lines; an empty table gives no rows; other
@@ -25,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import stored
+
 EDITS = 2
 LEAST_CHARS = 20
 
@@ -42,50 +46,73 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     width = 2 * edits + 1
     full = (1 << width) - 1
     blank = F.array_repeat(F.lit(""), edits)
-    padded = F.concat(blank, a, blank, blank, blank)
-    rows = F.size(a)
+    return F.get(
+        F.transform(
+            F.array(F.struct(F.concat(blank, a, blank, blank, blank).alias("padded"), F.size(a).alias("rows"), b.alias("b"))),
+            lambda line: _distance(line["padded"], line["rows"], line["b"], edits, width, full),
+        ),
+        0,
+    )
 
-    def column(state: Column, j: Column) -> Column:
-        char = F.get(b, j - 1)
-        same = sum((F.when(F.get(padded, j + r - 1) == char, _bits(1 << r)).otherwise(_bits(0)) for r in range(width)), _bits(0))
 
-        def step(eq: Column) -> Column:
-            vp, vn = state["vp"], state["vn"]
-            zero = (((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn)).bitwiseAND(_bits(full))
-            return F.struct(zero.alias("zero"), vp.alias("vp"), vn.alias("vn"))
+def _distance(padded: Column, rows: Column, b: Column, edits: int, width: int, full: int) -> Column:
+    """The distance itself. Its columns must be variables of a lambda, since the inner ones work out anything else once an element."""
 
-        def moved(s: Column) -> Column:
-            up = s["vn"].bitwiseOR(F.bitwise_not(s["zero"].bitwiseOR(s["vp"]))).bitwiseAND(_bits(full))
-            return F.struct(s["zero"].alias("zero"), up.alias("up"), s["zero"].bitwiseAND(s["vp"]).alias("down"))
+    def same(char: Column, j: Column) -> Column:
+        """The band's cells of column j (from 0) whose character of ``a`` is ``char``."""
+        return F.struct((j + 1).alias("j"), sum((F.when(F.get(padded, j + r) == char, _bits(1 << r)).otherwise(_bits(0)) for r in range(width)), _bits(0)).alias("eq"))
 
-        def done(s: Column) -> Column:
-            shifted = F.shiftright(s["zero"], 1)
+    def column(state: Column, cell: Column) -> Column:
+        vp, vn, j, eq = state["vp"], state["vn"], cell["j"], cell["eq"]
+        zero = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(_bits(full))
+
+        def moved(z: Column) -> Column:
+            up = vn.bitwiseOR(z.bitwiseOR(vp).bitwiseXOR(_bits(full)))
+            down = z.bitwiseAND(vp)
+            shifted = F.shiftright(z, 1)
             last = rows - j + edits  # the last row's bit
-            diagonal = F.when(F.shiftright(s["zero"], width - 1).bitwiseAND(_bits(1)) == 1, 0).otherwise(1)
-            along = F.when(_bit(s["up"], last) == 1, 1).when(_bit(s["down"], last) == 1, -1).otherwise(0)
+            diagonal = F.when(z >= 1 << (width - 1), 0).otherwise(1)
+            along = F.when(_bit(up, last) == 1, 1).when(_bit(down, last) == 1, -1).otherwise(0)
             return F.struct(
-                s["down"].bitwiseOR(F.bitwise_not(shifted.bitwiseOR(s["up"]))).bitwiseAND(_bits(full)).alias("vp"),
-                shifted.bitwiseAND(s["up"]).alias("vn"),
+                down.bitwiseOR(shifted.bitwiseOR(up).bitwiseXOR(_bits(full))).alias("vp"),
+                shifted.bitwiseAND(up).alias("vn"),
                 (state["distance"] + F.when(j <= rows - edits, diagonal).otherwise(along)).alias("distance"),
             )
 
-        # One-element transforms name what is used several times, so that it is worked out once.
-        return F.get(F.transform(F.transform(F.transform(F.array(same), step), moved), done), 0)
+        # A transform of one element names ``zero``, so that it is worked out once a column.
+        return F.get(F.transform(F.array(zero), moved), 0)
 
-    start = F.struct(
-        _bits(full & ~((1 << edits) - 1)).alias("vp"),
-        _bits(0).alias("vn"),
-        F.lit(edits).alias("distance"),
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.size(b)), start, column, lambda s: s["distance"])
+    start = F.struct(_bits(full & ~((1 << edits) - 1)).alias("vp"), _bits(0).alias("vn"), F.lit(edits).alias("distance"))
+    return F.aggregate(F.transform(b, same), start, column, lambda s: s["distance"])
 
 
 def _bit(value: Column, place: Column) -> Column:
     return F.call_function("shiftright", value, place).bitwiseAND(_bits(1))
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> tuple[Column, Column]:
-    """(own, probes): hashes of a line's segments, and of the places where partners no longer than it may have theirs."""
+#: Letters whose counts are compared; any would be right, frequent ones tell lines apart best.
+LETTERS = "etaoinsrhldu"
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of the letters modulo 32, five bits each."""
+    size = F.octet_length(line)
+    return sum((F.shiftleft(((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 32).cast("long"), 5 * i) for i, c in enumerate(LETTERS)), _bits(0))
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """Sum of the letters' differences, each the shorter way round; never more than twice the edit distance."""
+    total = F.lit(0)
+    for i in range(len(LETTERS)):
+        apart = F.abs(F.shiftright(a, 5 * i).bitwiseAND(_bits(31)) - F.shiftright(b, 5 * i).bitwiseAND(_bits(31)))
+        total = total + F.least(apart, 32 - apart)
+    return total
+
+
+def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
+    """(own, probes): hashes of a line's segments, and of the other places where partners no longer than it may have theirs.
+
+    A line's own segments are probes too, for partners of its own length."""
     parts = edits + 1
 
     def at(total: Column, i: int) -> tuple[Column, Column]:
@@ -106,59 +133,78 @@ def segment_keys(line: Column, length: Column, edits: int) -> tuple[Column, Colu
             low = max(-(i - 1), shorter_by - (parts - i))
             high = min(i - 1, shorter_by + (parts - i))
             for move in range(low, high + 1):
-                place = start + move
-                probes.append(F.when((place >= 1) & (place + size - 1 <= length), key(total, i, place, size)))
-    return F.array(*own), F.array_compact(F.array_distinct(F.array(*probes)))
+                if shorter_by or move:
+                    # A place over the line's end gives a shorter piece, which verification turns down.
+                    probes.append(key(total, i, F.greatest(start + move, F.lit(1)), size))
+    return own, probes
 
 
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def _distinct_lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(h1, h2, first, line): each distinct line with its first place."""
-    lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "raw"))
+def _first_places(docs: DataFrame, least_chars: int) -> DataFrame:
+    """(doc_id, number): the first place of each distinct line; only hashes are exchanged."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "raw"))
     lines = lines.select("doc_id", "number", _trimmed(F.col("raw")).alias("line")).where(F.char_length("line") >= least_chars)
-    hashed = lines.select(F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), F.struct("doc_id", "number").alias("place"), "line")
-    return hashed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("line").alias("line"))
-
-
-def near_lines(distinct: DataFrame, edits: int) -> DataFrame:
-    """(h1, h2): distinct lines that a line with an earlier first place is near to."""
-    length = F.char_length("line")
-    own, probes = segment_keys(F.col("line"), length, edits)
-    index = distinct.select(F.col("h1").alias("a"), F.explode(own).alias("key"))
-    probing = distinct.select(F.col("h1").alias("b"), F.explode(probes).alias("key"))
-    pairs = index.join(probing, "key").where("a <> b").select("a", "b").distinct()
-    of_a = distinct.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("first_a"), F.col("line").alias("line_a"))
-    of_b = distinct.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("first_b"), F.col("line").alias("line_b"))
-    met = pairs.join(of_a, "a").join(of_b, "b").where(F.char_length("line_b").between(F.char_length("line_a"), F.char_length("line_a") + edits))
-    met = met.where(banded_distance(F.split("line_a", ""), F.split("line_b", ""), edits) <= edits)
-    later = F.col("first_a") > F.col("first_b")
-    return met.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct()
+    hashed = lines.select(F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), F.struct("doc_id", "number").alias("place"))
+    return hashed.groupBy("h1", "h2").agg(F.min("place").alias("first")).select("first.doc_id", "first.number")
+
+
+def _lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, number, line) of places, out of the one exchange of texts."""
+    wanted = places.groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_set("number").alias("numbers"))
+    joined = docs.join(wanted, F.col("doc_id") == F.col("of_doc"), "left").where(F.size("numbers") > 0).select("doc_id", "numbers", F.split("text", "\n").alias("lines"))
+    return joined.select("doc_id", F.explode(F.transform("numbers", lambda n: F.struct(n.alias("number"), _trimmed(F.get("lines", n)).alias("line")))).alias("x")).select("doc_id", "x.number", "x.line")
+
+
+def near_places(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
+    """(doc_id, number): first places of lines that are near to a line with an earlier first place."""
+    lines = _lines_at(docs, firsts).select("doc_id", "number", "line", F.char_length("line").alias("length"), letter_counts(F.col("line")).alias("letters"))
+    own, probes = segment_keys(F.col("line"), F.col("length"), edits)
+    index = lines.select(F.explode(F.array(*own)).alias("key"), F.col("doc_id").alias("doc_a"), F.col("number").alias("number_a"), F.col("letters").alias("letters_a"))
+    posted = lines.select("doc_id", "number", "letters", F.posexplode(F.array(*own, *probes)).alias("place", "key"))
+    probing = posted.select("key", F.col("doc_id").alias("doc_b"), F.col("number").alias("number_b"), (F.col("place") < len(own)).alias("own"), F.col("letters").alias("letters_b"))
+    # Of two own segments, one order is enough.
+    differ = F.when(F.col("own"), (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("number_a") < F.col("number_b"))))
+    differ = differ.otherwise((F.col("doc_a") != F.col("doc_b")) | (F.col("number_a") != F.col("number_b")))
+    near = counts_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * edits
+    pairs = index.join(probing, "key").where(differ & near).select("doc_a", "number_a", "doc_b", "number_b").distinct()
+    ends = pairs.select(F.col("doc_a").alias("doc_id"), F.col("number_a").alias("number")).union(pairs.select("doc_b", "number_b")).distinct()
+    texts = _lines_at(docs, ends)
+    of_a, of_b = texts.toDF("doc_a", "number_a", "line_a"), texts.toDF("doc_b", "number_b", "line_b")
+    met = pairs.join(of_a, ["doc_a", "number_a"]).join(of_b, ["doc_b", "number_b"])
+    met = met.where(F.char_length("line_b").between(F.char_length("line_a"), F.char_length("line_a") + edits) & (F.col("line_a") != F.col("line_b")))
+    # Pairs are few bytes and much work: they are dealt out by number, and a counter keeps the test above that exchange.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, "doc_a", "number_a", "doc_b", "number_b").withColumn("at", F.monotonically_increasing_id())
+    met = met.where((banded_distance(F.split("line_a", ""), F.split("line_b", ""), edits) <= edits) & (F.col("at") >= 0))
+    place = lambda x: F.struct(F.col(f"doc_{x}").alias("doc_id"), F.col(f"number_{x}").alias("number"))
+    return met.select(F.greatest(place("a"), place("b")).alias("later")).select("later.doc_id", "later.number").distinct()
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with ``text`` cut down to the lines that stay, and a struct ``line_dedup`` of n_lines and n_removed."""
-    distinct = _distinct_lines(docs.select(docs["doc_id"], docs["text"]), least_chars)
-    places = distinct.select("h1", "h2", "first").join(near_lines(distinct, edits), ["h1", "h2"], "left_anti")
-    staying = places.select(F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("number"))
-    staying = staying.groupBy("doc_id").agg(F.collect_list("number").alias("staying"))
-    staying = staying.select(F.struct(F.col("doc_id").alias("of"), "staying").alias("__kept"))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"))
-    joined = whole.join(staying, F.col("__doc.doc_id") == F.col("__kept.of"), "left")
-    lines = F.split(F.col("__doc.text"), "\n")
-    numbered = joined.select("__doc", "__kept", lines.alias("__lines"))
-    every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    long = F.filter(every, lambda i: F.char_length(_trimmed(F.get(F.col("__lines"), i))) >= least_chars)
-    gone = F.array_except(long, F.coalesce(F.col("__kept.staying"), F.array().cast("array<int>")))
-    cut = numbered.select("__doc", "__lines", F.when(F.col("__doc.doc_id").isNotNull(), gone).otherwise(F.array().cast("array<int>")).alias("__gone"))
-    text = F.array_join(F.transform(F.array_except(every, "__gone"), lambda i: F.get(F.col("__lines"), i)), "\n")
-    done = cut.select(
-        "__doc",
-        F.when(F.col("__doc.text").isNotNull(), text).alias("__text"),
-        F.when(F.col("__doc.text").isNotNull(), F.size("__lines")).otherwise(0).cast("long").alias("__n"),
-        F.when(F.col("__doc.text").isNotNull(), F.size("__gone")).otherwise(0).cast("long").alias("__r"),
-    )
-    columns = [F.col("__text").alias(c) if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*columns, F.struct(F.col("__n").alias("n_lines"), F.col("__r").alias("n_removed")).alias("line_dedup"))
+    """``docs`` with ``text`` cut down to the lines that stay, and a struct ``line_dedup`` of n_lines and n_removed.
+
+    Columns other than id and text are joined back by the exchange of the texts itself, which carries them all."""
+    whole = docs.select(docs["doc_id"], docs["text"], F.struct(*[docs[c] for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("rest"))
+    bare = whole.where("doc_id IS NOT NULL")  # everywhere alike, so that one exchange serves all
+    firsts = stored(_first_places(bare.select("doc_id", "text"), least_chars), "first-lines")
+    near = near_places(bare, firsts, edits)
+    staying = firsts.join(near, ["doc_id", "number"], "left_anti").groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list("number").alias("numbers"))
+    joined = bare.join(staying, F.col("doc_id") == F.col("of_doc"), "left")
+    numbered = joined.select("doc_id", "text", "rest", F.col("numbers").alias("staying"), F.split("text", "\n").alias("lines"))
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    none = F.array().cast("array<int>")
+    long = F.filter(every, lambda i: F.char_length(_trimmed(F.get(F.col("lines"), i))) >= least_chars)
+    gone = F.array_except(long, F.coalesce("staying", none))
+    cut = numbered.select("doc_id", "text", "rest", "lines", gone.alias("gone"))
+    text = F.array_join(F.transform(F.array_except(every, "gone"), lambda i: F.get(F.col("lines"), i)), "\n")
+    told = F.col("text").isNotNull()
+    count = lambda c: F.when(told, F.size(c)).otherwise(0).cast("long")
+    done = cut.select("doc_id", F.when(told, text).alias("text"), "rest", F.struct(count("lines").alias("n_lines"), count("gone").alias("n_removed")).alias("line_dedup"))
+    bare_lines = F.when(told, F.size(F.split("text", "\n"))).otherwise(0).cast("long")
+    unknown = whole.where("doc_id IS NULL").select("doc_id", "text", "rest", F.struct(bare_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).alias("line_dedup"))
+    done = done.union(unknown)
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return done.select(*columns, "line_dedup")

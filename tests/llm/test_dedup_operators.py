@@ -210,6 +210,8 @@ def test_banded_distance(spark, edits):
             rows.append((a, b, levenshtein(a, b)))
     found = spark.createDataFrame(rows, "a string, b string, d int").withColumn("g", lines.banded_distance(F.split("a", ""), F.split("b", ""), edits))
     assert found.where(f"(d <= {edits} AND g <> d) OR (d > {edits} AND g <= {edits})").count() == 0
+    apart = lines.counts_apart(lines.letter_counts(F.repeat("a", F.lit(20))), lines.letter_counts(F.repeat("b", F.lit(20))))
+    assert found.where(apart > 2 * 20 * F.col("d")).count() == 0
 
 
 def lines_brute(docs, edits=2, least=20):
