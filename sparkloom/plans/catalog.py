@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fixed, scalars
-from sparkloom.operators import graph, grid, ranking, tables, vectors
+from sparkloom.operators import graph, grid, ranking, serving, tables, vectors
 from sparkloom.plans import shapes
 from sparkloom.plans.registry import register
 from sparkloom.session import table
@@ -590,3 +590,42 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counted = events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
     return counted.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+
+
+# --- views -----------------------------------------------------------------------------------------------
+
+
+@register("controls", f"WITH {shapes.POINTS_SQL} SELECT count(*) AS papers, min(year) AS first_year, max(year) AS last_year FROM points")
+def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.controls(shapes.points(spark, sf_dir))
+
+
+@register("author_search", f"WITH {shapes.AUTHORED_SQL} SELECT paper_id, t::INT AS t FROM authored WHERE list_contains(authors, 'a17')")
+def author_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.search(shapes.authored(spark, sf_dir), 'author: "A17"', (), "authors").select("paper_id", "t")
+
+
+@register(
+    "new_since_visit",
+    f"""WITH {shapes.PAPERS_SQL}, m AS (SELECT paper_id, lang, strftime(submitted_at, '%Y-%m-%d') > '2020-01-20' AS is_new, submitted_at FROM papers)
+    SELECT paper_id, is_new, coalesce(lag(is_new) OVER (PARTITION BY lang ORDER BY submitted_at DESC, paper_id) AND NOT is_new, false) AS caught_up FROM m""",
+)
+def new_since_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = shapes.papers(spark, sf_dir).withColumn("day", F.date_format("submitted_at", "yyyy-MM-dd"))
+    return serving.new_since(feed, "day", "2020-01-20", ["lang"], [F.col("submitted_at").desc(), F.col("paper_id")]).select("paper_id", "is_new", "caught_up")
+
+
+@register(
+    "enrichment_health",
+    """SELECT o_orderpriority AS source, CASE WHEN sum((o_orderkey % 3 = 0)::INT) = 0 THEN 'no-candidates' WHEN sum((o_orderkey % 6 = 0)::INT) = 0 THEN 'unreachable'
+    WHEN sum((o_orderkey % 96 = 0)::INT) < 0.05 * sum((o_orderkey % 3 = 0)::INT) THEN 'no-match' ELSE 'ok' END AS status FROM orders GROUP BY 1""",
+)
+def enrichment_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), (k % 3 == 0).alias("q"), (k % 6 == 0).alias("a"), (k % 96 == 0).alias("m"))
+    return serving.enrichment_health(rows, "source", "q", "a", "m")
+
+
+@register("recent_searches", "SELECT user_id, event_type, ts, place FROM (SELECT user_id, event_type, max(ts) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, event_type)::INT AS place FROM events GROUP BY 1, 2) WHERE place <= 3")
+def recent_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.recent_searches(table(spark, sf_dir, "events").select("user_id", "event_type", "ts"), "user_id", "event_type", "ts", 3)
