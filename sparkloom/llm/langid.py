@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import held_out, map_batches, small_batches
+from sparkloom.llm.common import bounded_sample, held_out, map_batches, small_batches
 
 FIT_DOCS = 20_000
 FIT_WORDS = 50_000
@@ -62,10 +62,13 @@ class Model:
         self.languages = languages
         self.priors = np.array(priors)
         self.words, self.word_logs = self._logs(words)
-        self.grams: dict[str, np.ndarray] = {}
+        self.grams: dict[str, int] = {}
+        tables = []
         for order in range(1, MAX_GRAM + 1):
             index, logs = self._logs({g: n for g, n in by_gram.items() if len(g) == order})
-            self.grams |= {g: logs[i] for g, i in index.items()}
+            self.grams |= {g: i + sum(map(len, tables)) for g, i in index.items()}
+            tables.append(logs)
+        self.gram_logs = np.concatenate(tables)
 
     def _logs(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
         table = np.array(list(counts.values()), dtype=float).reshape(len(counts), len(self.languages)) + SMOOTHING
@@ -75,7 +78,7 @@ class Model:
         for order in range(MAX_GRAM, 0, -1):
             known = [g for piece in pieces(word) for x in grams(piece, order) if (g := self.grams.get(x)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return np.add.reduce(self.gram_logs[known], axis=0) / len(known)
         return None
 
     def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
@@ -83,21 +86,25 @@ class Model:
         if not words or not self.languages:
             return UNKNOWN, 0.0
         total = np.log(self.priors)
-        seen, times = [], []
+        seen, times, unseen = [], [], []
+        known = self.words.get
         for word, n in Counter(words).items():
-            at = self.words.get(word)
+            at = known(word)
             if at is not None:
                 seen.append(at)
                 times.append(n)
                 continue
-            if word not in cache:
+            found = cache.get(word, self)
+            if found is self:
                 if len(cache) >= CACHE_WORDS:
                     cache.clear()
-                cache[word] = self.fallback(word)
-            if cache[word] is not None:
-                total = total + n * cache[word]
+                found = cache[word] = self.fallback(word)
+            if found is not None:
+                unseen.append(found if n == 1 else n * found)
         if seen:
             total = total + np.array(times, dtype=float) @ self.word_logs[seen]
+        if unseen:
+            total = total + np.add.reduce(unseen, axis=0)
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
@@ -106,7 +113,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS, f
     """A model of ``docs`` (doc_id, text, lang); the sample and the tables it counts are bounded by the parameters."""
     small_batches(docs.sparkSession)
     labelled = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = labelled.select("doc_id", F.xxhash64(F.lit("langid"), "doc_id").alias("draw")).orderBy("draw", "doc_id").limit(fit_docs)
+    chosen = bounded_sample(labelled.select("doc_id"), ["doc_id"], fit_docs, "langid")
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen_id")).distinct())
     sample = labelled.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select("lang", "text")
 
