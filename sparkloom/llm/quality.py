@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_batches, small_batches
+from sparkloom.llm.common import bounded_sample, map_batches, small_batches
 
 FIT_DOCS = 4_000
 FIT_LINES = 64
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines:
     """A model of ``labels`` (doc_id, quality) over the texts of ``docs``; the driver gets the sample's features only."""
     small_batches(docs.sparkSession)
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(fit_docs)
+    chosen = bounded_sample(known, ["doc_id"], fit_docs, "quality")
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen_id"), "quality"))
     sample = docs.join(chosen, docs["doc_id"] == F.col("chosen_id")).select("chosen_id", docs["text"], F.col("quality").cast("int"))
 
