@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_batches, small_batches, stored
+from sparkloom.llm.common import bounded_sample, cut, discard, map_batches, small_batches, stored
 from sparkloom.llm.components import Forest, components
 
 THRESHOLD = 0.93
@@ -109,7 +109,7 @@ def near_vectors(
     most = classes.groupBy("label", F.size("embedding").alias("length")).count().agg(F.max("count")).first()[0] or 0
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, most / leaf)))))
     by_length: dict[int, list] = {}
-    for row in classes.select("embedding", "class_id").orderBy(F.xxhash64(F.lit(SEED), "class_id")).limit(fit_vectors).toLocalIterator():
+    for row in bounded_sample(classes.select("class_id", "embedding"), ["class_id"], fit_vectors, "forest").select("embedding").collect():
         by_length.setdefault(len(row["embedding"]), []).append(np.array(row["embedding"], dtype=np.float64))
     forest = spark.sparkContext.broadcast(Trees({k: _unit(np.array(v)) for k, v in by_length.items()}, trees, depth, margin))
 
@@ -180,7 +180,8 @@ def near_vectors(
         blocked.groupBy(*keys, "low", "high").applyInArrow(compare, f"class_id {id_kind}, links long, root {id_kind}"), "vector-links"
     )
     joined = components(found.select(F.col("class_id").alias("src"), F.col("root").alias("dst")))
-    sums = found.groupBy(F.col("class_id").alias("sum_id")).agg(F.sum("links").alias("links"))
+    sums = cut(found.groupBy(F.col("class_id").alias("sum_id")).agg(F.sum("links").alias("links")))
+    discard(found)
     told = (
         classes.join(sums, F.col("class_id") == F.col("sum_id"), "left")
         .join(joined, F.col("class_id") == F.col("node"), "left")
