@@ -95,19 +95,24 @@ def thinned(items: Column, most: int) -> Column:
     return F.when(n <= most, items).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(items, F.floor(i * n / most).cast("int"))))
 
 
-def reference_lists(edges: DataFrame, most: int) -> DataFrame:
-    """(paper, t, refs), thinned; a reference list is as long as one paper's, so the list fits a row."""
-    return edges.groupBy(F.col("src").alias("paper"), F.col("t_src").alias("t")).agg(F.array_sort(F.collect_set("dst")).alias("refs")).withColumn("refs", thinned(F.col("refs"), most))
+def reference_lists(edges: DataFrame) -> DataFrame:
+    """(paper, t, refs), whole and without repeats; a reference list is as long as one paper's, so the list fits a row."""
+    return edges.groupBy(F.col("src").alias("paper"), F.col("t_src").alias("t")).agg(F.array_sort(F.collect_set("dst")).alias("refs"))
 
 
 def cocitation_novelty(edges: DataFrame, month: int, most: int = 40) -> DataFrame:
-    """(paper, z_median, z_low, share_new) over pairs of references: observed against expected co-citations before ``month``."""
-    lists = reference_lists(edges, most)
-    before = lists.where(F.col("t") < month)
-    seen = before.select(F.inline(pairs_of(F.col("refs")))).groupBy("a", "b").agg(F.count("*").alias("obs"))
-    degree = before.select(F.explode("refs").alias("paper")).groupBy("paper").agg(F.count("*").alias("k"))
-    totals = before.select(F.size("refs").alias("s")).agg(F.sum("s").alias("m"), F.sum(F.col("s") * (F.col("s") - 1)).alias("sk"))
-    now = lists.where(F.col("t") == month).select("paper", F.inline(pairs_of(F.col("refs"))))
+    """(paper, z_median, z_low, share_new) over pairs of references: observed against expected co-citations before ``month``.
+
+    History is counted over whole reference lists; only the list of a paper that is scored is thinned to ``most``.
+    Pairs of history are made of references that a scored paper has, since no other pair is looked up."""
+    before = edges.where(F.col("t_src") < month)
+    scored_lists = reference_lists(edges.where(F.col("t_src") == month)).select("paper", thinned(F.col("refs"), most).alias("refs"))
+    wanted = scored_lists.select(F.explode("refs").alias("dst")).distinct()
+    seen = reference_lists(before.join(wanted, "dst", "left_semi")).select(F.inline(pairs_of(F.col("refs")))).groupBy("a", "b").agg(F.count("*").alias("obs"))
+    degree = before.groupBy(F.col("dst").alias("paper")).agg(F.count("*").alias("k"))
+    slots = before.groupBy("src", "t_src").agg(F.count("*").alias("s"))
+    totals = slots.agg(F.sum("s").alias("m"), F.sum(F.col("s") * (F.col("s") - 1)).alias("sk"))
+    now = scored_lists.select("paper", F.inline(pairs_of(F.col("refs"))))
     ka, kb = degree.toDF("a", "ka"), degree.toDF("b", "kb")
     joined = now.join(seen, ["a", "b"], "left").join(ka, "a", "left").join(kb, "b", "left").crossJoin(F.broadcast(totals))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")

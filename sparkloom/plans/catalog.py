@@ -474,7 +474,7 @@ def reference_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT paper, round(quantile_cont((obs - ex) / sqrt(ex), 0.5), 6) AS z_median, round(quantile_cont((obs - ex) / sqrt(ex), 0.1), 6) AS z_low, round(avg(((obs - ex) / sqrt(ex) <= 0)::INT), 9) AS share_new FROM z GROUP BY 1""",
 )
 def cocitation_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.cocitation_novelty(shapes.edges(spark, sf_dir), 60, 12)
+    found = graph.cocitation_novelty(shapes.edges(spark, sf_dir), 60, 40)
     return found.select("paper", F.round("z_median", 6).alias("z_median"), F.round("z_low", 6).alias("z_low"), F.round("share_new", 9).alias("share_new"))
 
 
