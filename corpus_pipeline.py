@@ -21,9 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand, but for two edits, in an earlier one; those that lose all go."""
+    """Documents without lines that stand in an earlier one, long ones but for two edits; those that lose all go."""
     docs = documents_only(docs)
-    found = lines.dedup_lines(docs)
+    found = lines.dedup_lines(docs, least_exact=lines.EXACT_CHARS)
     stay = (F.col("line_dedup.n_removed") < F.col("line_dedup.n_lines")) | (F.col("line_dedup.n_lines") == 0)
     return found.where(stay).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

@@ -1,8 +1,9 @@
 """Line dedup: a segment-partition edit join, in DataFrame functions only.
 
 A line goes where an earlier line (smaller document, then smaller line number) is the same or within
-``edits`` insertions, deletions and replacements. Lines are compared without blanks at their ends, and
-only those of at least ``least_chars`` characters; shorter ones always stay.
+``edits`` insertions, deletions and replacements. Lines are compared without blanks at their ends. Equal lines
+meet from ``least_exact`` characters on, near ones from ``least_chars`` on, as in shorter lines a few edits make
+another line; shorter ones always stay. ``EXACT_CHARS`` is every line that isn't empty.
 
 1. Equal lines meet first, as hashes without their texts: of each, the first place stays. Only lines at first places go on.
 2. Each distinct line is cut into ``edits + 1`` segments of nearly equal length. Within ``edits`` edits
@@ -31,6 +32,7 @@ from sparkloom.llm.common import stored
 
 EDITS = 2
 LEAST_CHARS = 20
+EXACT_CHARS = 1
 
 
 def _bits(value: int) -> Column:
@@ -143,12 +145,12 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def _first_places(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(doc_id, number): the first place of each distinct line; only hashes are exchanged."""
+def _first_places(docs: DataFrame, least_chars: int, least_exact: int) -> DataFrame:
+    """(doc_id, number, near): the first place of each distinct line, and whether near ones count; only hashes are exchanged."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "raw"))
-    lines = lines.select("doc_id", "number", _trimmed(F.col("raw")).alias("line")).where(F.char_length("line") >= least_chars)
-    hashed = lines.select(F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), F.struct("doc_id", "number").alias("place"))
-    return hashed.groupBy("h1", "h2").agg(F.min("place").alias("first")).select("first.doc_id", "first.number")
+    lines = lines.select("doc_id", "number", _trimmed(F.col("raw")).alias("line")).where(F.char_length("line") >= least_exact)
+    hashed = lines.select(F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), (F.char_length("line") >= least_chars).alias("near"), F.struct("doc_id", "number").alias("place"))
+    return hashed.groupBy("h1", "h2", "near").agg(F.min("place").alias("first")).select("first.doc_id", "first.number", "near")
 
 
 def _lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -183,21 +185,24 @@ def near_places(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     return met.select(F.greatest(place("a"), place("b")).alias("later")).select("later.doc_id", "later.number").distinct()
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
     """``docs`` with ``text`` cut down to the lines that stay, and a struct ``line_dedup`` of n_lines and n_removed.
 
+    ``least_exact`` is ``least_chars`` unless given.
+
     Columns other than id and text are joined back by the exchange of the texts itself, which carries them all."""
     whole = docs.select(docs["doc_id"], docs["text"], F.struct(*[docs[c] for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("rest"))
     bare = whole.where("doc_id IS NOT NULL")  # everywhere alike, so that one exchange serves all
-    firsts = stored(_first_places(bare.select("doc_id", "text"), least_chars), "first-lines")
-    near = near_places(bare, firsts, edits)
+    least_exact = least_chars if least_exact is None else least_exact
+    firsts = stored(_first_places(bare.select("doc_id", "text"), least_chars, least_exact), "first-lines")
+    near = near_places(bare, firsts.where("near").drop("near"), edits)
     staying = firsts.join(near, ["doc_id", "number"], "left_anti").groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list("number").alias("numbers"))
     joined = bare.join(staying, F.col("doc_id") == F.col("of_doc"), "left")
     numbered = joined.select("doc_id", "text", "rest", F.col("numbers").alias("staying"), F.split("text", "\n").alias("lines"))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     none = F.array().cast("array<int>")
-    long = F.filter(every, lambda i: F.char_length(_trimmed(F.get(F.col("lines"), i))) >= least_chars)
-    gone = F.array_except(long, F.coalesce("staying", none))
+    compared = F.filter(every, lambda i: F.char_length(_trimmed(F.get(F.col("lines"), i))) >= least_exact)
+    gone = F.array_except(compared, F.coalesce("staying", none))
     cut = numbered.select("doc_id", "text", "rest", "lines", gone.alias("gone"))
     text = F.array_join(F.transform(F.array_except(every, "gone"), lambda i: F.get(F.col("lines"), i)), "\n")
     told = F.col("text").isNotNull()

@@ -31,7 +31,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"), least_exact=lines.EXACT_CHARS)
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
     return found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", kept)
 
