@@ -15,9 +15,10 @@ from sparkloom.llm.common import documents_only, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a posterior of at least one half."""
+    """Documents whose language is told with a posterior of at least one half and by enough of their words."""
     docs = documents_only(docs)
-    return langid.keep_identified(docs, langid.fit(langid.teaching(docs)))
+    teaching = langid.teaching(docs)
+    return langid.keep_identified(docs, langid.fit_evidence(teaching, langid.fit(teaching)))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ A known word adds its log frequency in each language. An unseen word falls back
 gram is known adds the mean log frequency of those grams. The posterior over the learned languages is
 the normalised exponential of the sums; its top is the prediction and its share the score.
 
+The posterior tells languages apart and not whether a text is in any of them. That is told by the evidence:
+a text's mean over its words of 1 for a known word that its predicted language has, 0 for another known word, and
+for an unseen word the share of its 4-grams that the language has. ``identified`` asks for some evidence, and for
+``EVIDENCE`` times what all but ``OUTLIERS`` of the teaching documents reach, each without its own counts.
+
 Fit: on a sample of at most ``FIT_DOCS`` labelled documents (those of smallest seeded id hash), counted
 whole on the executors. The model keeps the ``FIT_WORDS`` most frequent words and ``FIT_GRAMS`` most
 frequent grams, which bounds what is broadcast. Prediction reads every whole text.
@@ -35,6 +40,10 @@ SMOOTHING = 0.5
 #: Unseen words whose fallback a worker remembers; it forgets all when that many are reached.
 CACHE_WORDS = 100_000
 UNKNOWN = "und"
+#: Documents that the least evidence is fitted on, the share of them that may lie lower, and what a text must have of theirs.
+EVIDENCE_DOCS = 2_000
+OUTLIERS = 0.02
+EVIDENCE = 0.8
 #: Runs of letters longer than this are cut into pieces of it, so that grams stay bounded.
 LONGEST_WORD = 64
 
@@ -61,14 +70,22 @@ class Model:
     def __init__(self, languages: list[str], priors: list[float], words: dict[str, list[int]], by_gram: dict[str, list[int]]):
         self.languages = languages
         self.priors = np.array(priors)
+        self.least_evidence = 0.0
         self.words, self.word_logs = self._logs(words)
+        self.word_counts = self._counts(words)
         self.grams: dict[str, int] = {}
-        tables = []
+        tables, gram_counts = [], []
         for order in range(1, MAX_GRAM + 1):
-            index, logs = self._logs({g: n for g, n in by_gram.items() if len(g) == order})
+            of_order = {g: n for g, n in by_gram.items() if len(g) == order}
+            index, logs = self._logs(of_order)
             self.grams |= {g: i + sum(map(len, tables)) for g, i in index.items()}
             tables.append(logs)
+            gram_counts.append(self._counts(of_order))
         self.gram_logs = np.concatenate(tables)
+        self.gram_counts = np.concatenate(gram_counts)
+
+    def _counts(self, counts: dict[str, list[int]]) -> np.ndarray:
+        return np.array(list(counts.values()), dtype=np.int64).reshape(len(counts), len(self.languages))
 
     def _logs(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
         table = np.array(list(counts.values()), dtype=float).reshape(len(counts), len(self.languages)) + SMOOTHING
@@ -81,6 +98,43 @@ class Model:
                 return np.add.reduce(self.gram_logs[known], axis=0) / len(known)
         return None
 
+    def evidence(self, text: str, language: str, cache: dict, own: str | None = None) -> float:
+        """Share of the words of ``text`` that speak for ``language``; what only ``text`` itself has taught, as one of language ``own``, doesn't."""
+        counted = Counter(letter_words(text))
+        at = self.languages.index(language)
+        taught: Counter = Counter()
+        if own == language:
+            for word, n in counted.items():
+                for piece in pieces(word):
+                    for gram in grams(piece, MAX_GRAM):
+                        taught[gram] += n
+        total = 0.0
+        for word, n in counted.items():
+            row = self.words.get(word)
+            every = None if row is None or own is None else self.word_counts[row].sum()
+            if row is not None and every != n:
+                total += n * bool(self.word_counts[row, at] > (n if own == language else 0))
+                continue
+            share = None if own is not None else cache.get((word, at))
+            if share is None:
+                found = [g for piece in pieces(word) for g in grams(piece, MAX_GRAM)]
+                has = sum(1 for g in found if (i := self.grams.get(g)) is not None and self.gram_counts[i, at] > taught[g])
+                share = has / len(found) if found else 0.0
+                if own is None:
+                    if len(cache) >= CACHE_WORDS:
+                        cache.clear()
+                    cache[word, at] = share
+            total += n * share
+        return total / max(1, counted.total())
+
+    def identified(self, text: str | None, least: float, cache: dict, shares: dict) -> bool:
+        """Whether the language of ``text`` is told, by its posterior and by evidence; never by the prior alone."""
+        language, score = self.predict(text, cache)
+        if language == UNKNOWN or score < least:
+            return False
+        found = self.evidence(text, language, shares)
+        return found > 0 and found >= self.least_evidence
+
     def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
         words = letter_words(text) if text else []
         if not words or not self.languages:
@@ -109,6 +163,23 @@ class Model:
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
+def fit_evidence(docs: DataFrame, model: Model, fit_docs: int = FIT_DOCS, most: int = EVIDENCE_DOCS) -> Model:
+    """``model``, fitted on the same ``docs`` and ``fit_docs``, with its least evidence from at most ``most`` of them."""
+    labelled = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
+    chosen = bounded_sample(labelled.select("doc_id"), ["doc_id"], min(most, fit_docs), "langid")
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen_id")).distinct())
+    sample = labelled.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select("lang", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batch: pa.RecordBatch):
+        rows = [(lang, text) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if letter_words(text)]
+        yield pa.RecordBatch.from_arrays([pa.array([shared.value.evidence(text, lang, {}, lang) for lang, text in rows], pa.float64())], names=["evidence"])
+
+    found = [r["evidence"] for r in map_batches(sample, work, "evidence double").collect()]
+    model.least_evidence = EVIDENCE * float(np.quantile(found, OUTLIERS)) if found else 0.0
+    return model
+
+
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS, fit_grams: int = FIT_GRAMS) -> Model:
     """A model of ``docs`` (doc_id, text, lang); the sample and the tables it counts are bounded by the parameters."""
     small_batches(docs.sparkSession)
@@ -189,16 +260,16 @@ def teaching(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language isn't told: ``und``, or a score under ``least``. Columns stay."""
+    """``docs`` without those whose language isn't told: ``und``, a score under ``least``, or too little evidence. Columns stay."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     cache: dict = {}
+    shares: dict = {}
 
     def work(batch: pa.RecordBatch):
-        found = [shared.value.predict(x, cache) for x in batch.column("text").to_pylist()]
-        yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found], pa.bool_()))
+        yield batch.filter(pa.array([shared.value.identified(x, least, cache, shares) for x in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(lambda batches: (out for batch in batches for out in work(batch)), docs.schema)
 
