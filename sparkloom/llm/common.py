@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.session import checkpoint_dir
+
 #: Rows that one Arrow batch to Python holds; bounds a worker's memory when texts are long.
 BATCH_ROWS = 256
 #: Bytes after which Spark ends an Arrow batch early, where the session knows the setting.
@@ -22,13 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is set."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        found = tempfile.mkdtemp(prefix="sparkloom-checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    """The cluster's shared checkpoint folder; an error on a cluster where none is set."""
+    return checkpoint_dir(spark)
 
 
 def cut(frame: DataFrame) -> DataFrame:
