@@ -1,10 +1,11 @@
 """Connected components of a link table, without collecting it.
 
-Each round every node takes its smallest neighbour (or itself) as parent and all links move to the
-parents, which at least halves the nodes of each unfinished component; before each round, every task
-shrinks its own links to a spanning forest. Rounds end when no link joins different nodes, and the
-parents of all rounds are chained. A parent is never larger than its child, so a component ends at its
-smallest node. Links and parents are checkpointed each round.
+Before each round, every task shrinks its own links to a spanning forest. In a round every node takes its smallest
+neighbour (or itself) as parent; parents are then replaced by their own parents until none changes, which takes a
+number of steps logarithmic in the longest chain of parents, and all links move to the parents so found. A node without a smaller
+neighbour has a neighbour that merges, so a component's nodes at least halve a round. Rounds end when no link joins different
+nodes, and the parents of all rounds are chained. A parent is never larger than its child, so a component ends at its
+smallest node.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut
+from sparkloom.llm.common import discard, stored
 
 #: Links that one task's forest holds before it is emitted and begun anew.
 FOREST_LINKS = 500_000
@@ -70,19 +71,37 @@ def _forest(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _jumped(parents: DataFrame) -> DataFrame:
+    """``parents`` (node, parent) with every parent replaced by the root that its chain ends at."""
+    while True:
+        above = parents.select(F.col("node").alias("at"), F.col("parent").alias("top"))
+        joined = parents.select("node", "parent").join(above, F.col("parent") == F.col("at"))
+        higher = stored(joined.select("node", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved")), "parents")
+        discard(parents)
+        parents = higher
+        if parents.where("moved").isEmpty():
+            return parents
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node in ``links`` (src, dst); links with a null end or equal ends count as none."""
+    """(node, component) of every node in ``links`` (src, dst); links with a null end or equal ends count as none.
+
+    What a round leaves is stored and reread rather than checkpointed: a checkpoint keeps what the planner inferred of its rows, and
+    over many rounds that grows without end."""
     pairs = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
-    pairs = cut(_forest(pairs).distinct())
+    pairs = stored(_forest(pairs).distinct(), "pairs")
     levels: list[DataFrame] = []
     while not pairs.isEmpty():
         both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
-        parents = cut(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent")))
+        smallest = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))
+        parents = _jumped(stored(smallest, "parents")).select("node", "parent")
         levels.append(parents)
         of_a, of_b = parents.toDF("a", "to_a"), parents.toDF("b", "to_b")
         moved = pairs.join(of_a, "a").join(of_b, "b").where("to_a <> to_b")
         moved = moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-        pairs = cut(_forest(moved).distinct())
+        fewer = stored(_forest(moved).distinct(), "pairs")
+        discard(pairs)
+        pairs = fewer
     if not levels:
         return pairs.toDF("node", "component")
     found = levels.pop().toDF("node", "component")
