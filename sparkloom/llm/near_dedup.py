@@ -12,8 +12,8 @@
 5. The pairs' agreeing coordinates are counted over whole signatures; those above the match threshold
    are confirmed on full sets, best pairs first, and confirmed links are united.
 6. Of short lists, pairs across what is united by then are confirmed next. Long lists that are not one
-   component by then are settled whole: their members' full sets meet in blocks, where intersections are
-   counted by merging the sets' own posting lists, and only a forest of the links leaves a block. Thus no link
+   component by then are settled whole: full sets of the members outside the list's largest component meet those of all in blocks,
+   where intersections are counted by merging the sets' own posting lists, and only a forest of the links leaves a block. Thus no link
    between components is lost, and no pairs of a large group are listed.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing; repeated rows
@@ -39,7 +39,9 @@ COORDINATES = 128
 MATCHES = 82
 SHORT = 9
 #: Shingles of one side of a block of a long list.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
+#: Postings of one token that meet in one task, about.
+LIST = 20_000
 #: Signatures whose coordinate values are counted for the global order.
 ORDER_SAMPLE = 20_000
 #: Best partners of a class that are confirmed first.
@@ -87,8 +89,11 @@ def _read(column: pa.Array, coordinates: int = COORDINATES) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, coordinates)
 
 
-def _postings(classes: DataFrame, matches: int) -> DataFrame:
-    """(token, class_id, n): the rarest coordinate-value pairs of each class that any match must share."""
+def _postings(classes: DataFrame, matches: int, longest: int) -> DataFrame:
+    """(token, class_id, n, part): the rarest coordinate-value pairs of each class that any match must share.
+
+    Lists that the sample says to be over ``longest`` are dealt into parts by class. Only neighbours are said of long lists, and what
+    they leave apart is settled over whole lists, so parts lose nothing."""
     spark = classes.sparkSession
     kind = classes.schema["class_id"].dataType.simpleString()
     drawn = bounded_sample(classes.select("class_id", "signature"), ["class_id"], ORDER_SAMPLE, "order").select("signature").collect()
@@ -97,6 +102,7 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
         frequent, times = np.unique(_tokens(np.frombuffer(b"".join(r[0] for r in drawn), np.uint32).reshape(-1, COORDINATES)), return_counts=True)
         frequent, times = frequent[times > 1], times[times > 1]
     order = spark.sparkContext.broadcast((frequent, times.astype(np.uint32)))
+    share = classes.count() / max(1, len(drawn)) / longest
     prefix = COORDINATES - matches + 1
 
     def work(batch: pa.RecordBatch):
@@ -108,10 +114,13 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
             rank = np.where(known[at] == tokens, count[at], rank)
         first = np.lexsort((tokens, rank), axis=1)[:, :prefix]
         own = np.take_along_axis(tokens, first, axis=1).ravel().view(np.int64)
+        times = np.take_along_axis(rank, first, axis=1)
+        parts = np.where(times > 1, np.ceil(times * share), 1).astype(np.uint64)
+        part = mixed(np.bitwise_xor.reduce(tokens, axis=1))[:, None] % parts
         of = pa.array(np.repeat(np.arange(len(tokens)), prefix))
-        yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0).take(of), batch.column(1).take(of)], names=["token", "class_id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0).take(of), batch.column(1).take(of), pa.array(part.ravel().astype(np.int32))], names=["token", "class_id", "n", "part"])
 
-    return map_batches(classes.select("class_id", "n", "signature"), work, f"token long, class_id {kind}, n long")
+    return map_batches(classes.select("class_id", "n", "signature"), work, f"token long, class_id {kind}, n long, part int")
 
 
 def _merge(postings: DataFrame, percent: int, short: int) -> DataFrame:
@@ -120,7 +129,7 @@ def _merge(postings: DataFrame, percent: int, short: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set = set()
-        token, held, tail = None, [], None  # held: the list so far while it is short; tail: its last member once it is long
+        token, held, tail = None, [], None  # of a part of a token's list; held: the list so far while it is short; tail: its last member once it is long
         found: list = []
 
         def say(x: tuple, y: tuple, of_short: bool) -> None:
@@ -144,10 +153,10 @@ def _merge(postings: DataFrame, percent: int, short: int) -> DataFrame:
         of = None
         for batch in batches:
             of = batch.column(1).type
-            for own_token, own, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if own_token != token:
+            for own_token, own, n, part in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (own_token, part) != token:
                     close()
-                    token, held, tail = own_token, [], None
+                    token, held, tail = (own_token, part), [], None
                 member = (own, n)
                 if tail is not None:
                     say(tail, member, False)
@@ -166,7 +175,7 @@ def _merge(postings: DataFrame, percent: int, short: int) -> DataFrame:
             yield flush(of)
 
     order = (F.floor(F.log("n") / math.log(100 / percent)), F.xxhash64("token", "class_id"), F.col("class_id"))
-    merged = postings.repartition("token").sortWithinPartitions("token", *order)
+    merged = postings.select("token", "class_id", "n", "part").repartition("token", "part").sortWithinPartitions("token", "part", *order)
     return merged.mapInArrow(run, f"a {kind}, b {kind}, of_short boolean")
 
 
@@ -230,12 +239,15 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _unsettled(postings: DataFrame, found: DataFrame, short: int) -> DataFrame:
-    """(group_id, class_id): members of long lists that hold several components. Lists of one first member are one
+    """(group_id, class_id, minor): members of long lists that hold several components, and whether they are outside the
+    group's largest one, which needn't be compared within itself. Lists of one first member are one
     group: near copies share most lists, and those mostly begin with the same one, so that a class is in few groups."""
     of = postings.join(found, F.col("class_id") == F.col("node"), "left").select("token", "class_id", F.coalesce("component", "class_id").alias("part"))
     lists = of.groupBy("token").agg(F.count("*").alias("m"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("class_id").alias("group_id"))
     mixed_lists = lists.where((F.col("m") > short) & (F.col("low") != F.col("high"))).select("token", "group_id")
-    return of.join(mixed_lists, "token").select("group_id", "class_id").distinct()
+    members = of.join(mixed_lists, "token").select("group_id", "class_id", "part").distinct()
+    largest = members.groupBy("group_id", "part").agg(F.count("*").alias("m")).groupBy("group_id").agg(F.max_by("part", F.struct("m", "part")).alias("largest"))
+    return members.join(largest, "group_id").select("group_id", "class_id", (F.col("part") != F.col("largest")).alias("minor"))
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -257,23 +269,24 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int)
 
 
 def _settled(groups: DataFrame, classes: DataFrame, docs: DataFrame, length: int, percent: int, block_shingles: int) -> DataFrame:
-    """(src, dst): a forest of all links within each group, block against block."""
+    """(src, dst): a forest of all links between components of each group: members outside its largest component against all,
+    block against block."""
     kind = classes.schema["class_id"].dataType.simpleString()
     wanted = groups.select("class_id").distinct().join(classes.select("class_id", "d1", "d2"), "class_id")
-    blocks = groups.join(classes.select("class_id", "n"), "class_id").groupBy("group_id").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "group_id").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "class_id"), F.col("blocks")).cast("int"))
+    sized = groups.join(classes.select("class_id", "n"), "class_id").groupBy("group_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("minor"), F.col("n")).otherwise(0)).alias("n_minor"))
+    blocks = sized.select("group_id", F.ceil(F.col("n") / block_shingles).cast("int").alias("blocks"), F.ceil(F.greatest(F.col("n_minor"), F.lit(1)) / block_shingles).cast("int").alias("minor_blocks"))
     sets = _sets(wanted, docs, length).toDF("set_id", "members")
-    dealt = (
-        placed.join(sets, F.col("class_id") == F.col("set_id"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("group_id", "class_id", "members", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    )
+    block = lambda n: F.pmod(F.xxhash64(F.lit("block"), "class_id"), F.col(n)).cast("int")
+    joined = groups.join(blocks, "group_id").join(sets, F.col("class_id") == F.col("set_id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = joined.where("minor").select("group_id", "class_id", "members", block("minor_blocks").alias("low"), every("blocks").alias("high"), F.lit(True).alias("left"))
+    right = joined.select("group_id", "class_id", "members", every("minor_blocks").alias("low"), block("blocks").alias("high"), F.lit(False).alias("left"))
+    dealt = left.union(right)
 
     def settle(table: pa.Table) -> pa.Table:
-        ids, blocks_of = table["class_id"].to_pylist(), table["block"].to_numpy()
+        ids, on_left = table["class_id"].to_pylist(), table["left"].to_numpy(zero_copy_only=False)
         sets_of = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        left, right = np.flatnonzero(blocks_of == low), np.flatnonzero(blocks_of == high)
+        left, right = np.flatnonzero(on_left), np.flatnonzero(~on_left)
         forest = Forest()
         for i, linked in links_between([sets_of[x] for x in left], [sets_of[x] for x in right], percent):
             for j in linked.tolist():
@@ -285,7 +298,7 @@ def _settled(groups: DataFrame, classes: DataFrame, docs: DataFrame, length: int
     return dealt.groupBy("group_id", "low", "high").applyInArrow(settle, f"src {kind}, dst {kind}")
 
 
-def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, matches: int = MATCHES, short: int = SHORT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, matches: int = MATCHES, short: int = SHORT, block_shingles: int = BLOCK_SHINGLES, longest: int = LIST) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text).
 
     ``length`` words make a shingle; documents link where 100 * shared >= ``percent`` * all shingles."""
@@ -299,7 +312,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, matches
         .agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("signature").alias("signature")),
         "classes",
     )
-    postings = stored(_postings(classes, matches), "postings")
+    postings = stored(_postings(classes, matches, longest), "postings")
     small_batches(spark, 4_000)
     counted = stored(_counted(_merge(postings, percent, short), classes, matches), "pairs")
     small_batches(spark)

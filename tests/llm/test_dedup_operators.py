@@ -90,7 +90,7 @@ def test_near_duplicates_match_brute_force(spark, copies, length):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
-@pytest.mark.parametrize("options", [{"short": 1}, {"short": 1, "block_shingles": 900}])
+@pytest.mark.parametrize("options", [{"short": 1}, {"short": 1, "block_shingles": 900}, {"short": 1, "longest": 2}])
 def test_near_duplicates_long_lists(spark, copies, options):
     """Where every list counts as long, links are found by neighbours and in settled groups."""
     frame = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
@@ -180,7 +180,7 @@ def test_vectors_match_brute_force(spark):
     extra = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0]]
     rows += [(len(rows) + i, v, 0) for i, v in enumerate(extra)] + [(900, rows[0][1], None), (901, [2.0, 4.0], 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("members", F.lit(1)).withColumn("leaf", F.lit("x"))
-    for options in ({}, {"leaf": 20, "trees": 6}, {"block": 15}):
+    for options in ({}, {"leaf": 20, "miss": 1e-4}, {"block": 15}):
         found = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_vectors(frame, **options).collect())
         assert found == vector_brute(rows)
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
