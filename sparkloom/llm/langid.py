@@ -11,8 +11,8 @@ for an unseen word the share of its 4-grams that the language has. ``identified`
 ``EVIDENCE`` times what all but ``OUTLIERS`` of the teaching documents reach, each without its own counts.
 
 Fit: on a sample of at most ``FIT_DOCS`` labelled documents (those of smallest seeded id hash), counted
-whole on the executors. The model keeps the ``FIT_WORDS`` most frequent words and ``FIT_GRAMS`` most
-frequent grams, which bounds what is broadcast. Prediction reads every whole text.
+whole on the executors: words first, then the grams of each distinct word, as often as the word came. The model keeps every word and gram of
+the sample, so the bound on documents bounds what is broadcast. Prediction reads every whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any learned
 language every text is ``und`` with score 0; ties of score go to the alphabetically first language, ties
@@ -30,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_sample, held_out, map_batches, small_batches
+from sparkloom.llm.common import bounded_sample, cut, held_out, map_batches, small_batches
 
-FIT_DOCS = 20_000
-FIT_WORDS = 50_000
-FIT_GRAMS = 50_000
+#: Labelled documents that the model is fitted on.
+FIT_DOCS = 5_000
 MAX_GRAM = 4
 SMOOTHING = 0.5
 #: Unseen words whose fallback a worker remembers; it forgets all when that many are reached.
@@ -44,8 +43,6 @@ UNKNOWN = "und"
 EVIDENCE_DOCS = 2_000
 OUTLIERS = 0.02
 EVIDENCE = 0.8
-#: Runs of letters longer than this are cut into pieces of it, so that grams stay bounded.
-LONGEST_WORD = 64
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,10 +52,6 @@ def letter_words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def pieces(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST_WORD else [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
-
-
 def grams(word: str, order: int) -> list[str]:
     marked = f"^{word}$" if order > 1 else word
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
@@ -93,7 +86,7 @@ class Model:
 
     def fallback(self, word: str) -> np.ndarray | None:
         for order in range(MAX_GRAM, 0, -1):
-            known = [g for piece in pieces(word) for x in grams(piece, order) if (g := self.grams.get(x)) is not None]
+            known = [g for x in grams(word, order) if (g := self.grams.get(x)) is not None]
             if known:
                 return np.add.reduce(self.gram_logs[known], axis=0) / len(known)
         return None
@@ -105,9 +98,8 @@ class Model:
         taught: Counter = Counter()
         if own == language:
             for word, n in counted.items():
-                for piece in pieces(word):
-                    for gram in grams(piece, MAX_GRAM):
-                        taught[gram] += n
+                for gram in grams(word, MAX_GRAM):
+                    taught[gram] += n
         total = 0.0
         for word, n in counted.items():
             row = self.words.get(word)
@@ -117,7 +109,7 @@ class Model:
                 continue
             share = None if own is not None else cache.get((word, at))
             if share is None:
-                found = [g for piece in pieces(word) for g in grams(piece, MAX_GRAM)]
+                found = grams(word, MAX_GRAM)
                 has = sum(1 for g in found if (i := self.grams.get(g)) is not None and self.gram_counts[i, at] > taught[g])
                 share = has / len(found) if found else 0.0
                 if own is None:
@@ -180,59 +172,51 @@ def fit_evidence(docs: DataFrame, model: Model, fit_docs: int = FIT_DOCS, most:
     return model
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS, fit_grams: int = FIT_GRAMS) -> Model:
-    """A model of ``docs`` (doc_id, text, lang); the sample and the tables it counts are bounded by the parameters."""
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
+    """A model of ``docs`` (doc_id, text, lang); the sample it counts is bounded by the parameter."""
     small_batches(docs.sparkSession)
     labelled = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     chosen = bounded_sample(labelled.select("doc_id"), ["doc_id"], fit_docs, "langid")
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen_id")).distinct())
     sample = labelled.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select("lang", "text")
 
-    def work(batch: pa.RecordBatch):
+    def batch_of(keys: list, counts: Counter, names: list[str]) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(len(names) - 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([counts[k] for k in keys], pa.int64())], names=names)
+
+    def count_words(batch: pa.RecordBatch):
         counts: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[lang, "doc", ""] += 1
+            counts[lang, ""] += 1  # no word is empty: this counts documents
             for word, n in Counter(letter_words(text)).items():
-                counts[lang, "word", word] += n
-        for (lang, kind, word), n in list(counts.items()):
-            if kind == "word":
-                for order in range(1, MAX_GRAM + 1):
-                    for piece in pieces(word):
-                        for gram in grams(piece, order):
-                            counts[lang, "gram", gram] += n
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([counts[k] for k in keys], pa.int64())],
-            names=["lang", "kind", "entry", "n"],
-        )
+                counts[lang, word] += n
+        yield batch_of(list(counts), counts, ["lang", "word", "n"])
 
-    counted = map_batches(sample, work, "lang string, kind string, entry string, n long")
-    entries = (
-        counted.groupBy("kind", "entry", "lang")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("kind", "entry")
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-        .persist()
-    )
-    try:
-        top = {
-            kind: entries.where(F.col("kind") == kind).orderBy(F.desc("total"), "entry").limit(most).collect()
-            for kind, most in (("doc", 1), ("word", fit_words), ("gram", fit_grams))
-        }
-    finally:
-        entries.unpersist()
-    documents = {r["lang"]: r["n"] for row in top["doc"] for r in row["by_lang"]}
+    def count_grams(batch: pa.RecordBatch):
+        counts: Counter = Counter()
+        for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for order in range(1, MAX_GRAM + 1):
+                for gram in grams(word, order):
+                    counts[lang, gram] += n
+        yield batch_of(list(counts), counts, ["lang", "gram", "n"])
+
+    words = cut(map_batches(sample, count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    by_gram = map_batches(words.where("word <> ''"), count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    documents = {r["lang"]: r["n"] for r in words.where("word = ''").collect()}
     languages = sorted(documents)
+    place = {x: i for i, x in enumerate(languages)}
 
-    def of(kind: str) -> dict[str, list[int]]:
-        found = {}
-        for row in top[kind]:
-            n = {r["lang"]: r["n"] for r in row["by_lang"]}
-            found[row["entry"]] = [n.get(x, 0) for x in languages]
-        return found
+    def of(counted: DataFrame) -> dict[str, list[int]]:
+        """Counts by language of each entry, entries in order; as many as the sample's documents have."""
+        found: dict[str, list[int]] = {}
+        for lang, entry, n in zip(*(column.to_pylist() for column in counted.toArrow().columns), strict=True):
+            found.setdefault(entry, [0] * len(languages))[place[lang]] = n
+        return dict(sorted(found.items()))
 
+    if not languages:
+        return Model([], [], {}, {})
     every = sum(documents.values())
-    return Model(languages, [documents[x] / every for x in languages], of("word"), of("gram"))
+    return Model(languages, [documents[x] / every for x in languages], of(words.where("word <> ''")), of(by_gram))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
