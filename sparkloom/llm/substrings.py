@@ -11,7 +11,7 @@ anchors at equal places. Few windows in a row share each anchor, and only anchor
 
 1. Each anchor's symbol, with as many words to both sides as rounds were made (they lie inside every
    window that has the anchor), is a key. Keys that occur once rule out all their windows.
-2. Windows of the other anchors are confirmed by hashes of their whole word sequences: of each sequence,
+2. Windows of the other anchors are confirmed by two hashes (96 bits) of their whole word sequences: of each sequence,
    the first place (by document, then word) stays and the others are repeats.
 3. Words covered by a repeated window go.
 
@@ -47,6 +47,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _RUN = np.uint64(0xA24BAED4963EE407)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
+#: What words' hashes are changed by for the second hash of a window.
+SECOND = np.uint64(0x6C62272E07BB0142)
 
 
 def _powers(base: np.uint64, count: int) -> np.ndarray:
@@ -207,11 +209,14 @@ def _repeated(anchors: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """(route, print, doc_id, place, known) of windows in ranges; known: an earlier place has the same words."""
+    """(route, print, more, doc_id, place, known) of windows in ranges; known: an earlier place has the same words.
+
+    A word sequence is told by ``print`` and ``more`` together, 96 bits of two hashes: of 10**12 windows, some two differ and agree in them
+    with a chance under 1e-5. The route is 32 bits of the print, so the wider print takes no more room."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch):
-        own, prints, places = [], [], []
+        own, prints, further, places = [], [], [], []
         asked = np.flatnonzero(batch.column(2).is_valid())
         for row, text in zip(asked.tolist(), as_bytes(batch.column(1).take(pa.array(asked))), strict=True):
             words = (text or b"").split()
@@ -224,31 +229,34 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
             np.add.at(marks, np.minimum(high + 1, count), -1)
             at = np.flatnonzero(np.cumsum(marks)[:-1])
             if len(at):
-                prints.append(sequence_hashes(word_hashes(words), width)[at])
+                hashes = word_hashes(words)
+                prints.append(sequence_hashes(hashes, width)[at])
+                further.append(sequence_hashes(mixed(hashes ^ SECOND), width)[at] >> np.uint64(32))
                 places.append(at)
                 own.append(np.full(len(at), row))
         if not own:
             return
-        prints, places, own = np.concatenate(prints), np.concatenate(places), np.concatenate(own)
+        prints, places, own, further = np.concatenate(prints), np.concatenate(places), np.concatenate(own), np.concatenate(further)
         ids = np.array(batch.column(0).to_pylist())[own]
         order = np.lexsort((places, ids))
-        prints, places, own, ids = prints[order], places[order], own[order], ids[order]
+        prints, places, own, ids, further = prints[order], places[order], own[order], ids[order], further[order]
         order, again, route = _routed(prints, (own * 2**32 + places).astype(np.uint64))
         same = np.zeros(len(order), dtype=bool)  # repeated rows: the very same place again
         same[1:] = again[1:] & (ids[order][1:] == ids[order][:-1]) & (places[order][1:] == places[order][:-1])
         stay = ~same
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(route[stay].view(np.int64)),
+                pa.array((route[stay] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)),
                 pa.array(prints[order][stay].view(np.int64)),
+                pa.array(further[order][stay].astype(np.uint32).view(np.int32)),
                 batch.column(0).take(pa.array(own[order][stay])),
                 pa.array(places[order][stay].astype(np.int32)),
                 pa.array(again[stay]),
             ],
-            names=["route", "print", "doc_id", "place", "known"],
+            names=["route", "print", "more", "doc_id", "place", "known"],
         )
 
-    return map_batches(docs, work, f"route long, print long, doc_id {kind}, place int, known boolean")
+    return map_batches(docs, work, f"route int, print long, more int, doc_id {kind}, place int, known boolean")
 
 
 def _later(windows: DataFrame) -> DataFrame:
@@ -258,21 +266,21 @@ def _later(windows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the first row of the print that a batch ended in
         for batch in batches:
-            known = batch.column(3).to_numpy(zero_copy_only=False)
+            known = batch.column(4).to_numpy(zero_copy_only=False)
             settled, batch = batch.filter(pa.array(known)), batch.filter(pa.array(~known))
-            yield pa.RecordBatch.from_arrays([settled.column(1), settled.column(2)], names=["doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([settled.column(2), settled.column(3)], names=["doc_id", "place"])
             if not batch.num_rows:
                 continue
             whole = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-            prints, ids, places = (whole.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            head = np.concatenate([[True], prints[1:] != prints[:-1]])
+            prints, more, ids, places = (whole.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            head = np.concatenate([[True], (prints[1:] != prints[:-1]) | (more[1:] != more[:-1])])
             first = np.maximum.accumulate(np.where(head, np.arange(len(prints)), 0))
             later = (ids != ids[first]) | (places != places[first])
             out = whole.filter(pa.array(later))
             held = whole.slice(int(first[-1]), 1)
-            yield pa.RecordBatch.from_arrays([out.column(1), out.column(2)], names=["doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([out.column(2), out.column(3)], names=["doc_id", "place"])
 
-    sorted_rows = windows.repartition("route").sortWithinPartitions("print", "doc_id", "place").select("print", "doc_id", "place", "known")
+    sorted_rows = windows.repartition("route").sortWithinPartitions("print", "more", "doc_id", "place").select("print", "more", "doc_id", "place", "known")
     return sorted_rows.mapInArrow(run, f"doc_id {kind}, place int")
 
 
