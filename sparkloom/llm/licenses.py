@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkloom.llm.common import as_bytes, map_batches, small_batches
+from sparkloom.llm.license_templates import TEMPLATES
 
 # Base phrases and their labels.
 BASE_PHRASES = {
@@ -34,24 +35,6 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Templates of common license notices, in the markup described above.
-TEMPLATES = {
-    "apache-2.0": "licensed under the apache license [[,]] version 2 0 [[the license]]",
-    "apache-header": "you may not use this file except in compliance with the license [[you may obtain a copy of the license at]]",
-    "bsd": "redistribution and use in source and binary forms [[with or without modification]] are permitted provided that the following conditions are met",
-    "cc-by-4.0": "[[this work is]] licensed under [[a]] [[the]] creative commons attribution 4 0 [[international]] [[public]] license",
-    "cc-by-notice": "licensed under [[the]] cc by [[{{1}} license]]",
-    "cc0-1.0": "[[the person who associated a work with this deed has]] dedicated {{6}} to the public domain",
-    "copyright-notice": "copyright [[c]] {{6}} all rights reserved",
-    "gpl-any": "licensed under the [[terms of the]] gnu [[{{1}}]] general public license [[version {{3}}]]",
-    "gpl-3.0": "gnu general public license [[as published by the free software foundation either]] version 3",
-    "gpl-2.0": "gnu general public license [[as published by the free software foundation either]] version 2",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mit-notice": "released under the mit license [[and {{4}}]]",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license [[v]] [[version]] 2 0",
-    "warranty-none": "the software is provided as is without warranty of any kind [[express or implied]]",
-}
-
 _MARKUP = re.compile(r"\[\[|\]\]|\{\{(\d+)\}\}|[^\s\[\]{}]+")
 
 #: ASCII letters fall to lower case; ASCII that is neither letter nor digit becomes a blank.
