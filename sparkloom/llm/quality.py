@@ -4,9 +4,11 @@ Each line is good or bad. Its score comes from features of itself and of the lin
 neighbouring labels are tied by a transition matrix. Forward-backward gives each line's marginal of
 being good, and a document's score is their mean weighted by line length.
 
-Fit: on at most ``FIT_DOCS`` labelled documents (smallest seeded id hash), each line taking its
-document's label; of each, at most ``FIT_LINES`` evenly spaced runs' lines. Both bounds are parameters; scoring reads every
-line. Gradients are exact (expected minus seen features), the optimiser is Adam with fixed seed-free
+Fit: on at most ``FIT_DOCS`` labelled documents (smallest seeded id hash), whole. Labels are of documents and not of lines, so
+lines are labelled first: a model without ties between neighbours learns from the documents' labels, and a line then keeps
+its document's label unless its own features speak against it by more than ``DOUBT`` (in log odds); the line that speaks most for the
+document's label always keeps it. The field is trained on those line labels, so transitions between good and bad lines within a document
+are seen. Scoring reads every line. Gradients are exact (expected minus seen features), the optimiser is Adam in a fixed
 order, so that a refit gives the same weights.
 
 Defined cases: null and empty texts are one empty line and get its marginal; without labelled rows every
@@ -25,9 +27,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bounded_sample, map_batches, small_batches
 
-FIT_DOCS = 4_000
-FIT_LINES = 64
+FIT_DOCS = 3_000
+#: Lines, padding included, whose gradient is worked out at once.
+BATCH_LINES = 40_000
 EPOCHS = 150
+#: Log odds against its document's label from which a line has the other one.
+DOUBT = 0.25
 RATE = 0.05
 RIDGE = 1e-4
 THRESHOLD = 0.3
@@ -111,33 +116,70 @@ class Model:
         return float(np.clip(marginals(rows @ self.weights, self.transition) @ lengths / lengths.sum(), 0, 1))
 
 
-def train(sequences: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> Model:
-    """Maximum likelihood with a ridge; documents of one length class step together."""
-    if not sequences:
-        return Model()
-    width = sequences[0].shape[1]
-    order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-    groups = [order[i : i + 500] for i in range(0, len(order), 500)]
-    batches = []
+def _padded(sequences: list[np.ndarray]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers of sequences, features, mask) of sequences of similar length, at most ``BATCH_LINES`` lines or one sequence each."""
+    groups: list[list[int]] = []
+    for i in sorted(range(len(sequences)), key=lambda i: len(sequences[i])):
+        if groups and (len(groups[-1]) + 1) * len(sequences[i]) <= BATCH_LINES:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    found = []
     for group in groups:
         steps = max(len(sequences[i]) for i in group)
-        x, mask = np.zeros((len(group), steps, width)), np.zeros((len(group), steps))
+        x, mask = np.zeros((len(group), steps, sequences[0].shape[1])), np.zeros((len(group), steps))
         for row, i in enumerate(group):
             x[row, : len(sequences[i])], mask[row, : len(sequences[i])] = sequences[i], 1
-        batches.append((x, mask, np.array([labels[i] for i in group], dtype=float)))
-    lines = sum(b[1].sum() for b in batches)
+        found.append((group, x, mask))
+    return found
+
+
+def _maximised(batches: list, labels: list[np.ndarray], tied: bool, epochs: int) -> np.ndarray:
+    """Weights of maximum likelihood with a ridge; those of label pairs stay 0 unless ``tied``."""
+    width = batches[0][1].shape[2]
+    lines = sum(mask.sum() for _, _, mask in batches)
+    seen = []
+    for group, _, mask in batches:
+        y = np.zeros(mask.shape)
+        for row, i in enumerate(group):
+            y[row, : len(labels[i])] = labels[i]
+        seen.append(y)
     theta, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for epoch in range(1, epochs + 1):
         slope = RIDGE * theta
-        for x, mask, y in batches:
+        for (_, x, mask), y in zip(batches, seen, strict=True):
             slope += _gradient(theta, x, mask, y) / lines
+        if not tied:
+            slope[width:] = 0
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta = theta - RATE * 4 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
+    return theta
+
+
+def line_labels(sequences: list[np.ndarray], labels: list[int], weights: np.ndarray, doubt: float = DOUBT) -> list[np.ndarray]:
+    """0 or 1 of each line, from its document's label and its own log odds."""
+    found = []
+    for x, label in zip(sequences, labels, strict=True):
+        odds = x @ weights
+        own = (odds + (doubt if label else -doubt) > 0).astype(float)
+        own[np.argmax(odds if label else -odds)] = label
+        found.append(own)
+    return found
+
+
+def train(sequences: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> Model:
+    """A field over lines from sequences of line features and one label each."""
+    if not sequences:
+        return Model()
+    width = sequences[0].shape[1]
+    batches = _padded(sequences)
+    alone = _maximised(batches, [np.full(len(x), float(y)) for x, y in zip(sequences, labels, strict=True)], False, epochs // 2)
+    theta = _maximised(batches, line_labels(sequences, labels, alone[:width]), True, epochs)
     return Model(theta[:width], theta[width:].reshape(2, 2))
 
 
 def _gradient(theta: np.ndarray, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Expected less seen features, all documents of a batch at once."""
+    """Expected less seen features, all documents of a batch at once; ``y`` is a label a line."""
     width = x.shape[2]
     docs, steps, _ = x.shape
     potential = np.stack([np.zeros((docs, steps)), x @ theta[:width]], axis=2)
@@ -155,31 +197,29 @@ def _gradient(theta: np.ndarray, x: np.ndarray, mask: np.ndarray, y: np.ndarray)
     total = join(forward[:, -1])
     good = np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None]) * mask
     slope = np.zeros(width + 4)
-    slope[:width] = np.einsum("dt,dtw->w", good - y[:, None] * mask, x)
+    slope[:width] = np.einsum("dt,dtw->w", good - y * mask, x)
     both = np.exp(forward[:, :-1, :, None] + pair + (potential + backward)[:, 1:, None, :] - total[:, None, None, None])
     expected = (both * mask[:, 1:, None, None]).sum(axis=(0, 1))
-    length = (mask[:, 1:]).sum(axis=1)
-    expected[1, 1] -= (length * y).sum()
-    expected[0, 0] -= (length * (1 - y)).sum()
+    for a in (0, 1):
+        for b in (0, 1):
+            expected[a, b] -= ((y[:, :-1] == a) & (y[:, 1:] == b) & (mask[:, 1:] > 0)).sum()
     slope[width:] = expected.ravel()
     return slope
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """A model of ``labels`` (doc_id, quality) over the texts of ``docs``; the driver gets the sample's features only."""
     small_batches(docs.sparkSession)
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = bounded_sample(known, ["doc_id"], fit_docs, "quality")
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen_id"), "quality"))
-    sample = docs.join(chosen, docs["doc_id"] == F.col("chosen_id")).select("chosen_id", docs["text"], F.col("quality").cast("int"))
+    texts = docs.select(docs["doc_id"].alias("text_id"), docs["text"].alias("own_text"))
+    sample = texts.join(chosen, F.col("text_id") == F.col("chosen_id")).select("chosen_id", "own_text", F.col("quality").cast("int"))
 
     def work(batch: pa.RecordBatch):
         rows = []
         for text in batch.column(1).to_pylist():
-            x, _ = features(text)
-            if len(x) > fit_lines:
-                x = x[np.linspace(0, len(x) - 1, fit_lines).astype(int)]
-            rows.append(x.astype(np.float32).tobytes())
+            rows.append(features(text)[0].astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -155,7 +155,7 @@ def test_marginals_match_enumeration():
 
 def test_gradient_matches_differences():
     rng = np.random.default_rng(5)
-    x, mask, y = rng.normal(size=(3, 4, 2)), np.array([[1, 1, 1, 1], [1, 1, 0, 0], [1, 0, 0, 0.0]]), np.array([1.0, 0, 1])
+    x, mask, y = rng.normal(size=(3, 4, 2)), np.array([[1, 1, 1, 1], [1, 1, 0, 0], [1, 0, 0, 0.0]]), np.array([[1.0, 0, 0, 1], [0, 1, 0, 0], [1, 0, 0, 0]])
     x *= mask[:, :, None]
     theta = rng.normal(size=6)
 
@@ -165,7 +165,7 @@ def test_gradient_matches_differences():
             n = int(mask[d].sum())
             s, pair = x[d, :n] @ t[:2], t[2:].reshape(2, 2)
             value = lambda labels: sum(s[i] * labels[i] for i in range(n)) + sum(pair[a, b] for a, b in zip(labels, labels[1:], strict=False))  # noqa: E731,B023
-            total += np.log(sum(np.exp(value([(c >> i) & 1 for i in range(n)])) for c in range(2**n))) - value([int(y[d])] * n)
+            total += np.log(sum(np.exp(value([(c >> i) & 1 for i in range(n)])) for c in range(2**n))) - value([int(v) for v in y[d, :n]])
         return total
 
     step = np.eye(6) * 1e-6
