@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import stored
+
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_EPOCHS = 2
@@ -74,7 +76,7 @@ def mix(
     sized = docs.select("doc_id", F.col("source").alias("source_key"), word_count(F.col("text")).alias("size")).withColumn(
         "draw", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     )
-    sized = sized.withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
+    sized = stored(sized.withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")), "sized")  # texts are read once
     share = targets(sized, weights, budget, max_epochs)
     of_bucket = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("in_bucket"))
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,12 +113,9 @@ def repeats(docs: DataFrame, **options) -> DataFrame:
         F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("copies"),
     )
     plan = plan.groupBy("mix_id").agg(F.max("copies").alias("copies"))
-    return (
-        docs.join(plan, docs["doc_id"].eqNullSafe(plan["mix_id"]))
-        .where("copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    rows = docs.select(docs["doc_id"].alias("own_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # so that no name can clash
+    joined = rows.join(plan, F.col("own_id").eqNullSafe(F.col("mix_id"))).where("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 ORACLE = r"""
