@@ -83,7 +83,7 @@ def topic_key(category: Column) -> Column:
     own = F.lower(F.trim(category))
     cases = None
     for key, _, exact, prefixes in fixed.TOPIC_GROUPS[:-1]:
-        tests = [own == x for x in exact.split()] + [own.startswith(x) for x in prefixes.split()]
+        tests = [own == x for x in exact] + [own.startswith(x) for x in prefixes]
         test = reduce(lambda a, b: a | b, tests)
         cases = F.when(test, key) if cases is None else cases.when(test, key)
     return cases.otherwise(fixed.TOPIC_GROUPS[-1][0])
@@ -114,6 +114,18 @@ def in_topic(categories: Column, tokens: list[str]) -> Column:
     return F.arrays_overlap(topic_keys(categories), keys) | has_category(lowered, wanted)
 
 
+def dashboard_count(value: Column) -> Column:
+    """A number in thousands (K), millions (M) or billions (B): one decimal under ten of them, none from there; below 1,000 as it is."""
+    size = F.abs(value)
+    short = lambda n, unit: F.when(size / n < 10, F.format_string(f"%.1f{unit}", value / n)).otherwise(F.format_string(f"%.0f{unit}", value / n))
+    return F.when(size >= 1e9, short(1e9, "B")).when(size >= 1e6, short(1e6, "M")).when(size >= 1e3, short(1e3, "K")).otherwise(value.cast("long").cast("string"))
+
+
+def abstract_preview(text: Column) -> Column:
+    """First 480 characters of an abstract."""
+    return F.substring(text, 1, 480)
+
+
 def invert_index(index: Column) -> Column:
     """Text out of a map of words to places."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
@@ -268,7 +280,7 @@ def half_up(value: Column) -> Column:
 
 def calibrate(percentile: Column) -> Column:
     """Linear interpolation on the calibration grid."""
-    grid = F.array(*[F.lit(x) for x in fixed.calibration_grid()])
+    grid = F.array(*[F.lit(x) for x in fixed.CALIBRATION])
     place = F.least(F.greatest(percentile, F.lit(0.0)), F.lit(1.0)) * 40
     low = F.least(F.floor(place), F.lit(39)).cast("int")
     return F.get(grid, low) + (place - low) * (F.get(grid, low + 1) - F.get(grid, low))
