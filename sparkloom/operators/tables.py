@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import checkpoint_dir
+
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], keep_known: bool = False) -> DataFrame:
     """Rows of ``target`` with those of ``source`` inserted or, on equal keys, ``update`` columns replaced.
@@ -71,8 +73,12 @@ def hash_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def row_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers from 0 in ``order`` without one task seeing all rows: range partitions are numbered each, then offset by sums."""
-    spread = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    """Numbers from 0 in ``order`` without one task seeing all rows: range partitions are numbered each, then offset by sums.
+
+    The partition's number is stored with its rows by a checkpoint: planned anew, bounds and coalescing may differ from one branch
+    to the other, and the counts would belong to other partitions than the rows."""
+    checkpoint_dir(rows.sparkSession)
+    spread = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()).checkpoint()
     counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
