@@ -5,42 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import checkpoint_dir
+
 CHECKPOINT_EVERY = 5
 
 
-def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85, weight: str | None = None) -> DataFrame:
-    """(node, rank) of ``edges`` (src, dst); what nodes without out-links hold is spread over all.
+def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85, weight: str | None = None, tolerance: float | None = None, spread: bool = True, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, rank) of ``edges`` (src, dst) and of ``nodes`` (node) without links.
 
-    A fixed number of rounds; lineage is cut every few by a reliable checkpoint."""
+    What nodes without out-links hold is spread over all, or lost where ``spread`` is false. At most ``iterations`` rounds; with a
+    ``tolerance`` they end once ranks change by less in sum, which is looked at whenever lineage is cut by a reliable checkpoint."""
     spark = edges.sparkSession
     w = F.col(weight) if weight else F.lit(1.0)
     links = edges.select("src", "dst", w.alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = links.groupBy("src").agg(F.sum("w").alias("total"))
     shares = links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share"))
-    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    n = nodes.count()
+    every = links.select(F.col("src").alias("node")).union(links.select("dst"))
+    every = (every if nodes is None else every.union(nodes.select("node"))).distinct()
+    checkpoint_dir(spark)
+    every = every.checkpoint()
+    n = every.count()
     if not n:
-        return spark.createDataFrame([], nodes.schema).withColumn("rank", F.lit(0.0))
-    _ensure_checkpoints(spark)
+        return every.withColumn("rank", F.lit(0.0))
     shares = shares.checkpoint()
-    state = nodes.join(out.select(F.col("src").alias("node"), F.lit(True).alias("has_out")), "node", "left").select("node", F.coalesce("has_out", F.lit(False)).alias("has_out"), F.lit(1.0 / n).alias("rank")).checkpoint()
+    state = every.join(out.select(F.col("src").alias("node"), F.lit(True).alias("has_out")), "node", "left").select("node", F.coalesce("has_out", F.lit(False)).alias("has_out"), F.lit(1.0 / n).alias("rank")).checkpoint()
+    kept = state
     for i in range(1, iterations + 1):
         given = shares.join(state, shares["src"] == state["node"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        loose = state.agg(F.coalesce(F.sum(F.when(~F.col("has_out"), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        joined = state.join(given, state["node"] == given["dst"], "left").crossJoin(F.broadcast(loose))
-        state = joined.select("node", "has_out", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
+        got = F.coalesce("got", F.lit(0.0))
+        joined = state.join(given, state["node"] == given["dst"], "left")
+        if spread:
+            loose = state.agg(F.coalesce(F.sum(F.when(~F.col("has_out"), F.col("rank"))), F.lit(0.0)).alias("loose"))
+            joined, got = joined.crossJoin(F.broadcast(loose)), got + F.col("loose") / n
+        state = joined.select("node", "has_out", (F.lit((1 - damping) / n) + damping * got).alias("rank"))
         if i % CHECKPOINT_EVERY == 0:
             state = state.checkpoint()
+            if tolerance is not None:
+                moved = state.join(kept.select("node", F.col("rank").alias("before")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("before"))))
+                if (moved.first()[0] or 0.0) < tolerance:
+                    break
+                kept = state
     return state.select("node", "rank")
 
 
-def _ensure_checkpoints(spark) -> None:
-    import tempfile
-
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sparkloom-checkpoints-"))
-
-
 def causal_edges(edges: DataFrame) -> DataFrame:
     """Edges that don't cite the future."""
     return edges.where("t_src >= t_dst")
@@ -103,7 +110,8 @@ def reference_lists(edges: DataFrame) -> DataFrame:
 def cocitation_novelty(edges: DataFrame, month: int, most: int = 40) -> DataFrame:
     """(paper, z_median, z_low, share_new) over pairs of references: observed against expected co-citations before ``month``.
 
-    History is counted over whole reference lists; only the list of a paper that is scored is thinned to ``most``.
+    History is counted over whole reference lists; only the list of a paper that is scored is thinned to ``most``. A paper
+    with fewer than two references has no pairs and gets 0 for all three.
     Pairs of history are made of references that a scored paper has, since no other pair is looked up."""
     before = edges.where(F.col("t_src") < month)
     scored_lists = reference_lists(edges.where(F.col("t_src") == month)).select("paper", thinned(F.col("refs"), most).alias("refs"))
@@ -118,7 +126,9 @@ def cocitation_novelty(edges: DataFrame, month: int, most: int = 40) -> DataFram
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
     expected = F.greatest(F.try_divide(zero("sk") * zero("ka") * zero("kb"), zero("m") * zero("m")), F.lit(1e-6))
     scored = joined.withColumn("z", (zero("obs") - expected) / F.sqrt(expected))
-    return scored.groupBy("paper").agg(F.percentile("z", 0.5).alias("z_median"), F.percentile("z", 0.1).alias("z_low"), F.avg((F.col("z") <= 0).cast("double")).alias("share_new"))
+    told = scored.groupBy(F.col("paper").alias("of_paper")).agg(F.percentile("z", 0.5).alias("z_median"), F.percentile("z", 0.1).alias("z_low"), F.avg((F.col("z") <= 0).cast("double")).alias("share_new"))
+    every = scored_lists.select("paper").join(told, F.col("paper") == F.col("of_paper"), "left")
+    return every.select("paper", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("z_median", "z_low", "share_new")])
 
 
 def author_state(papers: DataFrame, month: int) -> DataFrame:
@@ -163,3 +173,88 @@ def term_features(papers: DataFrame, state: DataFrame, total: int, key: str) ->
     rarity = F.when(known, F.log(F.lit(float(max(total, 1))) / (F.coalesce("df", F.lit(0)) + 1)))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return each.groupBy(key).agg(zero(F.avg(burst)).alias("term_burst_mean"), zero(F.max(burst)).alias("term_burst_max"), zero(F.avg(rarity)).alias("term_rarity"))
+
+
+def coauthor_pagerank(papers: DataFrame, month: int, iterations: int = 30) -> DataFrame:
+    """(author, rank) over pairs of authors before ``month``, weighted by common papers; ranks are multiples of the mean.
+
+    Authors without a co-author hold what their rounds leave them; nothing is spread."""
+    before = papers.where(F.col("t") < month).select(F.array_distinct("authors").alias("authors"))
+    pairs = before.select(F.inline(pairs_of(F.col("authors"))))
+    edges = pairs.union(pairs.select("b", "a")).toDF("src", "dst")
+    authors = before.select(F.explode("authors").alias("node")).distinct()
+    ranks = pagerank(edges, iterations, spread=False, nodes=authors)
+    return ranks.crossJoin(F.broadcast(ranks.agg(F.count("*").alias("_n")))).select(F.col("node").alias("author"), (F.col("rank") * F.col("_n")).alias("rank"))
+
+
+def state_as_of(wanted: DataFrame, edges: DataFrame) -> DataFrame:
+    """``wanted`` (paper, obs, and more) with degree, vel12, recent6 and prior6 of ``paper`` as of its own month ``obs``.
+
+    Citations are counted by paper and month first, so a much-cited paper meets its rows as at most a row a month."""
+    monthly = edges.groupBy(F.col("dst").alias("_cited"), F.col("t_src").alias("_month")).agg(F.count("*").alias("_cites"))
+    asked = wanted.select("paper", "obs").distinct()
+    met = asked.join(monthly, (F.col("paper") == F.col("_cited")) & (F.col("_month") < F.col("obs")))
+    back = F.col("obs") - F.col("_month")
+    within = lambda a, b: F.sum(F.when(back.between(a, b), F.col("_cites")).otherwise(0))
+    state = met.groupBy("paper", "obs").agg(F.sum("_cites").alias("degree"), within(1, 12).alias("vel12"), within(1, 6).alias("recent6"), within(7, 12).alias("prior6"))
+    found = wanted.join(state, ["paper", "obs"], "left")
+    return found.select(*wanted.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("degree", "vel12", "recent6", "prior6")])
+
+
+def slot_totals(edges: DataFrame) -> DataFrame:
+    """(month, slots, slot_pairs): references made up to each month, and ordered pairs of them within a paper; a row a month."""
+    lists = edges.groupBy("src", F.col("t_src").alias("month")).agg(F.count("*").alias("k"))
+    monthly = lists.groupBy("month").agg(F.sum("k").alias("k1"), F.sum(F.col("k") * (F.col("k") - 1)).alias("k2"))
+    upto = Window.orderBy("month")  # as many rows as months
+    return monthly.select("month", F.sum("k1").over(upto).alias("slots"), F.sum("k2").over(upto).alias("slot_pairs"))
+
+
+def hubs(papers: DataFrame, edges: DataFrame, month: int, quantile: float = 0.99) -> DataFrame:
+    """(paper): those whose citations before ``month`` reach the quantile over all papers (paper, t) of earlier months, and one at least."""
+    degree = edges.where(F.col("t_src") < month).groupBy(F.col("dst").alias("_cited")).agg(F.count("*").alias("_degree"))
+    every = papers.join(degree, F.col("paper") == F.col("_cited"), "left").select("paper", "t", F.coalesce("_degree", F.lit(0)).alias("_degree"))
+    cut = every.where(F.col("t") < month).agg(F.greatest(F.percentile("_degree", quantile), F.lit(1.0)).alias("_cut"))
+    return every.crossJoin(F.broadcast(cut)).where(F.col("_degree") >= F.col("_cut")).select("paper")
+
+
+def elite_attention(edges: DataFrame, hub: DataFrame, month: int) -> DataFrame:
+    """(paper, attention): citations before ``month`` that come from ``hub`` (paper)."""
+    citing = edges.where(F.col("t_src") < month).join(hub.select(F.col("paper").alias("src")), "src", "left_semi")
+    return citing.groupBy(F.col("dst").alias("paper")).agg(F.count("*").alias("attention"))
+
+
+def reference_momentum(edges: DataFrame, papers: DataFrame, month: int, rank: DataFrame | None = None) -> DataFrame:
+    """Per paper that cites at ``month``: how its references are doing as of then.
+
+    Mean and largest 12-month velocity, acceleration (last six months against the six before), the largest burst ratio, the share of
+    hubs, attention that hubs pay to them, and with ``rank`` (node, rank) sum, mean and maximum of rank times nodes."""
+    refs = edges.where(F.col("t_src") == month).select("src", F.col("dst").alias("paper"), F.col("t_src").alias("obs"))
+    state = state_as_of(refs, edges)
+    hub = hubs(papers, edges, month)
+    marked = state.join(hub.withColumn("_hub", F.lit(1.0)), "paper", "left").join(elite_attention(edges, hub, month), "paper", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    found = [
+        F.avg(F.log1p("vel12")).alias("vel_mean"),
+        F.log1p(F.max("vel12")).alias("vel_max"),
+        (F.log1p(F.sum("recent6")) - F.log1p(F.sum("prior6"))).alias("acceleration"),
+        F.max((F.col("recent6") + 1) / (F.col("prior6") + 1)).alias("burst_ratio"),
+        F.avg(zero("_hub")).alias("hub_share"),
+        F.log1p(F.avg(zero("attention"))).alias("elite_attention"),
+    ]
+    if rank is not None:
+        scaled = rank.crossJoin(F.broadcast(rank.agg(F.count("*").alias("_n")))).select(F.col("node").alias("paper"), (F.col("rank") * F.col("_n")).alias("_rank"))
+        marked = marked.join(scaled, "paper", "left")
+        found += [F.log1p(f(zero("_rank"))).alias(f"rank_{name}") for name, f in (("sum", F.sum), ("mean", F.avg), ("max", F.max))]
+    return marked.groupBy(F.col("src").alias("paper")).agg(*found)
+
+
+def unseen_term_pairs(papers: DataFrame, month: int, key: str) -> DataFrame:
+    """(key, pairs, unseen) of papers (terms, t) of ``month``: pairs of a paper's terms, and those that no earlier paper has.
+
+    Only pairs of this month's papers are looked up, so history is made into pairs of their terms alone."""
+    now = papers.where(F.col("t") == month).select(key, F.inline_outer(pairs_of(F.col("terms"))))
+    wanted = now.select(F.col("a").alias("term")).union(now.select("b")).distinct().where("term IS NOT NULL")
+    history = papers.where(F.col("t") < month).select(key, F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi")
+    seen = history.groupBy(key).agg(F.collect_set("term").alias("terms")).select(F.inline(pairs_of(F.col("terms")))).distinct().withColumn("_seen", F.lit(1))
+    met = now.join(seen, ["a", "b"], "left")
+    return met.groupBy(key).agg(F.count("a").alias("pairs"), F.sum((F.col("a").isNotNull() & F.col("_seen").isNull()).cast("long")).alias("unseen"))

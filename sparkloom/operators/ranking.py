@@ -62,7 +62,7 @@ def signal_scores(rows: DataFrame, weights: dict[str, float], by: list[str], key
     pct = percentile_rank(F.col("value"), [*by, "signal"])
     table = F.create_map(*[F.lit(y) for x in weights.items() for y in x])
     weighed = long.withColumn("pct", pct).withColumn("w", table[F.col("signal")])
-    reasons = F.array_sort(F.collect_list(F.when(F.col("w") * (F.col("pct") - 0.5) > 0, F.struct((-F.col("w") * (F.col("pct") - 0.5)).alias("minus"), F.col("signal").alias("signal")))))
+    reasons = F.array_sort(F.collect_list(F.when(F.col("w") * (F.col("pct") - 0.5) > 0, F.struct(F.round(-F.col("w") * (F.col("pct") - 0.5), 12).alias("minus"), F.col("signal").alias("signal")))))
     total = F.aggregate(F.array_sort(F.collect_list(F.struct("signal", (F.col("w") * F.col("pct")).alias("x")))), F.lit(0.0), lambda a, x: a + x["x"])
     return weighed.groupBy(*by, key).agg(total.alias("signal_total"), F.transform(F.slice(reasons, 1, 3), lambda x: x["signal"]).alias("reasons"))
 

@@ -189,7 +189,7 @@ def topic_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.facets(shapes.papers(spark, sf_dir), scalars.topic_keys(F.col("categories")), [g[0] for g in fixed.TOPIC_GROUPS])
 
 
-@register("topic_filter", f"WITH {shapes.PAPERS_SQL} SELECT paper_id FROM papers WHERE doc_topic(paper_id)".replace("doc_topic(paper_id)", "paper_id % 5 IN (0, 1, 4)"))
+@register("topic_filter", f"WITH {shapes.PAPERS_SQL} SELECT paper_id FROM papers WHERE len(list_filter(list_transform(categories, lambda c: lower(c)), lambda c: c IN ('cs.ai', 'cs.lg', 'stat.ml', 'cs.ne') OR c = 'q-bio' OR starts_with(c, 'q-bio.'))) > 0")
 def topic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.papers(spark, sf_dir).where(scalars.in_topic(F.col("categories"), ["ai-ml", "Q-Bio"])).select("paper_id")
 
@@ -256,11 +256,11 @@ def topic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "text_search",
-    f"WITH {shapes.PAPERS_SQL} SELECT paper_id, title FROM papers WHERE contains(lower(title), 'the') OR contains(lower(abstract), 'que ')",
+    f"WITH {shapes.PAPERS_SQL} SELECT paper_id, title FROM papers WHERE contains(lower(title), 'the') OR contains(lower(abstract_preview), 'que ')",
 )
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = shapes.papers(spark, sf_dir)
-    return p.where(F.contains(F.lower("title"), F.lit("the")) | F.contains(F.lower("abstract"), F.lit("que "))).select("paper_id", "title")
+    return p.where(F.contains(F.lower("title"), F.lit("the")) | F.contains(F.lower("abstract_preview"), F.lit("que "))).select("paper_id", "title")
 
 
 @register("compact_counts", "SELECT p_partkey, CASE WHEN v >= 1000000 THEN printf('%.1fM', v / 1000000) WHEN v >= 10000 THEN floor(v / 1000 + 0.5)::BIGINT || 'k' WHEN v >= 1000 THEN printf('%.1fk', v / 1000) ELSE v::BIGINT::VARCHAR END AS label FROM (SELECT p_partkey, (p_partkey * p_size * 7)::DOUBLE AS v FROM part)")
@@ -268,10 +268,12 @@ def compact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scalars.compact_count(F.col("p_partkey") * F.col("p_size") * 7).alias("label"))
 
 
-@register("calibrated", "SELECT c_custkey, round(CASE WHEN p <= 0.125 THEN 0 ELSE NULL END, 9) AS low FROM (SELECT c_custkey, (c_custkey % 1001) / 1000.0 AS p FROM customer) WHERE p <= 0.125")
+@register("calibrated", f"""WITH g AS (SELECT {list(fixed.CALIBRATION)} AS g), c AS (SELECT c_custkey, (c_custkey % 1001) / 1000.0 AS p FROM customer),
+    i AS (SELECT *, least(floor(p * 40), 39)::INT AS i FROM c)
+    SELECT c_custkey, round(g[i + 1] + (p * 40 - i) * (g[i + 2] - g[i + 1]), 8) AS probability FROM i, g""")
 def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = (F.col("c_custkey") % 1001) / 1000.0
-    return table(spark, sf_dir, "customer").where(p <= 0.125).select("c_custkey", F.round(scalars.calibrate(p), 9).alias("low"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(scalars.calibrate(p), 8).alias("probability"))
 
 
 @register("xml_and_bibtex", "SELECT s_suppkey, replace(replace(s_name || ' <&>', '&', '&amp;'), '<', '&lt;').replace('>', '&gt;') AS xml, regexp_replace(s_name || ' 5% & #', '([%&#])', '\\\\\\1', 'g') AS bib FROM supplier")
@@ -465,13 +467,15 @@ def reference_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "cocitation_novelty",
-    f"""{_E}, lists AS (SELECT src AS paper, t_src AS t, list_sort(list(DISTINCT dst)) AS all_refs FROM edges GROUP BY 1, 2),
-    thin AS (SELECT paper, t, CASE WHEN len(all_refs) <= 12 THEN all_refs ELSE [all_refs[(i * len(all_refs)) // 12 + 1] FOR i IN range(0, 12)] END AS refs FROM lists),
-    flat AS (SELECT paper, t, unnest(refs) AS r FROM thin), pairs AS (SELECT x.paper, x.t, x.r AS a, y.r AS b FROM flat x JOIN flat y ON x.paper = y.paper AND x.r < y.r),
-    seen AS (SELECT a, b, count(*) AS obs FROM pairs WHERE t < 60 GROUP BY 1, 2), deg AS (SELECT r, count(*) AS k FROM flat WHERE t < 60 GROUP BY 1),
-    tot AS (SELECT sum(len(refs))::DOUBLE AS m, sum(len(refs) * (len(refs) - 1))::DOUBLE AS sk FROM thin WHERE t < 60),
-    z AS (SELECT p.paper, coalesce(s.obs, 0) AS obs, greatest(sk * coalesce(ka.k, 0) * coalesce(kb.k, 0) / (m * m), 1e-6) AS ex FROM pairs p CROSS JOIN tot LEFT JOIN seen s ON s.a = p.a AND s.b = p.b LEFT JOIN deg ka ON ka.r = p.a LEFT JOIN deg kb ON kb.r = p.b WHERE p.t = 60)
-    SELECT paper, round(quantile_cont((obs - ex) / sqrt(ex), 0.5), 6) AS z_median, round(quantile_cont((obs - ex) / sqrt(ex), 0.1), 6) AS z_low, round(avg(((obs - ex) / sqrt(ex) <= 0)::INT), 9) AS share_new FROM z GROUP BY 1""",
+    f"""{_E}, history AS (SELECT src, dst FROM edges WHERE t_src < 60), cited AS (SELECT dst, count(*) AS k FROM history GROUP BY 1),
+    citing AS (SELECT src, count(*) AS s FROM history GROUP BY 1), slots AS (SELECT sum(s)::DOUBLE AS m, sum(s * (s - 1))::DOUBLE AS sk FROM citing),
+    met AS (SELECT x.dst AS a, y.dst AS b, count(*) AS obs FROM history x JOIN history y ON x.src = y.src AND x.dst < y.dst GROUP BY 1, 2),
+    placed AS (SELECT src AS paper, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i, count(*) OVER (PARTITION BY src) AS n FROM edges WHERE t_src = 60),
+    own AS (SELECT paper, dst FROM placed WHERE n <= 40 OR i IN (SELECT (j * n) // 40 FROM range(0, 40) r(j))),
+    z AS (SELECT p.paper, coalesce(met.obs, 0) AS obs, greatest(sk * coalesce(ka.k, 0) * coalesce(kb.k, 0) / (m * m), 1e-6) AS ex
+      FROM own p JOIN own q ON p.paper = q.paper AND p.dst < q.dst CROSS JOIN slots LEFT JOIN met ON met.a = p.dst AND met.b = q.dst LEFT JOIN cited ka ON ka.dst = p.dst LEFT JOIN cited kb ON kb.dst = q.dst),
+    scored AS (SELECT paper, quantile_cont((obs - ex) / sqrt(ex), 0.5) AS z_median, quantile_cont((obs - ex) / sqrt(ex), 0.1) AS z_low, avg(((obs - ex) / sqrt(ex) <= 0)::INT) AS share_new FROM z GROUP BY 1)
+    SELECT o.paper, round(coalesce(z_median, 0), 6) AS z_median, round(coalesce(z_low, 0), 6) AS z_low, round(coalesce(share_new, 0), 9) AS share_new FROM (SELECT DISTINCT paper FROM own) o LEFT JOIN scored s ON s.paper = o.paper""",
 )
 def cocitation_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.cocitation_novelty(shapes.edges(spark, sf_dir), 60, 40)
@@ -558,8 +562,7 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("approximate_neighbours")
 def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    query = v.where("vec_id = 0").first()["embedding"]
-    return vectors.approximate_neighbours(v.where("vec_id <> 0"), query, "vec_id", "embedding", 10, 100)
+    return vectors.approximate_neighbours(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
 
 
 # --- incremental ----------------------------------------------------------------------------------------
@@ -600,9 +603,9 @@ def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.controls(shapes.points(spark, sf_dir))
 
 
-@register("author_search", f"WITH {shapes.AUTHORED_SQL} SELECT paper_id, t::INT AS t FROM authored WHERE list_contains(authors, 'a17')")
+@register("author_search", f"WITH {shapes.AUTHORED_SQL} SELECT paper_id, t::INT AS t FROM authored WHERE list_contains(authors, 's17')")
 def author_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.search(shapes.authored(spark, sf_dir), 'author: "A17"', (), "authors").select("paper_id", "t")
+    return serving.search(shapes.authored(spark, sf_dir), 'author: "S17"', (), "authors").select("paper_id", "t")
 
 
 @register(

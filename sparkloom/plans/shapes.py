@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions import scalars
 from sparkloom.session import table
 
-#: Papers out of documents.
+#: Papers out of documents: the first line is the title, the whole text the abstract.
 PAPERS_SQL = """papers AS (
-  SELECT doc_id AS paper_id, substr(text, 1, 80) AS title, substr(text, 1, 480) AS abstract, source, lang,
+  SELECT doc_id AS paper_id, split_part(text, chr(10), 1) AS title, text AS abstract, substr(text, 1, 480) AS abstract_preview, source, lang,
          TIMESTAMP '2020-01-01' + to_hours((doc_id % 20000)::INT) AS submitted_at,
          CASE doc_id % 5 WHEN 0 THEN ['cs.LG', 'stat.ML'] WHEN 1 THEN ['cs.CV', 'cs.LG'] WHEN 2 THEN ['hep-th'] WHEN 3 THEN ['math.CO', 'cs.DM'] ELSE ['q-bio.NC', 'physics.bio-ph', 'econ'] END AS categories
   FROM documents)"""
@@ -23,8 +24,9 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         categories = F.when(F.col("doc_id") % 5 == i, F.array(*[F.lit(x) for x in names])).otherwise(categories)
     return docs.select(
         F.col("doc_id").alias("paper_id"),
-        F.substring("text", 1, 80).alias("title"),
-        F.substring("text", 1, 480).alias("abstract"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.col("text").alias("abstract"),
+        scalars.abstract_preview(F.col("text")).alias("abstract_preview"),
         "source",
         "lang",
         (F.lit("2020-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("doc_id") % 20000).cast("int"))).alias("submitted_at"),
@@ -44,28 +46,35 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    s, d = F.col("l_orderkey") % 400, F.col("l_partkey") % 400
-    return lines.select(s.alias("src"), d.alias("dst"), F.floor(s / 5).cast("int").alias("t_src"), F.floor(d / 5).cast("int").alias("t_dst")).where("src <> dst").distinct()
+    s, d = F.col("l_orderkey"), F.col("l_partkey")
+    return lines.select(s.alias("src"), d.alias("dst"), _month(s).alias("t_src"), _month(d).alias("t_dst")).where("src <> dst").distinct()
 
 
-#: A dated citation graph out of order lines.
+def _month(key: Column) -> Column:
+    """A paper's month, 0 to 79."""
+    return (key * 37 % 80).cast("int")
+
+
+#: A dated citation graph out of order lines: papers are all keys of orders and parts, each with a month of its own.
 EDGES_SQL = """edges AS (
-  SELECT DISTINCT l_orderkey % 400 AS src, l_partkey % 400 AS dst, ((l_orderkey % 400) // 5)::INT AS t_src, ((l_partkey % 400) // 5)::INT AS t_dst
-  FROM lineitem WHERE l_orderkey % 400 <> l_partkey % 400)"""
+  SELECT DISTINCT l_orderkey AS src, l_partkey AS dst, (l_orderkey * 37 % 80)::INT AS t_src, (l_partkey * 37 % 80)::INT AS t_dst
+  FROM lineitem WHERE l_orderkey <> l_partkey)"""
 
-#: Authored papers out of orders: three names from a paper's keys.
+#: Authored papers out of orders: the customer and the suppliers of an order wrote it.
 AUTHORED_SQL = """authored AS (
   SELECT o_orderkey AS paper_id, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS t,
-         ['a' || (o_custkey % 300), 'a' || (o_orderkey % 211), 'a' || ((o_custkey + o_orderkey) % 173)] AS authors FROM orders)"""
+         list_concat(['c' || o_custkey], coalesce(s.names, [])) AS authors
+  FROM orders LEFT JOIN (SELECT l_orderkey, list_sort(list(DISTINCT 's' || l_suppkey)) AS names FROM lineitem GROUP BY 1) s ON s.l_orderkey = o_orderkey)"""
 
 
 def authored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkloom.functions.scalars import month_index
-
-    orders = table(spark, sf_dir, "orders")
-    name = lambda n: F.concat(F.lit("a"), n.cast("string"))
-    c, o = F.col("o_custkey"), F.col("o_orderkey")
-    return orders.select(o.alias("paper_id"), month_index(F.col("o_orderdate")).alias("t"), F.array(name(c % 300), name(o % 211), name((c + o) % 173)).alias("authors"))
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    names = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(name("s", "l_suppkey"))).alias("names"))  # an order has few lines
+    joined = orders.join(names, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    own = F.array(name("c", "o_custkey"))
+    authors = F.when(F.col("names").isNull(), own).otherwise(F.concat(own, "names"))
+    return joined.select(F.col("o_orderkey").alias("paper_id"), scalars.month_index(F.col("o_orderdate")).alias("t"), authors.alias("authors"))
 
 
 #: Map points out of embeddings.
