@@ -37,6 +37,12 @@ def binned(points: DataFrame, grid: DataFrame, bins: int) -> DataFrame:
     return both.withColumn("bin_x", bin_of(F.col("x"), F.col("x_lo"), F.col("x_hi"), n)).withColumn("bin_y", bin_of(F.col("y"), F.col("y_lo"), F.col("y_hi"), n))
 
 
+def whole_edges(points: DataFrame) -> DataFrame:
+    """One row of the grid's ends that holds all points: their least and largest, without a margin; a span of 0 counts as 1e-6."""
+    ends = points.agg(*[f(a).alias(f"{a}_{n}") for a in ("x", "y") for n, f in (("lo", F.min), ("top", F.max))])
+    return ends.select(*[c for a in ("x", "y") for c in (F.col(f"{a}_lo"), F.greatest(F.col(f"{a}_top"), F.col(f"{a}_lo") + 1e-6).alias(f"{a}_hi"))])
+
+
 def density(points: DataFrame, grid: DataFrame, bins: int) -> DataFrame:
     """Counts and centres of cells that have points."""
     n = max(bins, LEAST_BINS)

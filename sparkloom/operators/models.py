@@ -76,11 +76,11 @@ def poisson(features: list[str], label: str, penalty: float = 1e-3) -> Fit:
     return _regression(lambda: GeneralizedLinearRegression(featuresCol="_x", labelCol="_y", family="poisson", link="log", regParam=penalty), features, label)
 
 
-def boosted_regression(features: list[str], label: str, rounds: int = 50, seed: int = 7) -> Fit:
+def boosted_regression(features: list[str], label: str, rounds: int = 300, seed: int = 7) -> Fit:
     return _regression(lambda: GBTRegressor(featuresCol="_x", labelCol="_y", maxDepth=3, stepSize=0.06, maxIter=rounds, minInstancesPerNode=40, seed=seed), features, label)
 
 
-def boosted_classifier(features: list[str], label: str, rounds: int = 50, seed: int = 7) -> Fit:
+def boosted_classifier(features: list[str], label: str, rounds: int = 300, seed: int = 7) -> Fit:
     def fit(rows: DataFrame):
         weighed = balanced(rows, label).withColumn("_y", F.col(label).cast("double"))
         model = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxDepth=3, stepSize=0.06, maxIter=rounds, seed=seed).fit(_assembled(weighed, features))

@@ -66,3 +66,76 @@ def first_wins(frames: list[DataFrame], key: str) -> DataFrame:
 
     tagged = [f.withColumn("_source", F.lit(i)) for i, f in enumerate(frames)]
     return last_by(reduce(DataFrame.unionByName, tagged), [key], [F.col("_source")]).drop("_source")
+
+
+def discovered(spark: SparkSession, root: str, preferred: tuple[str, ...], words: tuple[str, ...]) -> list[str]:
+    """Files to read under ``root``: the first of ``preferred`` that is there, else all files, at any depth, whose name has every word, sorted."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in preferred:
+        if system.exists(hadoop(f"{root}/{name}")):
+            return [f"{root}/{name}"]
+    if not system.exists(hadoop(root)):
+        return []
+    found, listing = [], system.listFiles(hadoop(root), True)
+    while listing.hasNext():
+        path = listing.next().getPath()
+        if all(w in path.getName().lower() for w in words):
+            found.append(path.toString())
+    return sorted(found)
+
+
+def snapshots(spark: SparkSession, folder: str, categories: list[str], paper: str) -> tuple[DataFrame, list[str]]:
+    """(papers of the categories' JSON snapshots with their category, categories that have none or one that can't be read).
+
+    One bad file takes only its own category away. ``paper`` is the DDL of a paper."""
+    from sparkloom.operators.publishing import exists
+
+    there = [c for c in categories if exists(spark, f"{folder}/{c}.json")]
+    if not there:
+        return spark.createDataFrame([], f"category string, {paper}"), list(categories)
+    whole = spark.read.option("wholetext", "true").text([f"{folder}/{c}.json" for c in there])
+    parsed = whole.select(F.from_json("value", f"category string, fetchedAt string, papers array<struct<{paper}>>", {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    good = parsed.where(F.col("papers").isNotNull() & F.col("category").isin(*there))
+    read = {r[0] for r in good.select("category").distinct().collect()}
+    return good.select("category", F.explode("papers").alias("p")).select("category", "p.*"), [c for c in categories if c not in read]
+
+
+def with_fallback(spark: SparkSession, path: str, older: str, schema: str, renames: dict[str, str], defaults: dict[str, object]) -> DataFrame:
+    """``path`` in the columns of ``schema``; where it isn't there, ``older`` with its columns renamed. Absent columns and nulls take ``defaults``."""
+    from sparkloom.operators.publishing import exists
+
+    wanted = T.StructType.fromDDL(schema)
+    if exists(spark, path):
+        found = spark.read.parquet(path)
+    elif exists(spark, older):
+        found = spark.read.parquet(older)
+        found = found.withColumnsRenamed({a: b for a, b in renames.items() if a in found.columns and b not in found.columns})
+    else:
+        return spark.createDataFrame([], wanted)
+    value = lambda f: F.coalesce(F.col(f.name).cast(f.dataType) if f.name in found.columns else F.lit(None).cast(f.dataType), F.lit(defaults.get(f.name)).cast(f.dataType))
+    return found.select(*[value(f).alias(f.name) for f in wanted])
+
+
+def synthetic_points(spark: SparkSession, size: int = 3_000, clusters: int = 5, seed: int = 42) -> DataFrame:
+    """Stand-in map points where nothing is published: normal clusters around a circle, the same for a seed."""
+    n = spark.range(size)
+    cluster = (F.col("id") % clusters).cast("int")
+    angle = 2 * F.pi() * cluster / clusters
+    return n.select(
+        F.concat(F.lit("synthetic-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("doc_id"),
+        cluster.alias("cluster"),
+        (4 * F.cos(angle) + F.randn(seed)).alias("x"),
+        (4 * F.sin(angle) + F.randn(seed + 1)).alias("y"),
+        (2015 + F.col("id") % 10).cast("int").alias("year"),
+    )
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """Papers of a JSON array whose authors and tags are reprs of Python lists; the first of each id stays."""
+    schema = "id string, title string, summary string, author string, tag string, year int, month int, day int"
+    rows = spark.read.schema(schema).option("multiLine", "true").json(path)
+    names = F.regexp_extract_all("author", F.lit(r"""'name':\s*(?:'([^']*)'|"[^"]*")"""), F.lit(1))
+    terms = F.regexp_extract_all("tag", F.lit(r"'term':\s*'([^']*)'"), F.lit(1))
+    typed = rows.select("id", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"), F.col("summary").alias("abstract"), F.filter(names, lambda x: x != "").alias("authors"), terms.alias("categories"), "year", "month", "day")
+    return typed.where("id IS NOT NULL").dropDuplicates(["id"])

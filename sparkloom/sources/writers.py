@@ -46,3 +46,16 @@ def rss(rows: DataFrame, category: str, most: int = 40) -> DataFrame:
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", item.alias("x")))), lambda s: s["x"]), "")
     head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>'), xml_escape(F.col(category)), F.lit("</title>"))
     return newest.groupBy(category).agg(items.alias("_items")).select(category, F.concat(head, F.col("_items"), F.lit("</channel></rss>")).alias("rss"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_model(spark: SparkSession, path: str, weights: dict[str, float], validation: dict[str, float]) -> None:
+    """A linear model as one JSON file, names in order, so that two exports of the same model are equal."""
+    import json
+
+    from sparkloom.operators.publishing import write_text
+
+    write_text(spark, path, json.dumps({"weights": weights, "validation": validation}, sort_keys=True))

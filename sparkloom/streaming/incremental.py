@@ -41,6 +41,30 @@ def fold_authors(state: DataFrame, batch: DataFrame, month: int, horizon: int =
     return both.groupBy("author").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where(F.col("last") >= month - horizon)
 
 
+def folded(memory: dict[str, DataFrame] | None, papers: DataFrame, month: int, horizon: int = HORIZON_MONTHS) -> dict[str, DataFrame]:
+    """Corpus memory after a batch of papers (paper_id, authors, terms, t): the given one isn't changed, and what is scored before the fold sees only it.
+
+    authors (author, n, last, deg): papers, last month, collaborators met so far; authors unseen beyond the horizon go.
+    collaborators (author, other, last): pairs, so that meeting again counts once; they go with the horizon too.
+    terms (term, month, df) and volume (month, n): papers that have a term, and all papers, by month within the horizon."""
+    oldest = month - horizon
+    each = papers.select("t", F.explode(F.array_distinct("authors")).alias("author"))
+    fresh = each.groupBy("author").agg(F.count("*").alias("n"), F.max("t").alias("last"))
+    met = papers.select("t", F.array_distinct("authors").alias("a")).select("t", F.explode("a").alias("author"), "a").select("author", F.explode("a").alias("other"), "t").where("author <> other")
+    met = met.groupBy("author", "other").agg(F.max("t").alias("last"))
+    terms = papers.select("t", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term", F.col("t").alias("month")).agg(F.count("*").alias("df"))
+    volume = papers.groupBy(F.col("t").alias("month")).agg(F.count("*").alias("n"))
+    if memory is not None:
+        fresh = memory["authors"].select("author", "n", "last").union(fresh).groupBy("author").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        met = memory["collaborators"].union(met).groupBy("author", "other").agg(F.max("last").alias("last"))
+        terms = memory["terms"].union(terms).groupBy("term", "month").agg(F.sum("df").alias("df"))
+        volume = memory["volume"].union(volume).groupBy("month").agg(F.sum("n").alias("n"))
+    met = met.where(F.col("last") >= oldest)
+    degree = met.groupBy("author").agg(F.count("*").alias("deg"))
+    authors = fresh.where(F.col("last") >= oldest).join(degree, "author", "left").select("author", "n", "last", F.coalesce("deg", F.lit(0)).alias("deg"))
+    return {"authors": authors, "collaborators": met, "terms": terms.where(F.col("month") >= oldest), "volume": volume.where(F.col("month") >= oldest)}
+
+
 def deduplicated(stream: DataFrame, keys: list[str], moment: str, late: str = "48 hours") -> DataFrame:
     """A stream without repeats of a key within the lateness; the moment must be a timestamp with zone."""
     typed = stream.withColumn(moment, F.col(moment).cast("timestamp"))
