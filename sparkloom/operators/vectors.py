@@ -8,6 +8,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import checkpoint_dir
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -153,14 +155,49 @@ def principal_components(rows: DataFrame, sample: DataFrame, vector: str, k: int
     return model.transform(centred).withColumn("pca", vector_to_array("p")).drop("v", "p")
 
 
+def _weighed(counts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    """(key, term, u): unit TF-IDF vectors of ``counts`` (key, term, tf) in the terms of ``idf`` (term, idf)."""
+    weighed = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    lengths = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return weighed.join(lengths, key).select(key, "term", (F.col("w") / F.col("length")).alias("u"))
+
+
+def _term_counts(docs: DataFrame, key: str, terms: str) -> DataFrame:
+    """(key, term, tf), stored: terms are derived from texts, which is the dear part, and counts are asked for several times."""
+    checkpoint_dir(docs.sparkSession)
+    return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")).checkpoint()
+
+
+def _idf(counts: DataFrame, n: DataFrame, min_df: int, features: int | None) -> DataFrame:
+    """(term, idf) with idf = ln((1 + n)/(1 + df)) + 1, of terms in ``min_df`` documents; of these the ``features`` most frequent."""
+    known = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    if features is not None:
+        known = known.orderBy(F.desc("total"), "term").limit(features)
+    return known.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def tfidf_similarity(docs: DataFrame, key: str, terms: str, min_df: int = 2) -> DataFrame:
-    """(key, centroid_similarity): cosine of each document to the mean of all unit TF-IDF vectors; idf = ln((1 + n)/(1 + df)) + 1."""
+    """(key, centroid_similarity): cosine of each document to the mean of all unit TF-IDF vectors."""
     n = docs.agg(F.count("*").alias("n"))
-    tf = docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    lengths = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    unit = weighed.join(lengths, key).select(key, "term", (F.col("w") / F.col("length")).alias("u"), "n")
-    centroid = unit.groupBy("term").agg((F.sum("u") / F.first("n")).alias("c"))
+    counts = _term_counts(docs, key, terms)
+    unit = _weighed(counts, key, _idf(counts, n, min_df, None))
+    centroid = unit.groupBy("term").agg(F.sum("u").alias("c")).crossJoin(F.broadcast(n)).select("term", (F.col("c") / F.col("n")).alias("c"))
     size = centroid.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
     return unit.join(centroid, "term").groupBy(key).agg(F.sum(F.col("u") * F.col("c")).alias("d")).crossJoin(F.broadcast(size)).select(key, (F.col("d") / F.col("size")).alias("centroid_similarity"))
+
+
+def recent_similarity(docs: DataFrame, key: str, terms: str, month: int, months: int = 6, min_df: int = 2, features: int = 20_000, least: int = 50) -> DataFrame:
+    """(key, similarity) of documents (key, terms, t) of ``month`` to the mean of the ``months`` before it, whose terms alone count.
+
+    0 for a document without such terms, and for all where the months before have ``least`` documents or fewer."""
+    before = docs.where((F.col("t") >= month - months) & (F.col("t") < month))
+    n = before.agg(F.count("*").alias("n"))
+    counts = _term_counts(before, key, terms)
+    idf = _idf(counts, n, min_df, features)
+    centroid = _weighed(counts, key, idf).groupBy("term").agg(F.sum("u").alias("c"))
+    size = centroid.agg(F.greatest(F.sqrt(F.sum(F.col("c") * F.col("c"))), F.lit(1e-9)).alias("size"))
+    now = docs.where(F.col("t") == month)
+    own = _weighed(now.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), key, idf)
+    scored = own.join(centroid, "term").groupBy(F.col(key).alias("_key")).agg(F.sum(F.col("u") * F.col("c")).alias("d")).crossJoin(F.broadcast(size)).crossJoin(F.broadcast(n))
+    told = scored.select("_key", F.when(F.col("n") > least, F.col("d") / F.col("size")).otherwise(0.0).alias("s"))
+    return now.select(key).join(told, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("s", F.lit(0.0)).alias("similarity"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fixed
-from sparkloom.operators import evaluation, graph, ranking
+from sparkloom.operators import evaluation, graph, ranking, vectors
 from sparkloom.plans import shapes
 from sparkloom.plans.catalog import _A, _AVG, _E, _R, _TERMS, _term_papers
 from sparkloom.plans.registry import register
@@ -106,6 +106,19 @@ def slot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.slot_totals(shapes.edges(spark, sf_dir))
 
 
+@register(
+    "recent_similarity",
+    f"""WITH {_TERMS}, w AS (SELECT * FROM terms WHERE t >= 24 AND t < 36), n AS (SELECT count(*) AS n FROM w), c AS (SELECT paper_id, term, count(*) AS tf FROM (SELECT paper_id, unnest(terms) AS term FROM w) GROUP BY 1, 2),
+    k AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf, sum(tf) AS total FROM c, n GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500),
+    v AS (SELECT paper_id, c.term, tf * idf AS w FROM c JOIN k ON k.term = c.term), u AS (SELECT paper_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)) AS u FROM v), m AS (SELECT term, sum(u) AS c FROM u GROUP BY 1),
+    oc AS (SELECT paper_id, term, count(*) AS tf FROM (SELECT paper_id, unnest(terms) AS term FROM terms WHERE t = 36) GROUP BY 1, 2), ov AS (SELECT paper_id, oc.term, tf * idf AS w FROM oc JOIN k ON k.term = oc.term),
+    ou AS (SELECT paper_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)) AS u FROM ov), s AS (SELECT paper_id, sum(u * c) / (SELECT sqrt(sum(c * c)) FROM m) AS s FROM ou JOIN m ON m.term = ou.term GROUP BY 1)
+    SELECT t.paper_id, round(CASE WHEN (SELECT n FROM n) > 10 THEN coalesce(s, 0) ELSE 0 END, 7) AS similarity FROM terms t LEFT JOIN s ON s.paper_id = t.paper_id WHERE t.t = 36""",
+)
+def recent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(vectors.recent_similarity(_term_papers(spark, sf_dir), "paper_id", "terms", 36, 12, features=500, least=10), "similarity", places=7)
+
+
 # --- evaluation -----------------------------------------------------------------------------------
 
 
