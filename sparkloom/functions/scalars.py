@@ -292,4 +292,33 @@ def year_ticks(first: Column, last: Column) -> Column:
 
 
 def snapshot_id(taxonomy: str, model: str, moment: Column) -> Column:
-    return F.concat(F.lit(f"{taxonomy}-{model}-".replace(".", "-")), F.date_format(moment, "yyyyMMdd'T'HHmmss'Z'"))
+    """A snapshot's name: its moment, taxonomy and model; names order by time."""
+    names = f"__{taxonomy.replace(',', '-').replace(' ', '')}__{model.replace('/', '-')}"
+    return F.concat(F.date_format(moment, "yyyyMMdd'T'HHmmss'Z'"), F.lit(names))
+
+
+def snapshot_time(name: Column) -> Column:
+    """The moment in a snapshot's name; null where there is none."""
+    return F.try_to_timestamp(F.split_part(name, F.lit("__"), F.lit(1)), F.lit("yyyyMMdd'T'HHmmss'Z'"))
+
+
+def arxiv_doi(paper: Column) -> Column:
+    """The DOI that a paper of the new id scheme has; null for others."""
+    return F.when(paper.rlike(r"^\d{4}\.\d{4,5}$"), F.concat(F.lit("10.48550/arxiv."), paper))
+
+
+def paper_of_doi(value: Column) -> Column:
+    """The paper's id in such a DOI, or in a link to its page; null without one."""
+    found = F.regexp_extract(F.lower(value), r"(?:10\.48550/arxiv\.|arxiv\.org/(?:abs|pdf)/)(\d{4}\.\d{4,5})", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def snippet(text: Column) -> Column:
+    """First 320 characters, blanks collapsed."""
+    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 320)
+
+
+def camel_payload(columns: list[str]) -> Column:
+    """Columns as one JSON object with names in camel case; numbers with a fraction to four places are rounded before."""
+    camel = lambda c: c.split("_")[0] + "".join(x.capitalize() for x in c.split("_")[1:])
+    return F.to_json(F.struct(*[F.col(c).alias(camel(c)) for c in columns]), {"ignoreNullFields": "false"})

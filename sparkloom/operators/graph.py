@@ -140,18 +140,25 @@ def author_state(papers: DataFrame, month: int) -> DataFrame:
     return own.join(both, "author", "left").select("author", "n", "last", F.coalesce("deg", F.lit(0)).alias("deg"))
 
 
-def author_features(papers: DataFrame, state: DataFrame, month: int, key: str) -> DataFrame:
-    """Per paper: team size, share of new authors, prior papers, recency, degree and reach."""
+def author_features(papers: DataFrame, state: DataFrame, month: int, key: str, rank: DataFrame | None = None) -> DataFrame:
+    """Per paper: team size, share of new authors, prior papers (largest, and log of the mean), recency, degree and reach, and with ``rank``
+    (author, rank) the largest rank."""
     each = papers.select(key, F.explode_outer(F.array_distinct("authors")).alias("author"))
     joined = each.join(state, "author", "left")
+    more = []
+    if rank is not None:
+        joined = joined.join(rank, "author", "left")
+        more = [F.log1p(F.max(F.coalesce("rank", F.lit(0.0)))).alias("author_pagerank_max")]
     n = F.coalesce("n", F.lit(0))
     return joined.groupBy(key).agg(
         F.count("author").alias("team_size"),
         F.coalesce(F.avg(F.when(F.col("author").isNotNull(), (n == 0).cast("double"))), F.lit(1.0)).alias("author_new_frac"),
         F.max(n).alias("author_prior_max"),
+        F.coalesce(F.log1p(F.avg(F.when(F.col("author").isNotNull(), n))), F.lit(0.0)).alias("author_prior_mean"),
         (F.lit(month) - F.max(F.coalesce("last", F.lit(-999)))).alias("author_recency"),
         F.log1p(F.max(F.coalesce("deg", F.lit(0)))).alias("author_degree_max"),
         F.log1p(F.sum(F.coalesce("deg", F.lit(0)))).alias("author_reach"),
+        *more,
     )
 
 

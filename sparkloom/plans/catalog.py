@@ -495,13 +495,13 @@ def author_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "author_features",
-    f"""{_A}{_STATE} SELECT f.paper_id, count(*) AS team_size, round(avg((coalesce(n, 0) = 0)::INT), 9) AS author_new_frac, max(coalesce(n, 0)) AS author_prior_max, (60 - max(coalesce(last, -999)))::INT AS author_recency,
+    f"""{_A}{_STATE} SELECT f.paper_id, count(*) AS team_size, round(avg((coalesce(n, 0) = 0)::INT), 9) AS author_new_frac, max(coalesce(n, 0)) AS author_prior_max, round(ln(1 + avg(coalesce(n, 0))), 9) AS author_prior_mean, (60 - max(coalesce(last, -999)))::INT AS author_recency,
     round(ln(1 + max(coalesce(deg, 0))), 9) AS author_degree_max, round(ln(1 + sum(coalesce(deg, 0))), 9) AS author_reach FROM f LEFT JOIN state s ON s.author = f.author WHERE f.t = 60 GROUP BY 1""",
 )
 def author_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = shapes.authored(spark, sf_dir)
     found = graph.author_features(p.where("t = 60"), graph.author_state(p, 60), 60, "paper_id")
-    return found.select("paper_id", "team_size", "author_prior_max", "author_recency", *[F.round(c, 9).alias(c) for c in ("author_new_frac", "author_degree_max", "author_reach")])
+    return found.select("paper_id", "team_size", "author_prior_max", "author_recency", *[F.round(c, 9).alias(c) for c in ("author_new_frac", "author_prior_mean", "author_degree_max", "author_reach")])
 
 
 _TERMS = f"terms AS (SELECT doc_id AS paper_id, (doc_id % 40)::INT AS t, {_TOKENS} AS terms FROM documents)"

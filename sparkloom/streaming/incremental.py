@@ -65,6 +65,23 @@ def folded(memory: dict[str, DataFrame] | None, papers: DataFrame, month: int, h
     return {"authors": authors, "collaborators": met, "terms": terms.where(F.col("month") >= oldest), "volume": volume.where(F.col("month") >= oldest)}
 
 
+def run_windows(windows: list[tuple], run, record, fail_fast: bool = False) -> list[tuple]:
+    """Runs ``run(start, end)`` over windows one by one and tells ``record(start, end, status, detail)`` of each; windows that failed come back.
+
+    A failure ends the loop only with ``fail_fast``; each window's outcome is recorded before the next begins."""
+    failed = []
+    for start, end in windows:
+        try:
+            detail, status = run(start, end), "completed"
+        except Exception as error:  # noqa: BLE001  whatever a window's run raises is its outcome
+            detail, status = str(error), "failed"
+            failed.append((start, end))
+        record(start, end, status, detail)
+        if failed and fail_fast:
+            break
+    return failed
+
+
 def deduplicated(stream: DataFrame, keys: list[str], moment: str, late: str = "48 hours") -> DataFrame:
     """A stream without repeats of a key within the lateness; the moment must be a timestamp with zone."""
     typed = stream.withColumn(moment, F.col(moment).cast("timestamp"))
