@@ -1,7 +1,8 @@
 """Media columns: bytes kept as Netpbm or BMP images, decoded to numpy, area-resized, written as NPY tiles.
 
 ``encode_ppm``/``encode_bmp`` store a payload of whole 192-byte rows (64 RGB pixels) losslessly, and
-``decode`` reads P2, P3, P5, P6 (8 or 16 bits a sample) and uncompressed 8-, 24- and 32-bit BMP. ``area_resize`` averages each output pixel's
+``decode`` reads P1 to P6 and P7 (8 or 16 bits a sample, as stored: the largest value stays the header's) and uncompressed BMP of 1 to 32 bits,
+bit fields included. ``area_resize`` averages each output pixel's
 area exactly, fractional borders included, by integral images; strips of ``STRIP`` rows bound the memory. ``difference_hash`` is
 the 64-bit hash of brightness steps along rows of a 9 x 8 reduction.
 
@@ -86,30 +87,91 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     return samples.reshape((height, width, channels) if channels == 3 else (height, width))
 
 
+def _decode_bitmap(data: bytes) -> np.ndarray:
+    """P1 and P4: black (1) as 0, white as 255."""
+    (width, height), at = _netpbm_head(data, 2)
+    if not (width and height):
+        raise ValueError("Netpbm header is out of range")
+    if data[1:2] == b"1":
+        body = b"".join(line.partition(b"#")[0] for line in data[at - 1 :].splitlines(keepends=True))
+        bits = np.frombuffer(bytes(c for c in body if c in b"01")[: width * height], np.uint8) - 48
+    else:
+        step = -(-width // 8)
+        rows = np.frombuffer(data, np.uint8, min(step * height, max(0, len(data) - at)), at) if at < len(data) else np.empty(0, np.uint8)
+        bits = np.unpackbits(rows.reshape(-1, step), axis=1)[:, :width].ravel() if rows.size == step * height else rows
+    if bits.size != width * height:
+        raise ValueError("Netpbm samples end early")
+    return (255 * (1 - bits)).astype(np.uint8).reshape(height, width)
+
+
+def _decode_pam(data: bytes) -> np.ndarray:
+    """P7 of depth 1 to 4; a second or fourth channel is opacity and goes."""
+    head, mark, body = data.partition(b"ENDHDR\n")
+    fields = dict(line.split(None, 1) for line in head.splitlines()[1:] if len(line.split(None, 1)) == 2 and not line.startswith(b"#"))
+    try:
+        width, height, depth, most = (int(fields[k]) for k in (b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL"))
+    except (KeyError, ValueError) as bad:
+        raise ValueError("PAM header ends early") from bad
+    if not mark or not (width > 0 and height > 0 and 1 <= depth <= 4 and 0 < most < 65536):
+        raise ValueError("PAM header is out of range")
+    kind = np.dtype(np.uint8 if most < 256 else ">u2")
+    count = width * height * depth
+    samples = np.frombuffer(body, kind, min(count, len(body) // kind.itemsize))
+    if samples.size != count:
+        raise ValueError("PAM samples end early")
+    image = samples.reshape(height, width, depth)
+    return image[:, :, 0] if depth < 3 else image[:, :, :3]
+
+
+def _field(values: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of ``mask`` in each value, scaled to 0 to 255."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return ((((values & mask) >> low).astype(np.int64) * 255 + most // 2) // most).astype(np.uint8)
+
+
 def _decode_bmp(data: bytes) -> np.ndarray:
     try:
         start, size, width, height, _, bits, packed, _, _, _, used = struct.unpack_from("<I I i i H H I I i i I", data, 10)
     except struct.error as short:
         raise ValueError("BMP header ends early") from short
-    if size < 40 or packed or bits not in (8, 24, 32) or width <= 0 or not height:
+    fields = packed == 3 and bits in (16, 32)
+    if size < 40 or (packed and not fields) or bits not in (1, 4, 8, 16, 24, 32) or width <= 0 or not height:
         raise ValueError("BMP kind is not supported")
     step = -(-width * bits // 32) * 4
     if len(data) < start + step * abs(height):
         raise ValueError("BMP samples end early")
-    rows = np.frombuffer(data, np.uint8, step * abs(height), start).reshape(abs(height), step)[:, : width * bits // 8]
+    rows = np.frombuffer(data, np.uint8, step * abs(height), start).reshape(abs(height), step)
     rows = rows[::-1] if height > 0 else rows
-    if bits == 8:
-        palette = np.frombuffer(data, np.uint8, 4 * (used or 256), 14 + size).reshape(-1, 4)[:, 2::-1]
+    if bits <= 8:
+        if bits < 8:
+            spread = np.unpackbits(rows, axis=1).reshape(abs(height), -1, bits)
+            rows = (spread * (1 << np.arange(bits - 1, -1, -1))).sum(axis=2, dtype=np.uint8)
+        rows = rows[:, :width]
+        palette = np.frombuffer(data, np.uint8, 4 * (used or 1 << bits), 14 + size).reshape(-1, 4)[:, 2::-1]
         if rows.size and rows.max() >= len(palette):
             raise ValueError("BMP palette is too short")
         return palette[rows]
-    return rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1]
+    if bits == 16 or fields:
+        try:
+            masks = struct.unpack_from("<III", data, 54) if fields else (0x7C00, 0x03E0, 0x001F)
+        except struct.error as short:
+            raise ValueError("BMP masks end early") from short
+        values = np.ascontiguousarray(rows).view("<u2" if bits == 16 else "<u4")[:, :width]
+        return np.stack([_field(values, m) for m in masks], axis=2)
+    return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
 
 
 def decode(data: bytes) -> np.ndarray:
     """Samples as (height, width) or (height, width, 3)."""
+    if data[:2] in (b"P1", b"P4"):
+        return _decode_bitmap(data)
     if data[:2] in (b"P2", b"P3", b"P5", b"P6"):
         return _decode_netpbm(data)
+    if data[:3] == b"P7\n":
+        return _decode_pam(data)
     if data[:2] == b"BM":
         return _decode_bmp(data)
     raise ValueError("neither Netpbm nor BMP")
