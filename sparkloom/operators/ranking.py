@@ -123,14 +123,3 @@ def overlap_at_k(rows: DataFrame, a: str, b: str, key: str, by: list[str], k: in
     w = Window.partitionBy(*by)
     placed = rows.withColumn("_a", F.row_number().over(w.orderBy(F.col(a).desc(), F.col(key)))).withColumn("_b", F.row_number().over(w.orderBy(F.col(b).desc(), F.col(key))))
     return placed.groupBy(*by).agg((F.sum(((F.col("_a") <= k) & (F.col("_b") <= k)).cast("int")) / k).alias("overlap"))
-
-
-def bootstrap_mean(values: DataFrame, key: str, value: str, draws: int, seed: str = "boot") -> DataFrame:
-    """(mean, low, high) of a mean over cohorts: draw d takes its i-th pick by a hash of (d, i)."""
-    numbered = values.select(key, value).orderBy(key).select(F.collect_list(F.col(value).cast("double")).alias("v"))
-    spark = values.sparkSession
-    drawn = spark.range(draws).crossJoin(numbered)  # one row of cohort values against the stated draws
-    n = F.size("v")
-    pick = lambda i: F.get(F.col("v"), F.pmod(F.xxhash64(F.lit(seed), "id", i), n).cast("int"))
-    means = drawn.select(F.expr("1").alias("one"), (F.aggregate(F.transform(F.sequence(F.lit(1), n), pick), F.lit(0.0), lambda a, x: a + x) / n).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

@@ -394,17 +394,6 @@ def overlap_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.overlap_at_k(shapes.cohort(spark, sf_dir), "score", "label", "id", ["field"], 50)
 
 
-@register("signal_scores")
-def signal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = shapes.cohort(spark, sf_dir).withColumn("known", F.coalesce("known", F.lit(0.0)))
-    return ranking.signal_scores(c, {"score": 0.7, "known": -0.2, "label": 0.5}, ["field"], "id")
-
-
-@register("bootstrap_mean")
-def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.bootstrap_mean(auc_by_cohort(spark, sf_dir), "field", "auc", 400)
-
-
 @register("tier_gaps", f"{_R}{_LANES}, t AS (SELECT id, field, CASE WHEN pct >= 0.95 THEN 'headline' WHEN pct >= 0.8 THEN 'notable' ELSE 'rest' END AS tier, pct FROM s) SELECT id, coalesce(tier <> lag(tier) OVER (PARTITION BY field ORDER BY round(pct, 9) DESC, id), true) AS heading FROM t")
 def tier_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir).withColumn("tier", ranking.tier(F.col("pct")))

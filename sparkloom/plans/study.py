@@ -64,9 +64,15 @@ def reference_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found, "vel_mean", "vel_max", "acceleration", "burst_ratio", "hub_share", "elite_attention")
 
 
-@register("coauthor_pagerank")
+@register(
+    "coauthor_pagerank",
+    f"""{_A}, f AS (SELECT DISTINCT paper_id, unnest(authors) AS a FROM authored WHERE t < 60), w AS (SELECT x.a AS src, y.a AS dst, count(*)::DOUBLE AS w FROM f x JOIN f y ON x.paper_id = y.paper_id AND x.a <> y.a GROUP BY 1, 2),
+    o AS (SELECT src, sum(w) AS total FROM w GROUP BY 1), every AS (SELECT DISTINCT a AS node FROM f), n AS (SELECT count(*)::DOUBLE AS n FROM every), r0 AS (SELECT node, 1 / n AS rank FROM every, n)"""
+    + "".join(f", r{i} AS (SELECT d.node, 0.15 / n.n + 0.85 * coalesce(g.got, 0) AS rank FROM r{i - 1} d CROSS JOIN n LEFT JOIN (SELECT w.dst, sum(r.rank * w.w / o.total) AS got FROM w JOIN r{i - 1} r ON r.node = w.src JOIN o ON o.src = w.src GROUP BY 1) g ON g.dst = d.node)" for i in range(1, 4))
+    + " SELECT node AS author, round(rank * n, 9) AS rank FROM r3, n",
+)
 def coauthor_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.coauthor_pagerank(shapes.authored(spark, sf_dir), 60, 10).withColumn("rank", F.round("rank", 9))
+    return graph.coauthor_pagerank(shapes.authored(spark, sf_dir), 60, 3).withColumn("rank", F.round("rank", 9))
 
 
 _TITLES = "titles AS (SELECT paper_id, t, list_distinct(terms[1:12]) AS terms FROM terms)"
