@@ -37,7 +37,7 @@ EDITS = 2
 LEAST_CHARS = 20
 EXACT_CHARS = 1
 #: Lines that share a segment and are still met pair by pair, about: which segments are more common is told from a sample.
-COMMON = 12
+COMMON = 8
 #: One in so many lines is counted for that.
 COMMON_SAMPLE = 2
 #: Rests of lines that are met pair by pair by their letters, before their texts are fetched.
@@ -168,22 +168,22 @@ def posted(lines: DataFrame, line: str, edits: int, scope: str | None = None) ->
     return each.select(*[c for c in lines.columns if c != line], F.col("at.place").alias("place"), key.alias("key"))
 
 
-def candidate_pairs(index: DataFrame, probing: DataFrame, edits: int, letters: bool = False) -> DataFrame:
-    """(doc_a, number_a, doc_b, number_b) of index (key, doc_id, number) and probing rows (those and place) that share a key,
-    and whose ``letters`` allow it where they have them.
+def candidate_pairs(index: DataFrame, probing: DataFrame, edits: int, rests: bool = False) -> DataFrame:
+    """(doc_a, number_a, doc_b, number_b) of index (key, doc_id, number) and probing rows (those and place) that share a key;
+    with ``rests``, those whose rests (s, letters) are within ``edits``, so that only few of a common segment's pairs come out.
 
     Number and place travel as one value: postings are what is exchanged most."""
-    more = ["letters"] if letters else []
-    index = index.select(F.col("doc_id").alias("doc_a"), "key", F.col("number").alias("number_a"), *[F.col(c).alias("letters_a") for c in more])
+    more = ["letters", "s"] if rests else []
+    index = index.select(F.col("doc_id").alias("doc_a"), "key", F.col("number").alias("number_a"), *[F.col(c).alias(f"{c}_a") for c in more])
     packed = F.shiftleft(F.col("number").cast("long"), 5) + F.col("place")
-    probing = probing.select(F.col("doc_id").alias("doc_b"), "key", packed.alias("packed"), *[F.col(c).alias("letters_b") for c in more])
+    probing = probing.select(F.col("doc_id").alias("doc_b"), "key", packed.alias("packed"), *[F.col(c).alias(f"{c}_b") for c in more])
     number_b = F.shiftright(F.col("packed"), 5).cast("int")
     own = F.col("packed") % 32 <= edits
     # Of two own segments, one order is enough.
     differ = F.when(own, (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("number_a") < number_b)))
     differ = differ.otherwise((F.col("doc_a") != F.col("doc_b")) | (F.col("number_a") != number_b))
-    if letters:
-        differ = differ & (counts_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * edits)
+    if rests:
+        differ = differ & (counts_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * edits) & (F.levenshtein("s_a", "s_b", edits) >= 0)
     return index.join(probing, "key").where(differ).select("doc_a", "number_a", "doc_b", number_b.alias("number_b"))
 
 
@@ -192,17 +192,17 @@ def _trimmed(line: Column) -> Column:
 
 
 def _first_places(docs: DataFrame, least_chars: int, least_exact: int, edits: int) -> DataFrame:
-    """(doc_id, number, near, keys): the first place of each distinct line, whether near ones count, and if so its keys in
+    """(doc_id, number, near, length, keys): the first place of each distinct line, whether near ones count, and if so its keys in
     the index; only hashes are exchanged."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "raw"))
     lines = lines.select("doc_id", "number", _trimmed(F.col("raw")).alias("line")).where(F.char_length("line") >= least_exact)
     near = F.char_length("line") >= least_chars
     keys = [F.when(near, k).alias(f"k{i}") for i, k in enumerate(own_keys(F.col("line"), F.char_length("line"), edits))]
-    hashed = lines.select(F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), near.alias("near"), "doc_id", "number", *keys)
+    hashed = lines.select(F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), near.alias("near"), "doc_id", "number", F.char_length("line").alias("length"), *keys)
     # The running number orders places within a document; equal lines have equal keys, so any of them will do.
     place = F.struct("doc_id", "number")
-    firsts = hashed.groupBy("h1", "h2", "near").agg(F.min(place).alias("first"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(edits + 1)])
-    return firsts.select("first.doc_id", "first.number", "near", *[f"k{i}" for i in range(edits + 1)])
+    firsts = hashed.groupBy("h1", "h2", "near").agg(F.min(place).alias("first"), F.max("length").alias("length"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(edits + 1)])
+    return firsts.select("first.doc_id", "first.number", "near", "length", *[f"k{i}" for i in range(edits + 1)])
 
 
 def _lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -243,11 +243,12 @@ def _cores(members: DataFrame) -> DataFrame:
 
 
 def _few_pairs(cores: DataFrame, edits: int) -> DataFrame:
-    """Pairs of a scope whose lengths and letters allow ``edits``; for scopes of few members."""
-    a = cores.select("scope", F.col("doc_id").alias("doc_a"), F.col("number").alias("number_a"), F.char_length("s").alias("length_a"), F.col("letters").alias("letters_a"))
-    b = cores.select("scope", F.col("doc_id").alias("doc_b"), F.col("number").alias("number_b"), F.char_length("s").alias("length_b"), F.col("letters").alias("letters_b"))
+    """Pairs of a scope whose rests are within ``edits``, which lengths and letters settle for most; for scopes of few members."""
+    a = cores.select("scope", F.col("doc_id").alias("doc_a"), F.col("number").alias("number_a"), F.char_length("s").alias("length_a"), F.col("letters").alias("letters_a"), F.col("s").alias("s_a"))
+    b = cores.select("scope", F.col("doc_id").alias("doc_b"), F.col("number").alias("number_b"), F.char_length("s").alias("length_b"), F.col("letters").alias("letters_b"), F.col("s").alias("s_b"))
     order = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("number_a") < F.col("number_b")))
     near = (F.abs(F.col("length_a") - F.col("length_b")) <= edits) & (counts_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * edits)
+    near = near & (F.levenshtein("s_a", "s_b", edits) >= 0)
     return a.join(b, "scope").where(order & near).select("doc_a", "number_a", "doc_b", "number_b")
 
 
@@ -301,7 +302,10 @@ def _common_segments(docs: DataFrame, firsts: DataFrame, hot: DataFrame, edits:
     segment by their forms; longer ones meet by segments of their own, and so on where more than ``few`` share one. A rest loses a third of
     its length each time."""
     all_lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "raw")).select("doc_id", "number", _trimmed(F.col("raw")).alias("line"))
-    probing = posted(all_lines.where(F.char_length("line") >= least_chars), "line", edits).join(hot, "key", "left_semi")
+    # A key is of lines of one length, so only those up to as many longer as edits allow can have it.
+    lengths = hot.select(F.explode(F.sequence("length", F.col("length") + edits)).alias("length")).distinct()
+    some = all_lines.where(F.char_length("line") >= least_chars).withColumn("length", F.char_length("line")).join(lengths, "length", "left_semi").drop("length")
+    probing = posted(some, "line", edits).join(hot, "key", "left_semi")
     members = probing.join(firsts.select("doc_id", "number"), ["doc_id", "number"])
     members = stored(members.select("doc_id", "number", "place", "key"), "common-segments")
     strings = _lines_at(docs, members).toDF("of_doc", "of_number", "s")
@@ -317,15 +321,15 @@ def _common_segments(docs: DataFrame, firsts: DataFrame, hot: DataFrame, edits:
         short = cores.where(F.char_length("s") <= core + edits)
         short = _near_first(short.where(F.col("n") > few)).union(_few_pairs(short.where(F.col("n") <= few), edits))
         long = cores.where(F.char_length("s") > core)
-        deeper = stored(posted(long.select("doc_id", "number", "letters", "scope", "s"), "s", edits, "scope").withColumnRenamed("scope", "own_scope"), "deeper")
+        deeper = stored(posted(long.select("doc_id", "number", "letters", "scope", F.col("s"), F.col("s").alias("cut")), "cut", edits, "scope").withColumnRenamed("scope", "own_scope"), "deeper")
         counts = deeper.where(F.col("place") <= edits).groupBy("key").agg(F.count("*").alias("n"))
         again = stored(counts.where(F.col("n") > few).select("key"), "common-keys")
-        light = candidate_pairs(deeper.where(F.col("place") <= edits).join(again, "key", "left_anti"), deeper, edits, letters=True)
+        light = candidate_pairs(deeper.where(F.col("place") <= edits).join(again, "key", "left_anti"), deeper, edits, rests=True)
         found.append(stored(short.union(light).distinct(), "common-pairs"))
         made += [cores, deeper, again]
         if again.isEmpty():
             break
-        level = deeper.join(again, "key", "left_semi")
+        level = deeper.drop("s", "letters").join(again, "key", "left_semi")
         strings = long.select(F.col("scope").alias("of_scope"), F.col("doc_id").alias("of_doc"), F.col("number").alias("of_number"), "s")
     discard(*made)
     return reduce(DataFrame.union, found)
@@ -333,10 +337,10 @@ def _common_segments(docs: DataFrame, firsts: DataFrame, hot: DataFrame, edits:
 
 def near_places(docs: DataFrame, firsts: DataFrame, edits: int, least_chars: int, most: int = COMMON, core: int = CORE, sample: int = COMMON_SAMPLE, few: int = FEW) -> DataFrame:
     """(doc_id, number): first places of lines that are near to a line with an earlier first place."""
-    index = firsts.select("doc_id", "number", F.explode(F.array(*[f"k{i}" for i in range(edits + 1)])).alias("key"))
+    index = firsts.select("doc_id", "number", "length", F.explode(F.array(*[f"k{i}" for i in range(edits + 1)])).alias("key"))
     # Which keys are common decides how their lines are met, not which: a sample of lines tells it well enough.
-    counted = index.where(F.pmod(F.xxhash64("doc_id", "number"), F.lit(sample)) == 0).groupBy("key").agg(F.count("*").alias("n"))
-    hot = stored(counted.where(F.col("n") * sample > most).select("key"), "common-keys")
+    counted = index.where(F.pmod(F.xxhash64("doc_id", "number"), F.lit(sample)) == 0).groupBy("key").agg(F.count("*").alias("n"), F.max("length").alias("length"))
+    hot = stored(counted.where(F.col("n") * sample > most).select("key", "length"), "common-keys")
     lines = _lines_at(docs, firsts)
     if edits != 2 or hot.isEmpty():  # forms are those of two edits
         pairs = candidate_pairs(index, posted(lines, "line", edits), edits)
