@@ -42,6 +42,8 @@ COMMON = 8
 COMMON_SAMPLE = 2
 #: Rests of lines that are met pair by pair by their letters, before their texts are fetched.
 FEW = 500
+#: Lengths of lines that a filter lists at most; of more, none is left out before its keys are made.
+LENGTHS = 1_000
 #: Characters of a rest of a line that isn't cut into segments any more.
 CORE = 16
 
@@ -304,7 +306,9 @@ def _common_segments(docs: DataFrame, firsts: DataFrame, hot: DataFrame, edits:
     all_lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "raw")).select("doc_id", "number", _trimmed(F.col("raw")).alias("line"))
     # A key is of lines of one length, so only those up to as many longer as edits allow can have it.
     lengths = hot.select(F.explode(F.sequence("length", F.col("length") + edits)).alias("length")).distinct()
-    some = all_lines.where(F.char_length("line") >= least_chars).withColumn("length", F.char_length("line")).join(lengths, "length", "left_semi").drop("length")
+    told = [r["length"] for r in lengths.limit(LENGTHS + 1).collect()]
+    long_enough = F.char_length("line") >= least_chars
+    some = all_lines.where(long_enough & F.char_length("line").isin(told) if len(told) <= LENGTHS else long_enough)
     probing = posted(some, "line", edits).join(hot, "key", "left_semi")
     members = probing.join(firsts.select("doc_id", "number"), ["doc_id", "number"])
     members = stored(members.select("doc_id", "number", "place", "key"), "common-segments")
