@@ -278,10 +278,14 @@ def _settled(groups: DataFrame, classes: DataFrame, docs: DataFrame, length: int
     sets = _sets(wanted, docs, length).toDF("set_id", "members")
     block = lambda n: F.pmod(F.xxhash64(F.lit("block"), "class_id"), F.col(n)).cast("int")
     joined = groups.join(blocks, "group_id").join(sets, F.col("class_id") == F.col("set_id"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = joined.where("minor").select("group_id", "class_id", "members", block("minor_blocks").alias("low"), every("blocks").alias("high"), F.lit(True).alias("left"))
-    right = joined.select("group_id", "class_id", "members", every("minor_blocks").alias("low"), block("blocks").alias("high"), F.lit(False).alias("left"))
-    dealt = left.union(right)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda low, high, left: F.struct(low.alias("low"), high.alias("high"), F.lit(left).alias("left"))
+    # A set's copies for both sides come out of one row, so that sets are made and exchanged once.
+    right = F.transform(every("minor_blocks"), lambda low: place(low, F.col("own_block"), False))
+    left = F.transform(every("blocks"), lambda high: place(F.col("own_minor"), high, True))
+    numbered = joined.withColumn("own_block", block("blocks")).withColumn("own_minor", block("minor_blocks"))
+    places = F.when(F.col("minor"), F.concat(right, left)).otherwise(right)
+    dealt = numbered.select("group_id", "class_id", "members", F.explode(places).alias("at")).select("group_id", "class_id", "members", "at.low", "at.high", "at.left")
 
     def settle(table: pa.Table) -> pa.Table:
         ids, on_left = table["class_id"].to_pylist(), table["left"].to_numpy(zero_copy_only=False)
