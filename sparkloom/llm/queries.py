@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import embeddings, langid, licenses, lines, media, mixing, near_dedup, packing, quality, substrings
+from sparkloom.llm import embeddings, filter_audit, langid, licenses, lines, media, mixing, near_dedup, packing, pieces, quality, resampling, substrings
 from sparkloom.llm.common import held_out, table
 
 
@@ -55,6 +55,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         "op1_langid": op1_langid,
@@ -67,6 +81,9 @@ def queries() -> dict:
         "op8_media": op8_media,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
+        "op11_resampling": op11_resampling,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_pieces": op13_pieces,
     }
 
 
@@ -76,4 +93,6 @@ def oracles() -> dict[str, str]:
         "op3_substrings": substrings.ORACLE,
         "op4_embeddings": embeddings.ORACLE,
         "op9_mixing": mixing.ORACLE,
+        "op11_resampling": resampling.ORACLE,
+        "op12_filter_audit": filter_audit.ORACLE,
     }
