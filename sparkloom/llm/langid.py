@@ -48,8 +48,11 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
-    return WORD.findall(text.lower())
+    """Lower-cased runs of letters, which are the characters of category L; other numbers than digits (``½``, ``Ⅷ``) part runs."""
+    found = WORD.findall(text.lower())
+    if "".join(found).isalpha() or not found:
+        return found
+    return [run for word in found for run in "".join(c if c.isalpha() else " " for c in word).split(" ") if run]
 
 
 def grams(word: str, order: int) -> list[str]:

@@ -2,18 +2,29 @@
 
 import math
 import re
+import unicodedata
 import zlib
 
 import pytest
 
-from sparkloom.llm import queries
+from sparkloom.llm import langid, queries
 from sparkloom.llm.common import table
 
 
+def letter_runs(text):
+    """Runs of characters of Unicode's category L, as a text without a letter is ``und``."""
+    return [run for run in re.split(" +", "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text)) if run]
+
+
+def test_letters():
+    for text in ("½ ½", "² Ⅷ ٣", "a½b Ⅷc _d9e", "", "ª º é日本", "x\u0301y"):
+        assert langid.letter_words(text) == letter_runs(text.lower())
+
+
 def plain_langid(rows):
     """{doc_id: (held_out, lang, score)}; every word and 1- to 4-gram of the teaching documents is known."""
     held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
-    words_of = {i: re.findall(r"[^\W\d_]+", (text or "").lower()) for i, text, _ in rows}
+    words_of = {i: letter_runs((text or "").lower()) for i, text, _ in rows}
     languages = sorted({lang for i, text, lang in rows if lang is not None and text is not None and not held[i]})
     words = {x: {} for x in languages}
     grams = {(x, k): {} for x in languages for k in range(1, 5)}
