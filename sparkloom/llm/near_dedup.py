@@ -11,7 +11,7 @@
    order of its own, so that work is linear in postings.
 5. The pairs' agreeing coordinates are counted over whole signatures; those above the match threshold
    are confirmed on full sets, best pairs first, and confirmed links are united.
-6. Of short lists, pairs across what is united by then are confirmed next. Long lists that are not one
+6. Of short lists, pairs across what is united by then are confirmed next. Long lists, and lists dealt into parts, that are not one
    component by then are settled whole: full sets of the members outside the list's largest component meet those of all in blocks,
    where intersections are counted by merging the sets' own posting lists, and only a forest of the links leaves a block. Thus no link
    between components is lost, and no pairs of a large group are listed.
@@ -92,8 +92,8 @@ def _read(column: pa.Array, coordinates: int = COORDINATES) -> np.ndarray:
 def _postings(classes: DataFrame, matches: int, longest: int) -> DataFrame:
     """(token, class_id, n, part): the rarest coordinate-value pairs of each class that any match must share.
 
-    Lists that the sample says to be over ``longest`` are dealt into parts by class. Only neighbours are said of long lists, and what
-    they leave apart is settled over whole lists, so parts lose nothing."""
+    Lists that the sample says to be over ``longest`` are dealt into parts by class. What the parts of
+    a list leave apart is settled over the whole list, however few members it has."""
     spark = classes.sparkSession
     kind = classes.schema["class_id"].dataType.simpleString()
     drawn = bounded_sample(classes.select("class_id", "signature"), ["class_id"], ORDER_SAMPLE, "order").select("signature").collect()
@@ -239,12 +239,14 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _unsettled(postings: DataFrame, found: DataFrame, short: int) -> DataFrame:
-    """(group_id, class_id, minor): members of long lists that hold several components, and whether they are outside the
+    """(group_id, class_id, minor): members of long or dealt lists that hold several components, and whether they are outside the
     group's largest one, which needn't be compared within itself. Lists of one first member are one
     group: near copies share most lists, and those mostly begin with the same one, so that a class is in few groups."""
-    of = postings.join(found, F.col("class_id") == F.col("node"), "left").select("token", "class_id", F.coalesce("component", "class_id").alias("part"))
-    lists = of.groupBy("token").agg(F.count("*").alias("m"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("class_id").alias("group_id"))
-    mixed_lists = lists.where((F.col("m") > short) & (F.col("low") != F.col("high"))).select("token", "group_id")
+    of = postings.join(found, F.col("class_id") == F.col("node"), "left").select("token", "class_id", F.col("part").alias("dealt"), F.coalesce("component", "class_id").alias("part"))
+    lists = of.groupBy("token").agg(
+        F.count("*").alias("m"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("class_id").alias("group_id"), (F.min("dealt") != F.max("dealt")).alias("in_parts")
+    )
+    mixed_lists = lists.where(((F.col("m") > short) | F.col("in_parts")) & (F.col("low") != F.col("high"))).select("token", "group_id")
     members = of.join(mixed_lists, "token").select("group_id", "class_id", "part").distinct()
     largest = members.groupBy("group_id", "part").agg(F.count("*").alias("m")).groupBy("group_id").agg(F.max_by("part", F.struct("m", "part")).alias("largest"))
     return members.join(largest, "group_id").select("group_id", "class_id", (F.col("part") != F.col("largest")).alias("minor"))

@@ -90,7 +90,7 @@ def test_near_duplicates_match_brute_force(spark, copies, length):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
-@pytest.mark.parametrize("options", [{"short": 1}, {"short": 1, "block_shingles": 900}, {"short": 1, "longest": 2}])
+@pytest.mark.parametrize("options", [{"short": 1}, {"short": 1, "block_shingles": 900}, {"short": 1, "longest": 2}, {"longest": 2}])
 def test_near_duplicates_long_lists(spark, copies, options):
     """Where every list counts as long, links are found by neighbours and in settled groups."""
     frame = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
