@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zlib
 
@@ -30,6 +31,10 @@ ROW_BYTES = 3 * ROW_PIXELS
 STRIP = 4096
 HASH_SHAPE = (8, 9)
 TILE_SHAPE = (16, 16)
+#: Digits of a sample in plain Netpbm, leading zeros included.
+MOST_DIGITS = 64
+
+_COMMENT = re.compile(rb"#[^\r\n]*")
 
 
 def padded(data: bytes) -> bytes:
@@ -77,8 +82,10 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("Netpbm header is out of range")
     count = width * height * channels
     if kind in (2, 3):
-        samples = np.array(data[at - 1 :].split()[:count], dtype=np.int64)
-        samples = samples.astype(np.uint8 if most < 256 else np.uint16)
+        words = _COMMENT.sub(b" ", data[at - 1 :]).split()[:count]
+        if not all(x.isdigit() and len(x) <= MOST_DIGITS and int(x) <= most for x in words):
+            raise ValueError("Netpbm sample is no number of the header's range")
+        samples = np.array([int(x) for x in words], dtype=np.uint8 if most < 256 else np.uint16)
     else:
         width_of = np.dtype(np.uint8 if most < 256 else ">u2")
         samples = np.frombuffer(data, width_of, min(count, (len(data) - at) // width_of.itemsize), at)
@@ -233,7 +240,7 @@ def media_tiles(frame: DataFrame, key: str, column: str, shape: tuple[int, int]
             try:
                 image = decode(data or b"")
                 row = (image.shape[1], image.shape[0], npy_tile(image, shape), f"{difference_hash(image):016x}")
-            except ValueError:
+            except (ValueError, OverflowError):  # sizes of a broken header may be beyond numpy's integers
                 row = (None, None, None, None)
             for name, value in zip(found, row, strict=True):
                 found[name].append(value)

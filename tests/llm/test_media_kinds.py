@@ -60,3 +60,19 @@ def test_fields():
     assert np.array_equal(media.decode(bmp(32, 3, -2, wide.tobytes(), struct.pack("<III", *masks), 3)), expected)
     with pytest.raises(ValueError):
         media.decode(bmp(24, 3, 2, b"", packed=1))
+
+
+def test_plain_samples():
+    assert media.decode(b"P2 # one\n2 1 # two\n255\n7 # of 9\n 0255").tolist() == [[7, 255]]
+    assert media.decode(b"P3 1 1 9\n1 2 # 3\n9").tolist() == [[[1, 2, 9]]]
+    for samples in (b"99999999999999999999999", b"-1", b"256", b"x", b"1.5", b"9" * 5_000, b""):
+        with pytest.raises(ValueError):
+            media.decode(b"P2 1 1 255 " + samples)
+
+
+def test_broken_images_give_nulls(spark):
+    broken = [b"P2 1 1 255 " + b"9" * 23, b"P2 1 1 255 -1", b"P5 " + b"9" * 30 + b" " + b"9" * 30 + b" 255 x", b"P1 " + b"9" * 25 + b" 2 1", b"BM", b"BM" + b"\xff" * 80, b"", None]
+    rows = [(i, x) for i, x in enumerate(broken)] + [(99, b"P2 1 1 255 7")]
+    found = {r["key"]: r for r in media.media_tiles(spark.createDataFrame(rows, "id long, image binary"), "id", "image").collect()}
+    assert len(found) == len(rows) and found[99]["tile"] is not None
+    assert all(found[i]["tile"] is None and found[i]["dhash"] is None for i in range(len(broken)))
