@@ -9,7 +9,7 @@ Two tokens are compatible unless a merge crosses their border before both are wh
 each token grows, its ``spine``: these are walked from single characters up, the side that grows first next. Where ties of
 score would matter, the left one goes first. A token whose parts score worse than itself doesn't grow in order of score; pairs with such a token are told by merging them.
 
-Text is cut where no vocabulary entry reaches across (before a run of blanks, around characters that stand in no longer entry), which changes nothing,
+Text is cut where no vocabulary entry reaches across (before a run of blanks, between characters that no entry joins), which changes nothing,
 and a worker remembers the ids of recent pieces of text between cuts. The vocabulary, its merges included, is read by the
 driver and broadcast; it doesn't grow with the documents.
 
@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from sparkloom.llm.common import map_batches, small_batches
 
 BLANK = "▁"
-#: Pieces of text whose ids a worker remembers; it forgets all when that many are reached. Longer pieces aren't remembered.
-CACHE_PIECES = 300_000
+#: Pieces of text whose ids a worker remembers, and as many before those, of which it keeps what comes again. Longer pieces aren't remembered.
+CACHE_PIECES = 250_000
 CACHE_CHARS = 48
 #: Compatible pairs that a worker remembers, likewise.
 CACHE_PAIRS = 1_000_000
@@ -124,6 +124,7 @@ class Coder:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.pieces: dict[str, list[int]] = {}
+        self.earlier: dict[str, list[int]] = {}
         self.cuts = self._cuts()
 
     @staticmethod
@@ -138,11 +139,25 @@ class Coder:
         return spines.get(token) or ((token, NEVER),)
 
     def _cuts(self) -> re.Pattern:
+        """Runs of characters that entries join directly or through others, after blanks where these are joined to what follows only.
+
+        Characters side by side in some entry are of one group; no entry reaches from one group into another."""
         longer = [t for t in self.vocabulary.ranks if len(t) > 1]
-        joined = set().union(*longer) - {BLANK} if longer else set()
-        inside = "".join(re.escape(c) for c in sorted(joined)) or r"\0"
-        blank_inside = any(b == BLANK != a for t in longer for a, b in zip(t, t[1:], strict=False))
-        return re.compile(f"[{inside}{BLANK}]+|[^{inside}{BLANK}]" if blank_inside else f"{BLANK}*[{inside}]+|{BLANK}+|[^{inside}{BLANK}]")
+        if any(b == BLANK != a for t in longer for a, b in zip(t, t[1:], strict=False)):
+            inside = "".join(map(re.escape, sorted({BLANK}.union(*longer))))
+            return re.compile(f"[{inside}]+|[^{inside}]")
+        group: dict[str, set[str]] = {}
+        for a, b in {(a, b) for t in longer for a, b in zip(t, t[1:], strict=False)}:
+            if b == BLANK:
+                continue
+            joined = group.setdefault(b, {b})
+            if a != BLANK and (other := group.setdefault(a, {a})) is not joined:
+                joined, other = sorted((joined, other), key=len, reverse=True)
+                joined |= other
+                group.update(dict.fromkeys(other, joined))
+        groups = sorted({id(x): x for x in group.values()}.values(), key=lambda x: (-len(x), min(x)))
+        runs = [f"{BLANK}*[{''.join(map(re.escape, sorted(x)))}]+" for x in groups]
+        return re.compile("|".join([*runs, f"{BLANK}+", f"[^{BLANK}]"]))
 
     def compatible(self, first: str, second: str) -> bool:
         """Whether both stay as they are when encoded together; remembered."""
@@ -200,18 +215,19 @@ class Coder:
         found: list[int] = []
         if not text:
             return found
-        known = self.pieces
         for piece in self.cuts.findall(BLANK + text.replace(" ", BLANK)):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._ids(piece)
-                if len(known) >= CACHE_PIECES:
-                    known.clear()
-                if len(piece) <= CACHE_CHARS:
-                    known[piece] = ids
-            found += ids
+            found += self.pieces.get(piece) or self._remembered(piece)
         return found
 
+    def _remembered(self, piece: str) -> list[int]:
+        """Ids of a piece that isn't among the recent ones: from those before them, or worked out."""
+        ids = self.earlier.get(piece) or self._ids(piece)
+        if len(self.pieces) >= CACHE_PIECES:
+            self.earlier, self.pieces = self.pieces, {}
+        if len(piece) <= CACHE_CHARS:
+            self.pieces[piece] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; an id that stands for no text ends a run of bytes."""
         runs = [ids]
