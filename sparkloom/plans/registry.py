@@ -26,7 +26,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from sparkloom.plans import catalog, study, views  # noqa: F401
+    from sparkloom.plans import catalog, streams, study, views  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
