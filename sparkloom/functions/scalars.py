@@ -274,6 +274,17 @@ def embedded_date(node: Column) -> Column:
     return F.when(month.between(1, 12) & year.between(1992, 2003), F.struct(year.alias("year"), month.alias("month")))
 
 
+def seeded_uniform(text: Column) -> Column:
+    """A draw from 0 to 1 (excluded) told by ``text`` alone: the first 32 bits of its MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32)
+
+
+def seeded_normal(text: Column) -> Column:
+    """A standard normal draw told by ``text`` alone, from two uniform ones by Box and Muller."""
+    radius = F.sqrt(-2 * F.log(1 - seeded_uniform(F.concat(text, F.lit("-radius")))))
+    return radius * F.cos(2 * F.pi() * seeded_uniform(F.concat(text, F.lit("-angle"))))
+
+
 def half_up(value: Column) -> Column:
     return F.floor(value + 0.5)
 

@@ -8,40 +8,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.ranking import auc, average_rank, percentile_rank, spearman
+from sparkloom.operators.ordering import met, numbered, quantiles
+from sparkloom.operators.ranking import auc, best, percentile_rank, share_rank, spearman
 from sparkloom.operators.tables import row_numbers
 
 
-def _placed(scores: DataFrame, score: str, key: str, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return scores.withColumn("_r", F.row_number().over(w.orderBy(F.col(score).desc(), F.col(key)))).withColumn("_n", F.count("*").over(w))
-
-
 def cutoff_quality(scores: DataFrame, score: str, label: str, key: str, by: list[str], k: int, quantile: float = 0.9) -> DataFrame:
     """(by, precision, lift, top1): of the k best, the share whose label is in the cohort's top (the quantile, and 1 at least),
     their mean label over the cohort's, and whether the largest label is among them. Null where a cohort has fewer
     than two rows; precision also where no row is in the top, lift where the mean label is 0."""
-    w = Window.partitionBy(*by)
-    marked = _placed(scores, score, key, by).withColumn("_hit", (F.col(label) >= F.greatest(F.percentile(label, quantile).over(w), F.lit(1.0))).cast("double"))
-    top = F.col("_r") <= k
-    enough = F.count("*") >= 2
-    return marked.groupBy(*by).agg(
-        F.when(enough & (F.sum("_hit") > 0), F.avg(F.when(top, F.col("_hit")))).alias("precision"),
-        F.when(enough & (F.avg(label) > 0), F.avg(F.when(top, F.col(label))) / F.avg(label)).alias("lift"),
-        F.when(enough, (F.max(F.when(top, F.col(label))) >= F.max(label)).cast("double")).alias("top1"),
+    cut = quantiles(scores, label, by, {"_cut": quantile})
+    hit = (F.col(label) >= F.greatest("_cut", F.lit(1.0))).cast("double")
+    whole = met(scores, cut, by).groupBy(*by).agg(F.count("*").alias("_n"), F.sum(hit).alias("_hits"), F.avg(label).alias("_mean"), F.max(label).alias("_most"))
+    top = met(best(scores, [F.col(score).desc(), F.col(key)], by, k, "_r"), cut, by)
+    top = top.groupBy(*by).agg(F.avg(hit).alias("_precision"), F.avg(label).alias("_top_mean"), F.max(label).alias("_top_most"))
+    enough = F.col("_n") >= 2
+    return met(whole, top, by).select(
+        *by,
+        F.when(enough & (F.col("_hits") > 0), F.col("_precision")).alias("precision"),
+        F.when(enough & (F.col("_mean") > 0), F.col("_top_mean") / F.col("_mean")).alias("lift"),
+        F.when(enough, (F.col("_top_most") >= F.col("_most")).cast("double")).alias("top1"),
     )
 
 
 def label_summary(rows: DataFrame, label: str, by: list[str]) -> DataFrame:
     """(by, n, mean, median, p90, largest, zeros) of a label."""
-    return rows.groupBy(*by).agg(
-        F.count(label).alias("n"),
-        F.avg(label).alias("mean"),
-        F.percentile(label, 0.5).alias("median"),
-        F.percentile(label, 0.9).alias("p90"),
-        F.max(label).alias("largest"),
-        F.avg((F.col(label) == 0).cast("double")).alias("zeros"),
-    )
+    summed = rows.groupBy(*by).agg(F.count(label).alias("n"), F.avg(label).alias("mean"), F.max(label).alias("largest"), F.avg((F.col(label) == 0).cast("double")).alias("zeros"))
+    middle = quantiles(rows, label, by, {"median": 0.5, "p90": 0.9})
+    return met(summed, middle, by).select(*by, "n", "mean", "median", "p90", "largest", "zeros")
 
 
 def known_summary(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -153,8 +147,7 @@ def bagged(rows: DataFrame, fit: Callable, label: str, key: str, new: DataFrame,
     drawn = resampled(rows, label, key, replicas, seed)
     scored = [fit(drawn.where(F.col("replica") == r).drop("replica"))(new).select(*by, key, "score", F.lit(r).alias("replica")) for r in range(replicas)]
     every = reduce(DataFrame.unionByName, scored)
-    rank = average_rank(F.col("score"), ["replica", *by]) / F.count("*").over(Window.partitionBy("replica", *by))
-    return every.withColumn("_rank", rank).groupBy(*by, key).agg(F.avg("_rank").alias("score"), F.stddev_pop("_rank").alias("spread"))
+    return share_rank(every, "score", ["replica", *by], "_rank").groupBy(*by, key).agg(F.avg("_rank").alias("score"), F.stddev_pop("_rank").alias("spread"))
 
 
 def forward_selection(features: list[str], measure: Callable[[list[str]], float], most: int, least_gain: float = 0.0) -> list[tuple[str, float]]:
@@ -196,8 +189,9 @@ def missing_authors(rows: DataFrame, features: dict[str, float], key: str, share
 
 def outsider_recall(scores: DataFrame, score: str, hit: str, outsider: str, by: list[str]) -> DataFrame:
     """(by, outsider, hits, percentile): the median percentile that hits reach, for outsiders and the rest."""
-    marked = scores.withColumn("_p", percentile_rank(F.col(score), by))
-    return marked.where(F.col(hit) == 1).groupBy(*by, outsider).agg(F.count("*").alias("hits"), F.percentile("_p", 0.5).alias("percentile"))
+    marked = percentile_rank(scores, score, by, "_p").where(F.col(hit) == 1)
+    counted = marked.groupBy(*by, outsider).agg(F.count("*").alias("hits"))
+    return met(counted, quantiles(marked, "_p", [*by, outsider], {"percentile": 0.5}), [*by, outsider])
 
 
 def boards(rows: DataFrame, month: str, width: int, months: list[int]) -> DataFrame:
@@ -209,10 +203,8 @@ def boards(rows: DataFrame, month: str, width: int, months: list[int]) -> DataFr
 
 def position_fade(rows: DataFrame, order: list[Column], by: list[str], first: float = 1.0, last: float = 0.2) -> DataFrame:
     """Adds ``fade``: from ``first`` to ``last`` in equal steps by place in ``order``; a row alone gets ``first``."""
-    w = Window.partitionBy(*by)
-    place = F.row_number().over(w.orderBy(*order)) - 1
-    n = F.count("*").over(w)
-    return rows.withColumn("fade", F.lit(first) - (first - last) * place / F.greatest(n - 1, F.lit(1)))
+    placed = numbered(rows, by, order, "_place", "_n")
+    return placed.withColumn("fade", F.lit(first) - (first - last) * (F.col("_place") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_place", "_n")
 
 
 def evaluable_months(rows: DataFrame, month: str, warmup: int, horizon: int, months: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ordering import selected
 from sparkloom.session import checkpoint_dir
 
 CHECKPOINT_EVERY = 5
@@ -220,8 +221,8 @@ def hubs(papers: DataFrame, edges: DataFrame, month: int, quantile: float = 0.99
     """(paper): those whose citations before ``month`` reach the quantile over all papers (paper, t) of earlier months, and one at least."""
     degree = edges.where(F.col("t_src") < month).groupBy(F.col("dst").alias("_cited")).agg(F.count("*").alias("_degree"))
     every = papers.join(degree, F.col("paper") == F.col("_cited"), "left").select("paper", "t", F.coalesce("_degree", F.lit(0)).alias("_degree"))
-    cut = every.where(F.col("t") < month).agg(F.greatest(F.percentile("_degree", quantile), F.lit(1.0)).alias("_cut"))
-    return every.crossJoin(F.broadcast(cut)).where(F.col("_degree") >= F.col("_cut")).select("paper")
+    cut = selected(every.where(F.col("t") < month), {"cut": ("_degree", quantile)})["cut"]
+    return every.where(F.lit(cut is not None) & (F.col("_degree") >= max(cut or 0.0, 1.0))).select("paper")
 
 
 def elite_attention(edges: DataFrame, hub: DataFrame, month: int) -> DataFrame:

@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ordering import selected
+
 TRIM = (0.005, 0.995)
 MARGIN = 0.03
 LEAST_BINS = 8
 
 
 def edges(points: DataFrame, x: str = "x", y: str = "y", trim: tuple[float, float] = TRIM, margin: float = MARGIN) -> DataFrame:
-    """One row x_lo, x_hi, y_lo, y_hi: interpolated quantiles widened by a margin; a constant axis gets a tiny span."""
-    q = points.agg(*[F.percentile(c, p).alias(f"{n}_{e}") for c, n in ((x, "x"), (y, "y")) for p, e in zip(trim, ("lo", "hi"), strict=True)])
-
-    def span(n: str) -> Column:
-        return F.greatest(F.col(f"{n}_hi") - F.col(f"{n}_lo"), F.lit(1e-6))
-
-    return q.select(
-        (F.col("x_lo") - margin * span("x")).alias("x_lo"),
-        (F.col("x_lo") + (1 + margin) * span("x")).alias("x_hi"),
-        (F.col("y_lo") - margin * span("y")).alias("y_lo"),
-        (F.col("y_lo") + (1 + margin) * span("y")).alias("y_hi"),
-    )
+    """One row x_lo, x_hi, y_lo, y_hi: interpolated quantiles widened by a margin; a constant axis gets a tiny span, an empty one nulls.
+
+    The quantiles are selected by counting (see ``ordering.selected``), so no task gets all points."""
+    q = selected(points, {f"{n}_{e}": (c, p) for c, n in ((x, "x"), (y, "y")) for p, e in zip(trim, ("lo", "hi"), strict=True)})
+    ends: dict[str, float | None] = {}
+    for n in ("x", "y"):
+        low, high = q[f"{n}_lo"], q[f"{n}_hi"]
+        span = None if low is None else max(high - low, 1e-6)
+        ends |= {f"{n}_lo": span and low - margin * span, f"{n}_hi": span and low + (1 + margin) * span}
+    return points.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(k) for k, v in ends.items()])
 
 
 def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:

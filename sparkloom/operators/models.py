@@ -13,14 +13,18 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Iso
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.ranking import average_rank, percentile_rank
+from sparkloom.functions import scalars
+from sparkloom.operators.ordering import met, quantiles
+from sparkloom.operators.ranking import best, percentile_rank, share_rank
 
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
 
 def percentile_features(rows: DataFrame, features: list[str], by: list[str]) -> DataFrame:
     """Each feature replaced by its percentile within the cohort."""
-    return rows.select(*[c for c in rows.columns if c not in features], *[percentile_rank(F.col(c), by).alias(c) for c in features])
+    for c in features:
+        rows = percentile_rank(rows, c, by, "_pct").drop(c).withColumnRenamed("_pct", c)
+    return rows
 
 
 def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -142,45 +146,24 @@ def calibration_bands(scores: DataFrame, percentile: str, hit: str, edges: list[
     return found.withColumn("rises", F.coalesce(F.col("rate") >= F.lag("rate").over(Window.orderBy("band")), F.lit(True)))
 
 
-def noisy(rows: DataFrame, features: list[str], share: float, seed: int) -> DataFrame:
-    """Features times 1 + share * normal noise, seeded."""
-    return rows.withColumns({f: F.col(f) * (1 + share * F.randn(seed + i)) for i, f in enumerate(features)})
+def noisy(rows: DataFrame, features: list[str], share: float, key: str, seed: str) -> DataFrame:
+    """Features times 1 + share * normal noise of seed, feature and key: the same however rows are dealt out."""
+    return rows.withColumns({f: F.col(f) * (1 + share * scalars.seeded_normal(F.concat_ws("-", F.lit(seed), F.lit(f), F.col(key).cast("string")))) for f in features})
 
 
 def rank_spread(replicas: DataFrame, score: str, key: str, replica: str, by: list[str]) -> DataFrame:
     """(key, mean, spread) of normalised ranks over replicas."""
-    ranked = replicas.withColumn("_r", average_rank(F.col(score), [replica, *by]) / F.count("*").over(_window([replica, *by])))
+    ranked = share_rank(replicas, score, [replica, *by], "_r")
     return ranked.groupBy(key).agg(F.avg("_r").alias("mean"), F.stddev_pop("_r").alias("spread"))
 
 
-def _window(by: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by)
-
-
 def concentration(rows: DataFrame, weight: str, score: str, key: str, by: list[str], k: int) -> DataFrame:
     """(by, share): how much of the top k the 10 % with the largest ``weight`` hold."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by)
-    marked = rows.withColumn("_elite", F.col(weight) >= F.percentile(weight, 0.9).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col(score).desc(), F.col(key))))
-    return marked.where(F.col("_r") <= k).groupBy(*by).agg(F.avg(F.col("_elite").cast("double")).alias("share"))
+    top = met(best(rows, [F.col(score).desc(), F.col(key)], by, k, "_r"), quantiles(rows, weight, by, {"_cut": 0.9}), by)
+    return top.groupBy(*by).agg(F.avg((F.col(weight) >= F.col("_cut")).cast("double")).alias("share"))
 
 
 def age_normalised(rows: DataFrame, value: str, age: str) -> DataFrame:
     """Adds ``normal``: the value over the mean of its age, floored at 1e-6."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("normal", F.col(value) / F.greatest(F.avg(value).over(Window.partitionBy(age)), F.lit(1e-6)))
-
-
-def kendall_sample(rows: DataFrame, x: str, y: str, key: str, steps: int = 32, buckets: int = 64) -> DataFrame:
-    """Kendall's tau-b on pairs ``steps`` apart or less in a seeded order within hash buckets, a sample linear in rows."""
-    from pyspark.sql import Window
-
-    draw = F.xxhash64(F.lit("tau"), key)
-    near = Window.partitionBy(F.pmod(draw, F.lit(buckets))).orderBy(draw, key).rowsBetween(1, steps)
-    met = rows.withColumn("_near", F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).over(near))
-    pairs = met.select(x, y, F.explode("_near").alias("o")).select(F.sign(F.col(x) - F.col("o.x")).alias("a"), F.sign(F.col(y) - F.col("o.y")).alias("b"))
-    return pairs.agg(F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.abs("a")) * F.sum(F.abs("b")))).alias("tau"))
+    means = rows.groupBy(age).agg(F.avg(value).alias("_mean"))
+    return met(rows, means, [age]).withColumn("normal", F.col(value) / F.greatest("_mean", F.lit(1e-6))).drop("_mean")

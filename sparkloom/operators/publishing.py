@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars
 from sparkloom.operators import grid
+from sparkloom.operators.ordering import numbered
 from sparkloom.operators.ranking import QUOTA, interleave
 
 BANDS = ("headline", "notable", "rest")
@@ -140,13 +141,13 @@ def shard_status(expected: DataFrame, produced: DataFrame, name: str) -> DataFra
 
 def pending(expected: DataFrame, produced: DataFrame, name: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """Shards that aren't finished, by name, out of numbers ``start`` to ``end`` of that order if given."""
-    numbered = expected.select(name).distinct().withColumn("_number", F.row_number().over(Window.orderBy(name)) - 1)
+    listed = expected.select(name).distinct().withColumn("_number", F.row_number().over(Window.orderBy(name)) - 1)
     wanted = F.lit(True)
     if start is not None:
         wanted = wanted & (F.col("_number") >= start)
     if end is not None:
         wanted = wanted & (F.col("_number") < end)
-    return numbered.where(wanted).select(name).join(produced.select(name).distinct(), name, "left_anti").orderBy(name)
+    return listed.where(wanted).select(name).join(produced.select(name).distinct(), name, "left_anti").orderBy(name)
 
 
 def load_watermark(spark: SparkSession, folder: str, key: str) -> datetime | None:
@@ -177,8 +178,7 @@ def display_order(rows: DataFrame, tier: str, newcomer: str, score: str, key: st
     banded = rows.withColumn("_band", F.coalesce(F.nullif(band, F.lit(0)), F.lit(len(BANDS) + 1))).withColumn("_new", F.coalesce(F.col(newcomer), F.lit(False)))
     inside = interleave(banded, "_new", [*by, "_band"], [F.col(score).desc_nulls_last(), F.col(key)], quota)
     order = F.when(F.col(tier).isNull(), F.lit(0)).otherwise(F.col("position"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("_band", order, F.col(key)))
-    return inside.withColumn("place", place).drop("_band", "_new", "position")
+    return numbered(inside.withColumn("_order", order), by, [F.col("_band"), F.col("_order"), F.col(key)], "place").drop("_band", "_new", "_order", "position")
 
 
 def active_lanes(rows: DataFrame, lanes: dict[str, str], by: list[str]) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fixed, scalars
-from sparkloom.operators import graph, grid, ranking, serving, tables, vectors
+from sparkloom.operators import graph, grid, ordering, ranking, serving, tables, vectors
 from sparkloom.plans import shapes
 from sparkloom.plans.registry import register
 from sparkloom.session import table
@@ -326,7 +326,8 @@ _AVG = "rank() OVER (PARTITION BY field ORDER BY {0}) + (count(*) OVER (PARTITIO
 @register("percentile_ranks", f"{_R} SELECT id, round(({_AVG.format('score')}) / (count(*) OVER (PARTITION BY field) + 1), 9) AS pct, round(({_AVG.format('score')}) / count(*) OVER (PARTITION BY field), 9) AS share FROM cohort")
 def percentile_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = shapes.cohort(spark, sf_dir)
-    return c.select("id", F.round(ranking.percentile_rank(F.col("score"), ["field"]), 9).alias("pct"), F.round(ranking.share_rank(F.col("score"), ["field"]), 9).alias("share"))
+    ranked = ranking.share_rank(ranking.percentile_rank(c, "score", ["field"], "pct"), "score", ["field"], "share")
+    return ranked.select("id", F.round("pct", 9).alias("pct"), F.round("share", 9).alias("share"))
 
 
 _LANES = """, l AS (SELECT *, rank() OVER (PARTITION BY field ORDER BY score DESC) + (count(*) OVER (PARTITION BY field, score) - 1) / 2 AS r1,
@@ -339,10 +340,10 @@ _LANES = """, l AS (SELECT *, rank() OVER (PARTITION BY field ORDER BY score DES
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = shapes.cohort(spark, sf_dir)
-    ranked = c.withColumn("r1", ranking.average_rank(F.col("score"), ["field"], descending=True))
+    ranked = ranking.average_rank(c, "score", ["field"], "r1", descending=True)
     ranked = ranking.partial_lane(ranked, "known", ["field"], "r2")
     ranked = ranked.withColumn("fused", F.round(ranking.fused([F.col("r1"), F.col("r2")]), 12))
-    return ranked.withColumn("pct", ranking.percentile_rank(F.col("fused"), ["field", "newcomer"]))
+    return ranking.percentile_rank(ranked, "fused", ["field", "newcomer"], "pct")
 
 
 @register("cohort_ranking", f"{_R}{_LANES} SELECT id, round(fused, 9) AS fused, round(pct, 9) AS pct, floor(100 * pct + 0.5)::BIGINT AS score, CASE WHEN pct >= 0.95 THEN 'headline' WHEN pct >= 0.8 THEN 'notable' ELSE 'rest' END AS tier FROM s")
@@ -365,7 +366,7 @@ def quota_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("small_cohorts", "SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY k) < 12 THEN '(small fields)' ELSE k END AS cohort FROM (SELECT o_orderkey, coalesce(nullif(trim(CASE WHEN o_custkey % 50 < 2 THEN ' ' ELSE (o_custkey % 977)::VARCHAR END), ''), 'unknown') AS k FROM orders)")
 def small_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.when(F.col("o_custkey") % 50 < 2, " ").otherwise((F.col("o_custkey") % 977).cast("string"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", k.alias("k")).select("o_orderkey", ranking.cohort(F.col("k")).alias("cohort"))
+    return ranking.cohort(table(spark, sf_dir, "orders").select("o_orderkey", k.alias("k")), F.col("k"), "cohort").select("o_orderkey", "cohort")
 
 
 @register("auc_by_cohort", f"{_R}, r AS (SELECT *, {_AVG.format('score')} AS r FROM cohort) SELECT field, count(*) AS n, sum(hit)::BIGINT AS positives, round((sum(CASE WHEN hit = 1 THEN r END) - sum(hit) * (sum(hit) + 1) / 2) / (sum(hit) * (count(*) - sum(hit))), 9) AS auc FROM r GROUP BY field")
@@ -397,8 +398,8 @@ def overlap_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tier_gaps", f"{_R}{_LANES}, t AS (SELECT id, field, CASE WHEN pct >= 0.95 THEN 'headline' WHEN pct >= 0.8 THEN 'notable' ELSE 'rest' END AS tier, pct FROM s) SELECT id, coalesce(tier <> lag(tier) OVER (PARTITION BY field ORDER BY round(pct, 9) DESC, id), true) AS heading FROM t")
 def tier_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir).withColumn("tier", ranking.tier(F.col("pct")))
-    w = Window.partitionBy("field").orderBy(F.round("pct", 9).desc(), "id")
-    return s.select("id", F.coalesce(F.col("tier") != F.lag("tier").over(w), F.lit(True)).alias("heading"))
+    before = ordering.lagged(s, ["field"], [F.round("pct", 9).desc(), F.col("id")], "tier", "above")
+    return before.select("id", F.coalesce(F.col("tier") != F.col("above"), F.lit(True)).alias("heading"))
 
 
 # --- graphs, authors and terms ------------------------------------------------------------------------

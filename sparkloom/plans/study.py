@@ -182,13 +182,13 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tier_agreement", f"{_R}, x AS (SELECT field, id, ({_AVG.format('score')}) / (count(*) OVER (PARTITION BY field) + 1) AS a, ({_AVG.format('label')}) / (count(*) OVER (PARTITION BY field) + 1) AS b FROM cohort) SELECT field, count(*) AS n, sum((CASE WHEN a >= 0.95 THEN 2 WHEN a >= 0.8 THEN 1 ELSE 0 END = CASE WHEN b >= 0.95 THEN 2 WHEN b >= 0.8 THEN 1 ELSE 0 END)::INT)::BIGINT AS same FROM x GROUP BY 1")
 def tier_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = shapes.cohort(spark, sf_dir)
-    ranked = [c.select("field", "id", ranking.tier(ranking.percentile_rank(F.col(v), ["field"])).alias("tier")) for v in ("score", "label")]
+    ranked = [ranking.percentile_rank(c, v, ["field"], "pct").select("field", "id", ranking.tier(F.col("pct")).alias("tier")) for v in ("score", "label")]
     return evaluation.tier_agreement(*ranked, "id", "tier", ["field"])
 
 
 @register("tier_tallies", f"{_R}, x AS (SELECT *, ({_AVG.format('score')}) / (count(*) OVER (PARTITION BY field) + 1) AS a FROM cohort) SELECT field, CASE WHEN a >= 0.95 THEN 'headline' WHEN a >= 0.8 THEN 'notable' ELSE 'rest' END AS tier, count(*) AS n, sum(newcomer::INT)::BIGINT AS newcomers, sum((known IS NOT NULL)::INT)::BIGINT AS known FROM x GROUP BY 1, 2")
 def tier_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = shapes.cohort(spark, sf_dir).withColumn("tier", ranking.tier(ranking.percentile_rank(F.col("score"), ["field"])))
+    c = ranking.percentile_rank(shapes.cohort(spark, sf_dir), "score", ["field"], "pct").withColumn("tier", ranking.tier(F.col("pct")))
     return evaluation.tallies(c, ["field", "tier"], {"newcomers": F.col("newcomer"), "known": F.col("known").isNotNull()})
 
 

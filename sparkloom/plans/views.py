@@ -162,8 +162,8 @@ def shard_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, row_number() OVER (PARTITION BY field ORDER BY band, key, lane, j2, id)::INT AS place FROM k""",
 )
 def display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = shapes.cohort(spark, sf_dir)
-    tiers = F.when(F.col("id") % 10 != 0, ranking.tier(ranking.percentile_rank(F.col("score"), ["field"])))
+    c = ranking.percentile_rank(shapes.cohort(spark, sf_dir), "score", ["field"], "pct")
+    tiers = F.when(F.col("id") % 10 != 0, ranking.tier(F.col("pct")))
     return publishing.display_order(c.withColumn("tier", tiers), "tier", "newcomer", "score", "id", ["field"]).select("id", "place")
 
 

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions import scalars
+from sparkloom.operators.tables import last_by
+
+#: A string of a Python repr with its quotes.
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+
 ATOM_ENTRY = "id string, title string, summary string, published string, updated string, author array<struct<name:string>>, category array<struct<_term:string>>"
 
 
@@ -39,9 +45,10 @@ def label_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def python_strings(value: Column) -> Column:
-    """Strings of a Python list's repr: as JSON with quotes swapped, else by pattern."""
-    swapped = F.from_json(F.replace(value, F.lit("'"), F.lit('"')), "array<string>")
-    return F.coalesce(swapped, F.regexp_extract_all(value, F.lit(r"'([^']*)'"), F.lit(1)))
+    """Strings of a Python list's repr: each is quoted by either kind of quote and may hold the other, or its own behind a backslash."""
+    quoted = F.regexp_extract_all(value, F.lit(_QUOTED), F.lit(0))
+    inside = lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2)
+    return F.transform(quoted, lambda x: F.regexp_replace(inside(x), r"\\(.)", "$1"))
 
 
 def atom_entries(feeds: DataFrame, column: str) -> DataFrame:
@@ -125,17 +132,33 @@ def synthetic_points(spark: SparkSession, size: int = 3_000, clusters: int = 5,
     return n.select(
         F.concat(F.lit("synthetic-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("doc_id"),
         cluster.alias("cluster"),
-        (4 * F.cos(angle) + F.randn(seed)).alias("x"),
-        (4 * F.sin(angle) + F.randn(seed + 1)).alias("y"),
+        (4 * F.cos(angle) + scalars.seeded_normal(F.concat(F.lit(f"{seed}-x-"), F.col("id").cast("string")))).alias("x"),
+        (4 * F.sin(angle) + scalars.seeded_normal(F.concat(F.lit(f"{seed}-y-"), F.col("id").cast("string")))).alias("y"),
         (2015 + F.col("id") % 10).cast("int").alias("year"),
     )
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Papers of a JSON array whose authors and tags are reprs of Python lists; the first of each id stays."""
+    """Papers of a JSON array whose authors and tags are reprs of Python lists, with the month's number ``t``.
+
+    The version goes from the id, and of the rows of one id the first in the files' order stays; the first category is the primary one."""
     schema = "id string, title string, summary string, author string, tag string, year int, month int, day int"
     rows = spark.read.schema(schema).option("multiLine", "true").json(path)
-    names = F.regexp_extract_all("author", F.lit(r"""'name':\s*(?:'([^']*)'|"[^"]*")"""), F.lit(1))
-    terms = F.regexp_extract_all("tag", F.lit(r"'term':\s*'([^']*)'"), F.lit(1))
-    typed = rows.select("id", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"), F.col("summary").alias("abstract"), F.filter(names, lambda x: x != "").alias("authors"), terms.alias("categories"), "year", "month", "day")
-    return typed.where("id IS NOT NULL").dropDuplicates(["id"])
+    told = lambda c, field: F.flatten(F.transform(F.regexp_extract_all(c, F.lit(rf"'{field}':\s*(?:{_QUOTED})"), F.lit(0)), lambda x: F.slice(python_strings(x), 2, 1)))
+    filled = lambda names: F.filter(names, lambda x: x != "")
+    clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    categories = filled(told("tag", "term"))
+    typed = rows.select(
+        scalars.strip_version(F.col("id")).alias("id"),
+        clean("title").alias("title"),
+        clean("summary").alias("abstract"),
+        filled(told("author", "name")).alias("authors"),
+        categories.alias("categories"),
+        F.coalesce(F.get(categories, F.lit(0)), F.lit("")).alias("primary"),
+        "year",
+        "month",
+        "day",
+        ((F.col("year") - 1992) * 12 + F.col("month") - 1).alias("t"),
+        F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("_place"),
+    )
+    return last_by(typed.where("id IS NOT NULL"), ["id"], [F.col("_place")]).drop("_place")

@@ -48,9 +48,9 @@ def test_calibration_and_audits(rows):
     assert len(grid) == 41 and grid == sorted(grid)
     bands = models.calibration_bands(scored, "a", "hit", [0, 0.5, 0.8, 1]).collect()
     assert len(bands) == 3 and all(r["rises"] for r in bands)
-    assert models.noisy(rows, ["a"], 0.05, 1).count() == 600
+    noised = [{r["id"]: r["a"] for r in models.noisy(rows.repartition(n), ["a"], 0.05, "id", "s").collect()} for n in (2, 5)]
+    assert noised[0] == noised[1] and len(noised[0]) == 600
     replicas = rows.withColumn("replica", F.explode(F.array(F.lit(1), F.lit(2))))
     assert models.rank_spread(replicas, "a", "id", "replica", ["month"]).agg(F.max("spread")).first()[0] == 0
     assert all(0 < r["share"] <= 1 for r in models.concentration(rows, "a", "a", "id", ["month"], 10).collect())
     assert models.age_normalised(rows, "cites", "month").agg(F.avg("normal")).first()[0] == pytest.approx(1)
-    assert models.kendall_sample(rows, "a", "cites", "id").first()["tau"] > 0.8

@@ -125,6 +125,8 @@ def test_readers(spark, tmp_path):
     assert readers.tolerant_parquet(spark, str(tmp_path / "p"), "id long, more string").columns == ["id", "more"]
     assert readers.tolerant_parquet(spark, str(tmp_path / "none"), "id long").count() == 0
     frame = spark.createDataFrame([("['a', 'b']",), ("[\"it's\", 'c']",)], "v string")
+    odd = spark.createDataFrame([("""["Mary O'Brien", 'Ann Lee', 'He said "so"', 'it\\'s', '']""",), ("[]",), (None,)], "v string")
+    assert [r[0] for r in odd.select(readers.python_strings(F.col("v"))).collect()] == [["Mary O'Brien", "Ann Lee", 'He said "so"', "it's", ""], [], None]
     assert [r[0] for r in frame.select(readers.python_strings(F.col("v"))).collect()][0] == ["a", "b"]
 
 

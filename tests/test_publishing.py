@@ -1,5 +1,7 @@
 """Publishing, manifests, versions of state, shard status and watermarks on a folder."""
 
+import json
+
 from datetime import datetime, timedelta
 
 import pytest
@@ -127,9 +129,26 @@ def test_listing(spark, tmp_path):
     path = tmp_path / "list.json"
     path.write_text('[{"id": "1", "title": "A  b", "summary": "s", "author": "[{\'name\': \'Ann O\'}, {\'name\': \\"O\'Neil\\"}]", "tag": "[{\'term\': \'cs.LG\', \'x\': None}]", "year": 2018}, {"id": "1", "title": "again"}]')
     row = readers.listing(spark, str(path)).collect()
-    assert len(row) == 1
-    if row[0]["title"] == "A b":
-        assert row[0]["categories"] == ["cs.LG"] and "Ann O" in row[0]["authors"]
+    assert len(row) == 1 and row[0]["title"] == "A b"
+    assert row[0]["categories"] == ["cs.LG"] and row[0]["authors"] == ["Ann O", "O'Neil"]
+
+
+def test_listing_keeps_the_first_version(spark, tmp_path):
+    path = tmp_path / "versions.json"
+    rows = [{"id": f"1801.0000{i % 3}v{i + 1}", "title": f"T{i}", "summary": " s  t\n", "author": "[]", "tag": "[{'term': 'a.B'}, {'term': \"c'D\"}]" if i else "[]", "year": 2018, "month": 2, "day": 3} for i in range(9)]
+    path.write_text(json.dumps(rows))
+    found = {r["id"]: r for r in readers.listing(spark, str(path)).collect()}
+    assert {k: r["title"] for k, r in found.items()} == {"1801.00000": "T0", "1801.00001": "T1", "1801.00002": "T2"}
+    assert found["1801.00000"]["primary"] == "" and found["1801.00001"]["primary"] == "a.B" and found["1801.00001"]["categories"] == ["a.B", "c'D"]
+    assert found["1801.00001"]["abstract"] == "s t" and found["1801.00001"]["month"] == 2
+
+
+def test_seeds_don_t_follow_partitions(spark):
+    sums = []
+    for parts in (2, 5):
+        points = readers.synthetic_points(spark).repartition(parts)
+        sums.append({r["doc_id"]: (r["x"], r["y"]) for r in points.collect()})
+    assert sums[0] == sums[1] and len({x for x, _ in sums[0].values()}) > 2_900
 
 
 def test_sinks(spark, tmp_path):
