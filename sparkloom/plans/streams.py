@@ -1,14 +1,16 @@
-"""Queries that read tables as streams, and their batch SQL."""
+"""Queries that read tables as streams or write them through data sources, and their batch SQL."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import register
-from sparkloom.session import table
+from sparkloom.session import checkpoint_dir, table
+from sparkloom.sources import exports
 from sparkloom.streaming import stateful
 
 _HORIZON = timedelta(days=2)
@@ -43,3 +45,18 @@ def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = stateful.answered(of("view"), of("click"), "user_id", "ts", "12 HOURS", "2 hours")
     return stateful.drained(found.select("event_id", "answer_event_id"), "answers", "append").select("event_id", "answer_event_id")
+
+
+@register(
+    "exported_shards",
+    """WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings)
+    SELECT printf('shard_%05d.parquet', i // 300) AS name, count(*) AS rows, 'ok' AS status, min(vec_id) AS first_id, max(vec_id) AS last_id FROM n GROUP BY i // 300
+    UNION ALL SELECT '', count(*), 'ok', min(vec_id), max(vec_id) FROM n""",
+)
+def exported_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/sparkloom-export-{uuid.uuid4().hex}"
+    exports.export(table(spark, sf_dir, "embeddings"), ["vec_id"], 300, path, "embedding", snapshot="s")
+    rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(path).withColumn("of", F.regexp_extract(F.input_file_name(), r"[^/]+$", 0))
+    ends = rows.rollup("of").agg(F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id")).select(F.coalesce("of", F.lit("")).alias("of"), "first_id", "last_id")
+    found = exports.validated(spark, path, "embedding")
+    return found.join(ends, F.col("name") == F.col("of"), "left").drop("of")
