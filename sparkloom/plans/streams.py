@@ -1,16 +1,19 @@
-"""Queries that read tables as streams or write them through data sources, and their batch SQL."""
+"""Queries that read tables as streams, write them through data sources or in layouts of their own, or train on them; with SQL that says the same."""
 
 from __future__ import annotations
 
 import uuid
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators import linear
+from sparkloom.plans import shapes
 from sparkloom.plans.registry import register
 from sparkloom.session import checkpoint_dir, table
-from sparkloom.sources import exports
+from sparkloom.sources import aligned, exports
 from sparkloom.streaming import stateful
 
 _HORIZON = timedelta(days=2)
@@ -60,3 +63,45 @@ def exported_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = rows.rollup("of").agg(F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id")).select(F.coalesce("of", F.lit("")).alias("of"), "first_id", "last_id")
     found = exports.validated(spark, path, "embedding")
     return found.join(ends, F.col("name") == F.col("of"), "left").drop("of")
+
+
+@register("aligned_vectors", "SELECT d.doc_id, d.lang, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id")
+def aligned_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = aligned.bucketed(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 16)
+    vectors = aligned.bucketed(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", 16)
+    return aligned.aligned_join(spark, documents, vectors, "doc_id").select("doc_id", "lang", "label")
+
+
+_NEEDLES = ("The of", "que la", "Überh", "a@", "zzzqq", "n")
+
+
+@register(
+    "indexed_search",
+    "SELECT n.needle, d.doc_id FROM documents d JOIN (SELECT unnest([" + ", ".join(f"'{x}'" for x in _NEEDLES) + "]) AS needle) n ON contains(lower(d.text), lower(n.needle))",
+)
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/sparkloom-index-{uuid.uuid4().hex}"
+    index = aligned.TextIndex.build(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"], path)
+    return reduce(DataFrame.union, [index.search(spark, x).select(F.lit(x).alias("needle"), "doc_id") for x in _NEEDLES])
+
+
+_RIDGE = """t AS (SELECT id, field, coalesce(known, 0) / 1000 AS x, label AS z, hit::DOUBLE AS y FROM cohort),
+ w AS (SELECT count(*) AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy FROM t),
+ f AS (SELECT field, count(*) AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy FROM t GROUP BY 1),
+ r AS (SELECT field, w.n - f.n AS n, w.x - f.x AS x, w.z - f.z AS z, w.y - f.y AS y, w.xx - f.xx AS xx, w.xz - f.xz AS xz, w.zz - f.zz AS zz, w.xy - f.xy AS xy, w.zy - f.zy AS zy FROM f CROSS JOIN w),
+ c AS (SELECT field, x / n AS mx, z / n AS mz, y / n AS my, xx - x * x / n + 2 AS a, xz - x * z / n AS b, zz - z * z / n + 2 AS d, xy - x * y / n AS p, zy - z * y / n AS q FROM r),
+ s AS (SELECT field, mx, mz, my, (p * d - q * b) / (a * d - b * b) AS bx, (q * a - p * b) / (a * d - b * b) AS bz FROM c)"""
+
+
+@register("ridge_folds", f"WITH {shapes.COHORT_SQL}, {_RIDGE} SELECT t.id, round(my + bx * (x - mx) + bz * (z - mz), 6) AS score FROM t JOIN s USING (field)")
+def ridge_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = shapes.cohort(spark, sf_dir).select("id", "field", (F.coalesce("known", F.lit(0.0)) / 1000).alias("x"), F.col("label").alias("z"), F.col("hit").cast("double").alias("y"))
+    models = linear.leave_one_out(c, ["x", "z"], "y", "field", 2.0)
+    return linear.scored_by_fold(c, models, ["x", "z"], "field").select("id", F.round("score", 6).alias("score"))
+
+
+@register("ridge_bags")
+def ridge_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = shapes.cohort(spark, sf_dir).select("id", "field", (F.coalesce("known", F.lit(0.0)) / 1000).alias("x"), "score", F.col("hit").cast("double").alias("y"))
+    models = linear.bags(c, ["x", "score"], "y", "id", 25, 1.0)
+    return linear.bagged(c, models, ["x", "score"], "id", ["field"]).select("id", F.round("score", 6).alias("score"), F.round("spread", 6).alias("spread"))
