@@ -145,8 +145,14 @@ def approximate_neighbours(corpus: DataFrame, queries: DataFrame, key: str, vect
 
 
 def principal_components(rows: DataFrame, sample: DataFrame, vector: str, k: int) -> DataFrame:
-    """``rows`` with ``pca``: centred on the sample's means, projected on its components."""
-    dims = len(sample.select(vector).first()[0])
+    """``rows`` with ``pca``: centred on the sample's means, projected on its components, at most one fewer than the sample has rows.
+
+    A sample of fewer than two rows has no components: ``pca`` is then empty."""
+    sample = sample.where(F.col(vector).isNotNull())
+    first = sample.select(vector).limit(k + 1).collect()
+    if len(first) < 2:
+        return rows.withColumn("pca", F.array().cast("array<double>"))
+    dims = min(len(first[0][0]), len(first) - 1)
     fitted = sample.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     model = PCA(k=min(k, dims), inputCol="v", outputCol="p").fit(fitted)
     means = fitted.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray().tolist()

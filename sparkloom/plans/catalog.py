@@ -236,12 +236,14 @@ def text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CLAIMS = " + ".join(f"(length(x) - length(replace(x, '{t}', ''))) // {len(t)}" for t in ("the", "and", "in "))
+#: Term lists of the counts, and words that invented prose holds more of.
+_LISTS = {"claims": fixed.CLAIM_TERMS, "hedges": fixed.HEDGE_TERMS, "common": ("the", "and", "in ")}
+_COUNTS = ", ".join("(" + " + ".join(f"(length(x) - length(replace(x, '{t}', ''))) // {len(t)}" for t in terms) + f")::INT AS {name}" for name, terms in _LISTS.items())
 
 
-@register("term_counts", f"SELECT doc_id, ({_CLAIMS})::INT AS claims FROM (SELECT doc_id, lower(text) AS x FROM documents)")
+@register("term_counts", f"SELECT doc_id, {_COUNTS} FROM (SELECT doc_id, lower(text) AS x FROM documents)")
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", scalars.term_count(F.col("text"), ("the", "and", "in ")).alias("claims"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[scalars.term_count(F.col("text"), terms).alias(name) for name, terms in _LISTS.items()])
 
 
 _STOP = "[" + ", ".join(f"'{x}'" for x in sorted(set(fixed.STOPWORDS.split()))) + "]"

@@ -115,14 +115,14 @@ def slot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "recent_similarity",
     f"""WITH {_TERMS}, w AS (SELECT * FROM terms WHERE t >= 24 AND t < 36), n AS (SELECT count(*) AS n FROM w), c AS (SELECT paper_id, term, count(*) AS tf FROM (SELECT paper_id, unnest(terms) AS term FROM w) GROUP BY 1, 2),
-    k AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf, sum(tf) AS total FROM c, n GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500),
+    k AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf, sum(tf) AS total FROM c, n GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 20000),
     v AS (SELECT paper_id, c.term, tf * idf AS w FROM c JOIN k ON k.term = c.term), u AS (SELECT paper_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)) AS u FROM v), m AS (SELECT term, sum(u) AS c FROM u GROUP BY 1),
     oc AS (SELECT paper_id, term, count(*) AS tf FROM (SELECT paper_id, unnest(terms) AS term FROM terms WHERE t = 36) GROUP BY 1, 2), ov AS (SELECT paper_id, oc.term, tf * idf AS w FROM oc JOIN k ON k.term = oc.term),
     ou AS (SELECT paper_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)) AS u FROM ov), s AS (SELECT paper_id, sum(u * c) / (SELECT sqrt(sum(c * c)) FROM m) AS s FROM ou JOIN m ON m.term = ou.term GROUP BY 1)
-    SELECT t.paper_id, round(CASE WHEN (SELECT n FROM n) > 10 THEN coalesce(s, 0) ELSE 0 END, 7) AS similarity FROM terms t LEFT JOIN s ON s.paper_id = t.paper_id WHERE t.t = 36""",
+    SELECT t.paper_id, round(CASE WHEN (SELECT n FROM n) > 50 THEN coalesce(s, 0) ELSE 0 END, 7) AS similarity FROM terms t LEFT JOIN s ON s.paper_id = t.paper_id WHERE t.t = 36""",
 )
 def recent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(vectors.recent_similarity(_term_papers(spark, sf_dir), "paper_id", "terms", 36, 12, features=500, least=10), "similarity", places=7)
+    return _rounded(vectors.recent_similarity(_term_papers(spark, sf_dir), "paper_id", "terms", 36, 12, features=20_000, least=50), "similarity", places=7)
 
 
 # --- evaluation -----------------------------------------------------------------------------------
@@ -169,14 +169,14 @@ def _balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(F.col("c_nationkey").alias("nation")).agg(F.avg("c_acctbal").alias("a"), F.avg(F.col("c_acctbal") * (F.col("c_custkey") % 3)).alias("b"))
 
 
-@register("bootstrap_interval", f"WITH {_BALANCES}, {_DRAWS.format(key='nation', value='a', source='balances', draws=400)} SELECT (SELECT round(avg(a), 6) FROM balances) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(a) FROM balances) AS n FROM drawn")
+@register("bootstrap_interval", f"WITH {_BALANCES}, {_DRAWS.format(key='nation', value='a', source='balances', draws=4000)} SELECT (SELECT round(avg(a), 6) FROM balances) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(a) FROM balances) AS n FROM drawn")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluation.bootstrap_interval(_balances(spark, sf_dir), "nation", "a", 400), "mean", "low", "high", places=6)
+    return _rounded(evaluation.bootstrap_interval(_balances(spark, sf_dir), "nation", "a", 4_000), "mean", "low", "high", places=6)
 
 
-@register("paired_bootstrap", f"WITH {_BALANCES}, diffs AS (SELECT nation, a - b AS d FROM balances), {_DRAWS.format(key='nation', value='d', source='diffs', draws=400)} SELECT (SELECT round(avg(d), 6) FROM diffs) AS delta, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg((m > 0)::INT), 9) AS p_better, (SELECT count(d) FROM diffs) AS n FROM drawn")
+@register("paired_bootstrap", f"WITH {_BALANCES}, diffs AS (SELECT nation, a - b AS d FROM balances), {_DRAWS.format(key='nation', value='d', source='diffs', draws=4000)} SELECT (SELECT round(avg(d), 6) FROM diffs) AS delta, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg((m > 0)::INT), 9) AS p_better, (SELECT count(d) FROM diffs) AS n FROM drawn")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluation.paired_bootstrap(_balances(spark, sf_dir), "nation", "a", "b", 400), "delta", "low", "high", "p_better", places=6)
+    return _rounded(evaluation.paired_bootstrap(_balances(spark, sf_dir), "nation", "a", "b", 4_000), "delta", "low", "high", "p_better", places=6)
 
 
 @register("tier_agreement", f"{_R}, x AS (SELECT field, id, ({_AVG.format('score')}) / (count(*) OVER (PARTITION BY field) + 1) AS a, ({_AVG.format('label')}) / (count(*) OVER (PARTITION BY field) + 1) AS b FROM cohort) SELECT field, count(*) AS n, sum((CASE WHEN a >= 0.95 THEN 2 WHEN a >= 0.8 THEN 1 ELSE 0 END = CASE WHEN b >= 0.95 THEN 2 WHEN b >= 0.8 THEN 1 ELSE 0 END)::INT)::BIGINT AS same FROM x GROUP BY 1")

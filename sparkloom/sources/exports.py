@@ -35,7 +35,7 @@ FORMAT = "sparkloom_shards"
 MANIFEST, STATUS = "manifest.json", "status.json"
 CHUNK = 1 << 20
 #: What a vector's length may differ from 1.
-NORM_TOLERANCE = 1e-3
+NORM_TOLERANCE = 1e-2
 
 
 @dataclass

@@ -160,3 +160,13 @@ def test_raw_log(spark, tmp_path):
     for _ in range(2):
         writers.write_raw_log(spark.createDataFrame([("d1", "x")], "run_date string, payload string"), path, ["run_date"])
     assert spark.read.json(path).count() == 2 and json.dumps({})
+
+
+def test_components_of_small_samples(spark):
+    rows = spark.createDataFrame([(i, [float(i), float(i * i), 1.0]) for i in range(6)], "id int, v array<double>")
+    assert {len(r["pca"]) for r in vectors.principal_components(rows, rows.limit(0), "v", 2).collect()} == {0}
+    assert {len(r["pca"]) for r in vectors.principal_components(rows, rows.limit(2), "v", 2).collect()} == {1}
+    found = vectors.principal_components(rows, rows, "v", 2).collect()
+    spread = [sum((r["pca"][i] - sum(x["pca"][i] for x in found) / 6) ** 2 for r in found) for i in (0, 1)]
+    points = [(i - 2.5, i * i - 55 / 6) for i in range(6)]
+    assert sum(spread) == pytest.approx(sum(a * a + b * b for a, b in points)) and spread[0] > spread[1]  # two components hold all that varies
