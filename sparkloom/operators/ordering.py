@@ -99,6 +99,17 @@ def lagged(rows: DataFrame, by: list[str], order: list[Column], value: str, name
     return joined.withColumn(name, F.coalesce("_before", "_end")["v"]).drop("_range", "_inside", "_before", "_end")
 
 
+def carried(rows: DataFrame, by: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """``rows`` with the last known ``value`` up to each row in ``order`` within the cohort."""
+    spread = _ranged(rows, by, order)
+    w = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = spread.withColumn("_own", F.last(value, ignorenulls=True).over(w)).withColumn("_inside", F.count("*").over(w))
+    ends = placed.groupBy(*by, "_range").agg(F.max_by("_own", "_inside").alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    joined = met(placed, ends.select(*by, "_range", F.last("_end", ignorenulls=True).over(earlier).alias("_end")), [*by, "_range"])
+    return joined.withColumn(name, F.coalesce("_own", "_end")).drop("_range", "_own", "_inside", "_end")
+
+
 def quantiles(rows: DataFrame, value: str, by: list[str], wanted: dict[str, float]) -> DataFrame:
     """(by, names of ``wanted``): interpolated quantiles of the known values of each cohort; cohorts without any don't come."""
     places = value_places(rows.where(F.col(value).isNotNull()), value, by)
@@ -211,3 +222,48 @@ def _any(brackets: list[_Bracket]) -> Column:
     for b in brackets:
         found = found | b.holds()
     return found
+
+
+def pooled(blocks: list[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float]]:
+    """Neighbouring (low, high, weight, sum) blocks in order, pooled until means rise."""
+    found: list[tuple[float, float, float, float]] = []
+    for low, high, weight, total in blocks:
+        while found and found[-1][3] * weight >= total * found[-1][2]:
+            before = found.pop()
+            low, weight, total = before[0], before[2] + weight, before[3] + total
+        found.append((low, high, weight, total))
+    return found
+
+
+def isotonic(rows: DataFrame, value: str, label: str, together: int = 16) -> DataFrame:
+    """(low, high, weight, fitted): the least-squares fit of ``label`` that doesn't fall with ``value``, a row a level.
+
+    Values are counted, dealt out by range and pooled within their ranges; what stays of ``together`` neighbouring ranges is pooled again, and so on. Pooling in parts
+    and then across gives what pooling at once does, and each round goes on with blocks only; the last holds as many as the fit has levels. Rows with an unknown value or
+    label don't count."""
+    import pyarrow as pa
+
+    checkpoint_dir(rows.sparkSession)
+    known = rows.select(F.col(value).cast("double").alias("low"), F.col(label).cast("double").alias("_y")).where("low IS NOT NULL AND NOT isnan(low) AND _y IS NOT NULL AND NOT isnan(_y)")
+    counted = known.groupBy("low").agg(F.count("*").cast("double").alias("weight"), F.sum("_y").alias("total"))
+    blocks = _ranged(counted.select("low", F.col("low").alias("high"), "weight", "total"), [], [F.col("low")])
+
+    def pool(table: pa.Table) -> pa.Table:
+        table = table.sort_by("low")
+        found = pooled(list(zip(*[table[c].to_pylist() for c in ("low", "high", "weight", "total")], strict=True)))
+        columns = [pa.array([b[i] for b in found], pa.float64()) for i in range(4)]
+        return pa.table([*columns, pa.array([table["_range"][0].as_py()] * len(found), pa.int32())], names=["low", "high", "weight", "total", "_range"])
+
+    while True:
+        blocks = blocks.groupBy("_range").applyInArrow(pool, "low double, high double, weight double, total double, _range int").checkpoint()
+        if not blocks.agg(F.max("_range")).first()[0]:
+            return blocks.select("low", "high", "weight", (F.col("total") / F.col("weight")).alias("fitted"))
+        blocks = blocks.withColumn("_range", F.floor(F.col("_range") / together).cast("int"))
+
+
+def fitted(rows: DataFrame, value: str, levels: DataFrame) -> DataFrame:
+    """(value, fitted) of the distinct known values of ``rows`` by the levels of ``isotonic``: that of the last level which begins at or below."""
+    asked = rows.select(F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)").distinct().select("_v", F.lit(None).cast("double").alias("_level"))
+    both = levels.select(F.col("low").alias("_v"), F.col("fitted").alias("_level")).union(asked)
+    told = carried(both.withColumn("_asked", F.col("_level").isNull()), [], [F.col("_v"), F.col("_asked")], "_level", "fitted")
+    return told.where("_asked").select(F.col("_v").alias(value), "fitted")

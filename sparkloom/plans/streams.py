@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import linear
+from sparkloom.operators import linear, ordering
 from sparkloom.plans import shapes
 from sparkloom.plans.registry import register
 from sparkloom.session import checkpoint_dir, table
@@ -105,3 +105,15 @@ def ridge_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = shapes.cohort(spark, sf_dir).select("id", "field", (F.coalesce("known", F.lit(0.0)) / 1000).alias("x"), "score", F.col("hit").cast("double").alias("y"))
     models = linear.bags(c, ["x", "score"], "y", "id", 25, 1.0)
     return linear.bagged(c, models, ["x", "score"], "id", ["field"]).select("id", F.round("score", 6).alias("score"), F.round("spread", 6).alias("spread"))
+
+
+@register(
+    "isotonic_fit",
+    f"""WITH {shapes.COHORT_SQL}, v AS (SELECT score AS x, count(*)::DOUBLE AS w, sum((hit + label + score / 50)::DOUBLE) AS s FROM cohort GROUP BY 1), p AS (SELECT x, row_number() OVER (ORDER BY x) AS i, w, s, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs FROM v),
+    m AS (SELECT j.i AS j, k.i AS k, (k.cs - j.cs + j.s) / (k.cw - j.cw + j.w) AS a FROM p j JOIN p k ON j.i <= k.i),
+    least_after AS (SELECT i.i, m.j, min(m.a) AS a FROM p i JOIN m ON m.j <= i.i AND m.k >= i.i GROUP BY 1, 2)
+    SELECT p.x AS score, round(max(a), 6) AS fitted FROM p JOIN least_after l ON l.i = p.i GROUP BY 1""",
+)
+def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = shapes.cohort(spark, sf_dir).withColumn("y", F.col("hit") + F.col("label") + F.col("score") / 50)
+    return ordering.fitted(c, "score", ordering.isotonic(c, "score", "y")).select("score", F.round("fitted", 6).alias("fitted"))

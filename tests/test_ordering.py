@@ -147,3 +147,35 @@ def test_plans_hold_no_cohort_window_and_no_global_quantile(spark):
         for line in windows(found):
             # Over cohorts alone only the ranges' sums go, a row a range; and the best k, which tasks cut before they pass them on.
             assert "_range" in line or "row_number()" in line and "WindowGroupLimit" in plan, (name, line)
+
+
+def max_min(rows):
+    """{value: fitted} by the max-min formula."""
+    values = sorted({r[0] for r in rows})
+    w = np.array([sum(1 for r in rows if r[0] == v) for v in values], float)
+    s = np.array([sum(r[1] for r in rows if r[0] == v) for v in values], float)
+    mean = lambda j, k: s[j : k + 1].sum() / w[j : k + 1].sum()
+    return {v: max(min(mean(j, k) for k in range(i, len(values))) for j in range(i + 1)) for i, v in enumerate(values)}
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "noisy", "tied"])
+def test_isotonic_fit_over_ranges(spark, shape):
+    draw = random.Random(shape)
+    n = 60
+    label = {"rising": lambda i: i, "falling": lambda i: -i, "noisy": lambda i: i + draw.randrange(40), "tied": lambda i: draw.randrange(2)}[shape]
+    rows = [(float(i % 25 if shape == "tied" else i), float(label(i))) for i in range(n)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.createDataFrame([*rows, (None, 1.0), (1.0, None)], "v double, y double")
+        levels = [tuple(r) for r in ordering.isotonic(frame, "v", "y", together=2).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    for value, fitted in max_min(rows).items():
+        assert [f for low, high, _, f in levels if low <= value <= high] == [pytest.approx(fitted)]
+    told = {r["v"]: r["fitted"] for r in ordering.fitted(frame, "v", spark.createDataFrame(levels, "low double, high double, weight double, fitted double")).collect()}
+    assert told == {v: pytest.approx(f) for v, f in max_min(rows).items()}
+    assert sum(w for _, _, w, _ in levels) == n and len(levels) == {"rising": n, "falling": 1}.get(shape, len(levels))
+    assert ordering.isotonic(spark.createDataFrame([], "v double, y double"), "v", "y").count() == 0
