@@ -213,11 +213,15 @@ def _sets(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return map_batches(texts, make, f"class_id {kind}, members binary")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """(src, dst): pairs whose full sets reach the threshold; only texts of classes in pairs are read into sets."""
-    kind = classes.schema["class_id"].dataType.simpleString()
+def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """(class_id, members) of the classes in ``pairs``; only their texts are read into sets."""
     ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("class_id")
-    sets = _sets(ends.join(classes.select("class_id", "d1", "d2"), "class_id"), docs, length)
+    return _sets(ends.join(classes.select("class_id", "d1", "d2"), "class_id"), docs, length)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): pairs whose full sets reach the threshold."""
+    kind = pairs.schema["a"].dataType.simpleString()
 
     def compare(batch: pa.RecordBatch):
         keep = []
@@ -326,13 +330,16 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, matches
     ends = counted.select(F.col("a").alias("own"), F.col("b").alias("other"), "agree").union(counted.select("b", "a", "agree"))
     best = ends.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy(*order))).where(F.col("place") <= FIRST)
     best = stored(best.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct(), "best")
-    links = stored(_confirmed(best, classes, docs, length, percent), "links")
+    # Every class of a pair has a best one, so these are all sets that any pair needs: texts are exchanged for them once.
+    sets = stored(_sets_of(best, classes, docs, length), "sets")
+    links = stored(_confirmed(best, sets, percent), "links")
     found = components(links)
     rest = stored(_across(counted.where("of_short").select("a", "b").join(best, ["a", "b"], "left_anti"), found), "rest")
     more = [links]
     if not rest.isEmpty():
-        more.append(stored(_confirmed(rest, classes, docs, length, percent), "links"))
+        more.append(stored(_confirmed(rest, sets, percent), "links"))
         found = components(more[0].union(more[1]))
+    discard(sets)
     groups = stored(_unsettled(postings, found, short), "groups")
     if not groups.isEmpty():
         more.append(stored(_settled(groups, classes, docs, length, percent, block_shingles), "links"))
