@@ -101,3 +101,16 @@ def test_numbers(spark):
     moment = lambda s: F.lit(s).cast("timestamp")
     ages = [one(spark, scalars.relative_age(moment(m), moment("2024-02-01 12:00:00"))) for m in ("2024-02-01 11:30:00", "2024-02-01 09:00:00", "2024-01-29 12:00:00", "2023-12-01 00:00:00")]
     assert ages == ["just now", "3h ago", "3d ago", "2023-12-01"]
+
+
+def test_counts_are_written_as_printf_writes_them(spark):
+    numbers = [1_050, 1_150, 1_250, 1_750, 5_250, 8_350, 9_949, 9_950, 9_999, 3_150_000, 14_350_000, 17_150_000, 123_450_000, *range(1_000, 10_000, 7)]
+    made = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", scalars.compact_count(F.col("n")).alias("label"), scalars.dashboard_count(-F.col("n")).alias("other")).collect()
+    for r in made:
+        n = r["n"]
+        assert r["label"] == (f"{n / 1e6:.1f}M" if n >= 1e6 else f"{int(n / 1000 + 0.5)}k" if n >= 1e4 else f"{n / 1e3:.1f}k")
+        size, unit = (n / 1e6, "M") if n >= 1e6 else (n / 1e3, "K")
+        assert r["other"] == (f"-{size:.1f}{unit}" if size < 10 else f"-{size:.0f}{unit}")
+    doubles = [0.0, 0.05, 0.15, 0.25, 0.35, 0.5, 1.5, 2.5, 0.95, 9.95, 1e13 + 0.25, 3e13 + 0.5, 1e15, *[k / 20 for k in range(1, 400)], *[k / 7 for k in range(100)]]
+    told = spark.createDataFrame([(x,) for x in doubles], "x double").select("x", scalars.printed(F.col("x"), 1).alias("one"), scalars.printed(F.col("x"), 0).alias("none")).collect()
+    assert [(r["one"], r["none"]) for r in told] == [(f"{r['x']:.1f}", f"{r['x']:.0f}") for r in told]
