@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sparkloom.operators.publishing import read_text, write_text
 
@@ -58,10 +59,12 @@ def aligned_join(spark: SparkSession, documents: str, vectors: str, key: str) ->
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct runs of three characters of the lower-cased text."""
-    low = F.lower(text)
-    starts = F.when(F.char_length(low) >= 3, F.sequence(F.lit(1), F.char_length(low) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(3))))
+    """Distinct runs of three characters of the lower-cased text.
+
+    The text is cut into its characters once, and bound as the one element of an array: a call that names the text inside a lambda would
+    lower it, and count its characters from the first on, for every place of it."""
+    runs = lambda chars: F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - 2, F.lit(0))), lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2)))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(F.lower(text), "")), runs)))
 
 
 def _block(value: Column, blocks: int) -> Column:
@@ -76,6 +79,7 @@ class TextIndex:
     key: str
     texts: tuple[str, ...]
     blocks: int
+    schema: StructType | None = None  #: of the rows; without it, it is inferred from the files, which an index of no rows hasn't
 
     @classmethod
     def build(cls, rows: DataFrame, key: str, texts: list[str], path: str, blocks: int = BLOCKS) -> TextIndex:
@@ -86,10 +90,21 @@ class TextIndex:
         # A common trigram's postings are dealt over the tasks by id; each task writes them to the trigram's partition.
         dealt = postings.withColumn("block", _block(F.col("gram"), blocks)).repartition(F.col("block"), _block(F.col("id"), 8))
         dealt.sortWithinPartitions("block", "gram").write.mode("overwrite").partitionBy("block").parquet(f"{path}/postings")
-        spark = rows.sparkSession
-        spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/counts")
+        spark, index = rows.sparkSession, cls(path, key, tuple(texts), blocks, rows.schema)
+        index._postings(spark).groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/counts")
         write_text(spark, f"{path}/index.txt", "whole")  # the last: an index without it isn't whole
-        return cls(path, key, tuple(texts), blocks)
+        return index
+
+    def _read(self, spark: SparkSession, part: str, schema: StructType | None) -> DataFrame:
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(f"{self.path}/{part}")
+
+    def _rows(self, spark: SparkSession) -> DataFrame:
+        return self._read(spark, "texts", None if self.schema is None else StructType([*self.schema.fields, StructField("block", IntegerType())]))
+
+    def _postings(self, spark: SparkSession) -> DataFrame:
+        """(gram, id, block)."""
+        kind = None if self.schema is None else self.schema[self.key].dataType
+        return self._read(spark, "postings", None if kind is None else StructType().add("gram", "string").add("id", kind).add("block", IntegerType()))
 
     def candidates(self, spark: SparkSession, needle: str) -> DataFrame | None:
         """(id) of texts that hold the needle's rarest trigrams; None where it has none."""
@@ -97,8 +112,8 @@ class TextIndex:
         grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
         if not grams:
             return None
-        counts = {r["gram"]: r["n"] for r in spark.read.parquet(f"{self.path}/counts").where(F.col("gram").isin(grams)).collect()}  # a row a trigram of the needle
-        postings = spark.read.parquet(f"{self.path}/postings")
+        counts = {r["gram"]: r["n"] for r in spark.read.schema("gram string, n long").parquet(f"{self.path}/counts").where(F.col("gram").isin(grams)).collect()}  # a row a trigram of the needle
+        postings = self._postings(spark)
         if len(counts) < len(grams):
             return postings.select("id").limit(0)
         rarest = sorted(grams, key=lambda g: (counts[g], g))[:RAREST]
@@ -110,7 +125,7 @@ class TextIndex:
         """Rows with a text that holds ``needle`` literally, whatever its case; only the candidates' partitions of texts are read."""
         if read_text(spark, f"{self.path}/index.txt") != "whole":
             raise ValueError(f"{self.path} holds no whole index")
-        rows, found = spark.read.parquet(f"{self.path}/texts"), self.candidates(spark, needle)
+        rows, found = self._rows(spark), self.candidates(spark, needle)
         holds = F.lit(False)
         for c in self.texts:
             holds = holds | F.coalesce(F.contains(F.lower(F.col(c)), F.lit(needle.lower())), F.lit(False))

@@ -62,3 +62,21 @@ def test_a_rare_needle_reads_few_files(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     index = aligned.TextIndex.build(spark.createDataFrame([(1, None)], "id long, body string"), "id", ["body"], str(tmp_path))
     assert index.search(spark, "needle").count() == 0 and index.search(spark, "n").count() == 0
+
+
+def test_no_rows_at_all(spark, tmp_path):
+    index = aligned.TextIndex.build(spark.createDataFrame([], "id long, body string"), "id", ["body"], str(tmp_path))
+    assert index.search(spark, "needle").count() == 0 and index.search(spark, "n").count() == 0
+
+
+def test_trigrams_of_a_long_text_take_one_pass(spark):
+    import time
+
+    long = "".join(chr(97 + i * i % 26) for i in range(200_000))
+    texts = [None, "", "a", "ab", "ABc", "aaaa", "日本語日", "\U0001F600x\U0001F601Yz", "a\nb c", long]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", aligned.trigrams(F.col("t")).alias("grams"))
+    began = time.monotonic()
+    for r in made.collect():
+        low = None if texts[r["i"]] is None else texts[r["i"]].lower()
+        assert (None if r["grams"] is None else sorted(r["grams"])) == (None if low is None else sorted({low[k : k + 3] for k in range(len(low) - 2)}))
+    assert time.monotonic() - began < 30  # by the square of its length, the long text takes minutes
