@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.session import checkpoint_dir
+from sparkloom.session import checkpoint_dir, exploded
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -161,17 +163,34 @@ def principal_components(rows: DataFrame, sample: DataFrame, vector: str, k: int
     return model.transform(centred).withColumn("pca", vector_to_array("p")).drop("v", "p")
 
 
-def _weighed(counts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    """(key, term, u): unit TF-IDF vectors of ``counts`` (key, term, tf) in the terms of ``idf`` (term, idf)."""
-    weighed = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    lengths = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return weighed.join(lengths, key).select(key, "term", (F.col("w") / F.col("length")).alias("u"))
+def _lengths(counts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    """(key, length): lengths of the TF-IDF vectors of ``counts`` (key, term, tf) in the terms of ``idf`` (term, idf)."""
+    w = F.col("tf") * F.col("idf")
+    return counts.join(idf, "term").groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("length"))
+
+
+def _centroid(counts: DataFrame, key: str, idf: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(term, idf, c): sums of unit vectors; a vector's share of them is tf / length, and a term's idf is one factor of all."""
+    shares = counts.join(lengths, key).groupBy("term").agg(F.sum(F.col("tf") / F.col("length")).alias("share"))
+    return shares.join(idf, "term").select("term", "idf", (F.col("share") * F.col("idf")).alias("c"))
+
+
+def _along(counts: DataFrame, key: str, centroid: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(key, d): products of unit vectors and ``centroid``; lengths are divided by last, so no vector is made unit row by row."""
+    d = counts.join(centroid, "term").groupBy(key).agg(F.sum(F.col("tf") * F.col("idf") * F.col("c")).alias("d"))
+    return d.join(lengths, key).select(key, (F.col("d") / F.col("length")).alias("d"))
+
+
+def _kept(frame: DataFrame, name: str) -> DataFrame:
+    """``frame``, written once: what is asked for several times isn't derived again."""
+    path = f"{checkpoint_dir(frame.sparkSession)}/sparkloom-{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def _term_counts(docs: DataFrame, key: str, terms: str) -> DataFrame:
     """(key, term, tf), stored: terms are derived from texts, which is the dear part, and counts are asked for several times."""
-    checkpoint_dir(docs.sparkSession)
-    return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")).checkpoint()
+    return _kept(exploded(docs, terms, "term", key).groupBy(key, "term").agg(F.count("*").alias("tf")), "term-counts")
 
 
 def _idf(counts: DataFrame, n: DataFrame, min_df: int, features: int | None) -> DataFrame:
@@ -186,10 +205,11 @@ def tfidf_similarity(docs: DataFrame, key: str, terms: str, min_df: int = 2) ->
     """(key, centroid_similarity): cosine of each document to the mean of all unit TF-IDF vectors."""
     n = docs.agg(F.count("*").alias("n"))
     counts = _term_counts(docs, key, terms)
-    unit = _weighed(counts, key, _idf(counts, n, min_df, None))
-    centroid = unit.groupBy("term").agg(F.sum("u").alias("c")).crossJoin(F.broadcast(n)).select("term", (F.col("c") / F.col("n")).alias("c"))
+    idf = _kept(_idf(counts, n, min_df, None), "idf")
+    lengths = _kept(_lengths(counts, key, idf), "lengths")
+    centroid = _kept(_centroid(counts, key, idf, lengths).crossJoin(F.broadcast(n)).select("term", "idf", (F.col("c") / F.col("n")).alias("c")), "centroid")
     size = centroid.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
-    return unit.join(centroid, "term").groupBy(key).agg(F.sum(F.col("u") * F.col("c")).alias("d")).crossJoin(F.broadcast(size)).select(key, (F.col("d") / F.col("size")).alias("centroid_similarity"))
+    return _along(counts, key, centroid, lengths).crossJoin(F.broadcast(size)).select(key, (F.col("d") / F.col("size")).alias("centroid_similarity"))
 
 
 def recent_similarity(docs: DataFrame, key: str, terms: str, month: int, months: int = 6, min_df: int = 2, features: int = 20_000, least: int = 50) -> DataFrame:
@@ -199,11 +219,11 @@ def recent_similarity(docs: DataFrame, key: str, terms: str, month: int, months:
     before = docs.where((F.col("t") >= month - months) & (F.col("t") < month))
     n = before.agg(F.count("*").alias("n"))
     counts = _term_counts(before, key, terms)
-    idf = _idf(counts, n, min_df, features)
-    centroid = _weighed(counts, key, idf).groupBy("term").agg(F.sum("u").alias("c"))
+    idf = _kept(_idf(counts, n, min_df, features), "idf")
+    centroid = _kept(_centroid(counts, key, idf, _lengths(counts, key, idf)), "centroid")
     size = centroid.agg(F.greatest(F.sqrt(F.sum(F.col("c") * F.col("c"))), F.lit(1e-9)).alias("size"))
     now = docs.where(F.col("t") == month)
-    own = _weighed(now.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), key, idf)
-    scored = own.join(centroid, "term").groupBy(F.col(key).alias("_key")).agg(F.sum(F.col("u") * F.col("c")).alias("d")).crossJoin(F.broadcast(size)).crossJoin(F.broadcast(n))
+    own = _term_counts(now, key, terms)
+    scored = _along(own, key, centroid, _lengths(own, key, idf)).withColumnRenamed(key, "_key").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(n))
     told = scored.select("_key", F.when(F.col("n") > least, F.col("d") / F.col("size")).otherwise(0.0).alias("s"))
     return now.select(key).join(told, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("s", F.lit(0.0)).alias("similarity"))

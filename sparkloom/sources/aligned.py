@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sparkloom.operators.publishing import read_text, write_text
+from sparkloom.session import exploded
 
 #: Partitions of an index's texts, and of its postings.
 BLOCKS = 16
@@ -86,7 +87,7 @@ class TextIndex:
         """Writes an index of the columns ``texts`` of ``rows``. A text's trigrams are few against its length, so postings take one shuffle of ids."""
         rows.withColumn("block", _block(F.col(key), blocks)).repartition("block").write.mode("overwrite").partitionBy("block").parquet(f"{path}/texts")
         grams = F.array_distinct(F.flatten(F.array(*[F.coalesce(trigrams(F.col(c)), F.array().cast("array<string>")) for c in texts])))
-        postings = rows.where(F.col(key).isNotNull()).select(F.explode(grams).alias("gram"), F.col(key).alias("id"))
+        postings = exploded(rows.where(F.col(key).isNotNull()), grams, "gram", key).withColumnRenamed(key, "id")
         # A common trigram's postings are dealt over the tasks by id; each task writes them to the trigram's partition.
         dealt = postings.withColumn("block", _block(F.col("gram"), blocks)).repartition(F.col("block"), _block(F.col("id"), 8))
         dealt.sortWithinPartitions("block", "gram").write.mode("overwrite").partitionBy("block").parquet(f"{path}/postings")

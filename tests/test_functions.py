@@ -114,3 +114,9 @@ def test_counts_are_written_as_printf_writes_them(spark):
     doubles = [0.0, 0.05, 0.15, 0.25, 0.35, 0.5, 1.5, 2.5, 0.95, 9.95, 1e13 + 0.25, 3e13 + 0.5, 1e15, *[k / 20 for k in range(1, 400)], *[k / 7 for k in range(100)]]
     told = spark.createDataFrame([(x,) for x in doubles], "x double").select("x", scalars.printed(F.col("x"), 1).alias("one"), scalars.printed(F.col("x"), 0).alias("none")).collect()
     assert [(r["one"], r["none"]) for r in told] == [(f"{r['x']:.1f}", f"{r['x']:.0f}") for r in told]
+
+
+def test_tokens_are_told_without_a_walk_over_stop_words(spark):
+    made = spark.createDataFrame([("The a1 ab abc 9ab-c of THESE x--- ab 1ab", ), (None,), ("",)], "a string").select(scalars.tokens(F.col("a")).alias("t"))
+    assert [r["t"] for r in made.collect()] == [["abc", "ab-c", "x---"], None, []]
+    assert "array_contains" not in made._jdf.queryExecution().optimizedPlan().toString()

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,17 @@ def test_components_of_small_samples(spark):
     spread = [sum((r["pca"][i] - sum(x["pca"][i] for x in found) / 6) ** 2 for r in found) for i in (0, 1)]
     points = [(i - 2.5, i * i - 55 / 6) for i in range(6)]
     assert sum(spread) == pytest.approx(sum(a * a + b * b for a, b in points)) and spread[0] > spread[1]  # two components hold all that varies
+
+
+def test_tfidf_centroid_shuffles_no_unit_vectors(spark):
+    docs = spark.createDataFrame([(1, ["aa", "bb", "aa"]), (2, ["bb", "cc"]), (3, ["aa", "zz"]), (4, []), (5, None), (2, ["cc"])], "k long, terms array<string>")
+    found = vectors.tfidf_similarity(docs, "k", "terms")
+    # Stored counts meet the centroid, then a row a document: nothing is derived again.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+    n, tf = 6, {1: {"aa": 2, "bb": 1}, 2: {"bb": 1, "cc": 2}, 3: {"aa": 1, "zz": 1}}
+    df = {t: sum(t in c for c in tf.values()) for t in ("aa", "bb", "cc", "zz")}
+    w = {k: {t: x * (math.log((1 + n) / (1 + df[t])) + 1) for t, x in c.items() if df[t] >= 2} for k, c in tf.items()}
+    unit = {k: {t: x / math.hypot(*c.values()) for t, x in c.items()} for k, c in w.items()}
+    centre = {t: sum(u.get(t, 0) for u in unit.values()) / n for t in df}
+    size = math.hypot(*centre.values())
+    assert {r["k"]: r["centroid_similarity"] for r in found.collect()} == pytest.approx({k: sum(x * centre[t] for t, x in u.items()) / size for k, u in unit.items()})
