@@ -185,3 +185,13 @@ def test_tfidf_centroid_shuffles_no_unit_vectors(spark):
     centre = {t: sum(u.get(t, 0) for u in unit.values()) / n for t in df}
     size = math.hypot(*centre.values())
     assert {r["k"]: r["centroid_similarity"] for r in found.collect()} == pytest.approx({k: sum(x * centre[t] for t, x in u.items()) / size for k, u in unit.items()})
+
+
+def test_recent_similarity_makes_no_unit_vectors(spark):
+    docs = spark.createDataFrame([(1, 1, ["aa", "bb"]), (2, 2, ["bb", "aa", "aa"]), (3, 3, ["aa", "cc"]), (4, 3, ["cc"]), (5, 3, None)], "k long, t int, terms array<string>")
+    found = vectors.recent_similarity(docs, "k", "terms", 3, 2, least=1)
+    # Documents meet their own product; that is stored counts with a centroid and a length: no counts of the months before are in the plan.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 6
+    first, second = (1, 1), (2, 1)  # both terms are in both documents, so their weights are equal
+    centre = [a / math.hypot(*first) + b / math.hypot(*second) for a, b in zip(first, second, strict=True)]
+    assert {r["k"]: r["similarity"] for r in found.collect()} == pytest.approx({3: centre[0] / math.hypot(*centre), 4: 0.0, 5: 0.0})
