@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.session import checkpoint_dir, exploded
+from sparkloom.session import exploded, kept
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -181,16 +179,9 @@ def _along(counts: DataFrame, key: str, centroid: DataFrame, lengths: DataFrame)
     return d.join(lengths, key).select(key, (F.col("d") / F.col("length")).alias("d"))
 
 
-def _kept(frame: DataFrame, name: str) -> DataFrame:
-    """``frame``, written once: what is asked for several times isn't derived again."""
-    path = f"{checkpoint_dir(frame.sparkSession)}/sparkloom-{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def _term_counts(docs: DataFrame, key: str, terms: str) -> DataFrame:
     """(key, term, tf), stored: terms are derived from texts, which is the dear part, and counts are asked for several times."""
-    return _kept(exploded(docs, terms, "term", key).groupBy(key, "term").agg(F.count("*").alias("tf")), "term-counts")
+    return kept(exploded(docs, terms, "term", key).groupBy(key, "term").agg(F.count("*").alias("tf")), "term-counts")
 
 
 def _idf(counts: DataFrame, n: DataFrame, min_df: int, features: int | None) -> DataFrame:
@@ -205,9 +196,9 @@ def tfidf_similarity(docs: DataFrame, key: str, terms: str, min_df: int = 2) ->
     """(key, centroid_similarity): cosine of each document to the mean of all unit TF-IDF vectors."""
     n = docs.agg(F.count("*").alias("n"))
     counts = _term_counts(docs, key, terms)
-    idf = _kept(_idf(counts, n, min_df, None), "idf")
-    lengths = _kept(_lengths(counts, key, idf), "lengths")
-    centroid = _kept(_centroid(counts, key, idf, lengths).crossJoin(F.broadcast(n)).select("term", "idf", (F.col("c") / F.col("n")).alias("c")), "centroid")
+    idf = kept(_idf(counts, n, min_df, None), "idf")
+    lengths = kept(_lengths(counts, key, idf), "lengths")
+    centroid = kept(_centroid(counts, key, idf, lengths).crossJoin(F.broadcast(n)).select("term", "idf", (F.col("c") / F.col("n")).alias("c")), "centroid")
     size = centroid.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
     return _along(counts, key, centroid, lengths).crossJoin(F.broadcast(size)).select(key, (F.col("d") / F.col("size")).alias("centroid_similarity"))
 
@@ -219,8 +210,8 @@ def recent_similarity(docs: DataFrame, key: str, terms: str, month: int, months:
     before = docs.where((F.col("t") >= month - months) & (F.col("t") < month))
     n = before.agg(F.count("*").alias("n"))
     counts = _term_counts(before, key, terms)
-    idf = _kept(_idf(counts, n, min_df, features), "idf")
-    centroid = _kept(_centroid(counts, key, idf, _lengths(counts, key, idf)), "centroid")
+    idf = kept(_idf(counts, n, min_df, features), "idf")
+    centroid = kept(_centroid(counts, key, idf, _lengths(counts, key, idf)), "centroid")
     size = centroid.agg(F.greatest(F.sqrt(F.sum(F.col("c") * F.col("c"))), F.lit(1e-9)).alias("size"))
     now = docs.where(F.col("t") == month)
     own = _term_counts(now, key, terms)
