@@ -25,3 +25,9 @@ def test_state_as_of_meets_no_month_with_every_earlier_one(spark):
     for r in rows:
         back = [r["obs"] - t for d, t in cites if d == r["paper"] and r["obs"] is not None and t < r["obs"]]
         assert (r["degree"], r["vel12"], r["recent6"], r["prior6"]) == (len(back), sum(b <= 12 for b in back), sum(b <= 6 for b in back), sum(7 <= b <= 12 for b in back))
+
+
+def test_momentum_reads_stored_edges(spark):
+    edges, nodes = drawn(spark)
+    found = graph.reference_momentum(edges, nodes, 60)
+    assert "Range (" not in plan(found) and found.count() == edges.where("t_src = 60").select("src").distinct().count()
