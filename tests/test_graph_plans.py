@@ -31,3 +31,8 @@ def test_momentum_reads_stored_edges(spark):
     edges, nodes = drawn(spark)
     found = graph.reference_momentum(edges, nodes, 60)
     assert "Range (" not in plan(found) and found.count() == edges.where("t_src = 60").select("src").distinct().count()
+
+
+def test_hubs_read_stored_degrees(spark):
+    edges, nodes = drawn(spark)
+    assert "Range (" not in plan(graph.hubs(nodes, edges, 60))
