@@ -36,3 +36,8 @@ def test_momentum_reads_stored_edges(spark):
 def test_hubs_read_stored_degrees(spark):
     edges, nodes = drawn(spark)
     assert "Range (" not in plan(graph.hubs(nodes, edges, 60))
+
+
+def test_attention_derives_edges_once_more_than_its_hubs(spark):
+    edges, nodes = drawn(spark)
+    assert plan(graph.elite_attention(edges, graph.hubs(nodes, edges, 60), 60)).count("Range (") == 1
