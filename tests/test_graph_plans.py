@@ -41,3 +41,7 @@ def test_hubs_read_stored_degrees(spark):
 def test_attention_derives_edges_once_more_than_its_hubs(spark):
     edges, nodes = drawn(spark)
     assert plan(graph.elite_attention(edges, graph.hubs(nodes, edges, 60), 60)).count("Range (") == 1
+
+
+def test_references_meet_before_they_are_summed(spark):
+    assert "RepartitionByExpression" in plan(graph.reference_features(drawn(spark)[0], 60))
