@@ -50,24 +50,31 @@ class Memory(StatefulProcessor):
         fresh = pd.concat(list(rows)).sort_values("moment", kind="stable")
         n, first, last = self.record.get() if self.record.exists() else (0, 0, None)
         before = last
+        # The store answers each call over a socket: whom the author met is read once a batch and told the store once, not asked for every row.
+        held = {k[0] for k in self.others.keys()} if last is not None else set()
+        met = set(held)
         for moment, other in zip(fresh["moment"], fresh["other"], strict=True):
             at = _micros(moment)
             if last is not None and at < last - self.horizon:
                 continue
             if last is None or at > last + self.horizon:
-                self.others.clear()
+                if held:
+                    self.others.clear()
+                held, met = set(), set()
                 n, first, last = 0, at, at
             n, first, last = n + 1, min(first, at), max(last, at)
-            if other is not None and not self.others.containsKey((other,)):
-                self.others.updateValue((other,), (1,))
+            if other is not None:
+                met.add(other)
         if last is None:
             return
+        for other in met - held:
+            self.others.updateValue((other,), (1,))
         self.record.update((n, first, last))
         if last != before:
             if before is not None:
                 self.handle.deleteTimer(self._expiry(before))
             self.handle.registerTimer(self._expiry(last))
-        yield self._told(key[0], n, sum(1 for _ in self.others.keys()), first, last, True)
+        yield self._told(key[0], n, len(met), first, last, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         n, first, last = self.record.get()

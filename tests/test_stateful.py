@@ -95,3 +95,59 @@ def test_answers_within_a_range(spark, tmp_path):
         own = {(a[0], b[0]) for b in answers if a[2] is not None and a[2] == b[2] and a[1] <= b[1] <= a[1] + timedelta(hours=20)}
         expected |= own or ({(a[0], None)} if a[1] + timedelta(hours=20) < mark else set())
     assert found == expected and any(b is None for _, b in found) and any(b is not None for _, b in found)
+
+
+def test_the_store_is_told_whom_an_author_met_once_a_batch():
+    import pandas as pd
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Others:
+        def __init__(self):
+            self.held, self.calls = {}, 0
+
+        def keys(self):
+            self.calls += 1
+            return iter(list(self.held))
+
+        def containsKey(self, key):  # noqa: N802
+            self.calls += 1
+            return key in self.held
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.calls += 1
+            self.held[key] = value
+
+        def clear(self):
+            self.calls += 1
+            self.held = {}
+
+    class Handle:
+        def registerTimer(self, moment):  # noqa: N802
+            return None
+
+        deleteTimer = registerTimer  # noqa: N815
+
+    memory = stateful.Memory(timedelta(days=2))
+    memory.record, memory.others, memory.handle = Value(), Others(), Handle()
+
+    def given(start, hours, names):
+        moments = [pd.Timestamp(start) + pd.Timedelta(hours=h) for h in hours]
+        return next(memory.handleInputRows(("a",), iter([pd.DataFrame({"moment": moments, "other": names})]), None)).iloc[0]
+
+    first = given("2024-01-01", range(100), ["x", "y"] * 50)
+    assert (first["n"], first["deg"]) == (100, 2) and memory.others.calls <= 3
+    second = given("2024-01-05 04:00", [0, 1, 2], ["y", "z", None])
+    assert (second["n"], second["deg"]) == (103, 3) and set(memory.others.held) == {("x",), ("y",), ("z",)}
+    third = given("2024-01-20", [0, 1, 72], ["x", "q", "w"])  # two gaps: all before are forgotten
+    assert (third["n"], third["deg"]) == (1, 1) and set(memory.others.held) == {("w",)}
