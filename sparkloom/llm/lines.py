@@ -160,11 +160,14 @@ def own_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return [segment_key(line, length, *[F.lit(x) for x in place], edits) for place in _places(edits)[: edits + 1]]
 
 
-def posted(lines: DataFrame, line: str, edits: int, scope: str | None = None) -> DataFrame:
-    """``lines`` without ``line`` but with ``place`` and ``key``: a row for each place of ``_places``, numbered from 0.
+def posted(lines: DataFrame, line: str, edits: int, scope: str | None = None, partner: str | None = None) -> DataFrame:
+    """``lines`` without ``line`` but with ``place`` and ``key``: a row for each place of ``_places``, numbered from 0; with ``partner``,
+    the length of all lines that are met, only for places in lines so long.
 
     Places are exploded before their keys are worked out, so that one short expression serves all."""
     places = F.array(*[F.struct(F.lit(n).alias("place"), *[F.lit(x).alias(c) for x, c in zip(p, ("shorter_by", "i", "move"), strict=True)]) for n, p in enumerate(_places(edits))])
+    if partner is not None:
+        places = F.filter(places, lambda p: p["shorter_by"] == F.char_length(line) - F.col(partner))
     each = lines.withColumn("at", F.explode(places))
     key = segment_key(F.col(line), F.char_length(line), F.col("at.shorter_by"), F.col("at.i"), F.col("at.move"), edits, None if scope is None else F.col(scope))
     return each.select(*[c for c in lines.columns if c != line], F.col("at.place").alias("place"), key.alias("key"))
@@ -233,14 +236,14 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def _cores(members: DataFrame) -> DataFrame:
-    """(scope, doc_id, number, s, letters, n) with what all ``n`` members of a scope have in common at both ends taken off ``s``; edit
-    distances within a scope stay the same."""
+    """(scope, doc_id, number, s, n, least, letters) with what all ``n`` members of a scope have in common at both ends taken off ``s``, of whose
+    lengths ``least`` is the smallest; edit distances within a scope stay the same."""
     back = F.reverse("s")
     ends = members.groupBy("scope").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"), F.min(F.char_length("s")).alias("least"), F.count("*").alias("n"))
     head = _common(F.col("low"), F.col("high"))
-    ends = ends.select("scope", head.alias("head"), F.least(_common(F.col("back_low"), F.col("back_high")), F.col("least") - head).alias("tail"), "n")
+    ends = ends.select("scope", head.alias("head"), F.least(_common(F.col("back_low"), F.col("back_high")), F.col("least") - head).alias("tail"), "least", "n")
     joined = members.join(ends, "scope")
-    inner = joined.select("scope", "doc_id", "number", F.substring("s", F.col("head") + 1, F.char_length("s") - F.col("head") - F.col("tail")).alias("s"), "n")
+    inner = joined.select("scope", "doc_id", "number", F.substring("s", F.col("head") + 1, F.char_length("s") - F.col("head") - F.col("tail")).alias("s"), "n", (F.col("least") - F.col("head") - F.col("tail")).alias("least"))
     return inner.withColumn("letters", letter_counts(F.col("s")))
 
 
@@ -302,7 +305,10 @@ def _common_segments(docs: DataFrame, firsts: DataFrame, hot: DataFrame, edits:
     Lines that share a segment are compared by the rest of them: with the segment taken out, and without what all
     have in common at both ends. Rests of up to ``core`` characters meet each other, where more than ``few`` share a
     segment by their forms; longer ones meet by segments of their own, and so on where more than ``few`` share one. A rest loses a third of
-    its length each time."""
+    its length each time.
+
+    A key is of one length of line, and of each pair that it has to find one is so long. Rests of those are a scope's shortest, so a
+    rest is posted only at places that it has against rests of that length."""
     all_lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "raw")).select("doc_id", "number", _trimmed(F.col("raw")).alias("line"))
     # A key is of lines of one length, so only those up to as many longer as edits allow can have it.
     lengths = hot.select(F.explode(F.sequence("length", F.col("length") + edits)).alias("length")).distinct()
@@ -322,10 +328,11 @@ def _common_segments(docs: DataFrame, firsts: DataFrame, hot: DataFrame, edits:
         _, start, size = _segment(F.char_length("s"), at["shorter_by"], at["i"], at["move"], edits)
         rest = F.concat(F.substring(F.col("s"), F.lit(1), start - 1), F.lit("\n"), F.substring(F.col("s"), start + size, F.char_length("s")))
         cores = stored(_cores(joined.select(F.col("key").alias("scope"), "doc_id", "number", rest.alias("s")).distinct()), "cores")
-        short = cores.where(F.char_length("s") <= core + edits)
+        short = cores.where(F.col("least") <= core)
         short = _near_first(short.where(F.col("n") > few)).union(_few_pairs(short.where(F.col("n") <= few), edits))
-        long = cores.where(F.char_length("s") > core)
-        deeper = stored(posted(long.select("doc_id", "number", "letters", "scope", F.col("s"), F.col("s").alias("cut")), "cut", edits, "scope").withColumnRenamed("scope", "own_scope"), "deeper")
+        long = cores.where(F.col("least") > core)
+        deeper = posted(long.select("doc_id", "number", "letters", "scope", F.col("s"), F.col("s").alias("cut"), "least"), "cut", edits, "scope", "least")
+        deeper = stored(deeper.drop("least").withColumnRenamed("scope", "own_scope"), "deeper")
         counts = deeper.where(F.col("place") <= edits).groupBy("key").agg(F.count("*").alias("n"))
         again = stored(counts.where(F.col("n") > few).select("key"), "common-keys")
         light = candidate_pairs(deeper.where(F.col("place") <= edits).join(again, "key", "left_anti"), deeper, edits, rests=True)

@@ -52,3 +52,28 @@ def test_many_variants_of_one_line(spark):
     found = texts_of(frame)
     assert {k for k, v in found.items() if v} == stay
     assert 0 < len(stay) < 4_000
+
+
+def test_rests_are_posted_at_places_of_their_length(spark, monkeypatch):
+    """Against rests of one length a rest has at most five of its twelve places, however many lines share a segment."""
+    rng = random.Random(7)
+    words = [f"word{n}" for n in range(9)]
+
+    def line():
+        cut = list(words)
+        cut[rng.randrange(9)] = rng.choice(["other", "next", "ward", "wordy9"]) + str(rng.randrange(100))
+        return " ".join(cut)
+
+    docs = {i: line() for i in range(80)}
+    docs |= {80 + i: docs[i][:n] + rng.choice(["", "x", "xy"]) + docs[i][n + rng.randrange(2) :] for i in range(20) for n in [rng.randrange(50)]}
+    counts, plain = {}, lines.stored
+
+    def counted(frame, name):
+        made = plain(frame, name)
+        counts[name] = counts.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(lines, "stored", counted)
+    frame = spark.createDataFrame([(k, v, None, None, 0) for k, v in docs.items()], SCHEMA)
+    assert texts_of(frame, most=3, sample=1) == lines_brute(docs)
+    assert counts["cores"] > 100 and 0 < counts["deeper"] <= 5 * counts["cores"]
