@@ -59,6 +59,18 @@ def test_pagerank_rounds_start_from_stored_ranks(spark):
     assert _joins(ranks) == 0
 
 
+def test_coauthor_rounds_start_from_stored_ranks(spark):
+    papers = spark.createDataFrame([(1, 0, ["x", "y"]), (2, 0, ["y", "x", "v"]), (3, 0, ["z"]), (4, 5, ["x", "z"])], "id int, t int, authors array<string>")
+    ranks = graph.coauthor_pagerank(papers, 5, 3)
+    w = np.array([[0, 2, 1], [2, 0, 1], [1, 1, 0]])  # x, y, v
+    rank = np.full(3, 1.0)
+    for _ in range(3):
+        rank = 0.85 * (w / w.sum(axis=0)) @ rank + 0.15
+    found = {r["author"]: r["rank"] for r in ranks.collect()}
+    assert [found[x] for x in "xyv"] == pytest.approx(rank, abs=1e-12) and found["z"] == pytest.approx(0.15)
+    assert _joins(ranks) <= 1  # the number of authors
+
+
 def test_memory_forgets_and_keeps_the_old_one(spark):
     schema = "paper_id string, authors array<string>, terms array<string>, t int"
     first = spark.createDataFrame([("a", ["Ada", "Grace"], ["x"], 100), ("b", ["Ada", "Alan"], ["x", "y"], 101), ("o", ["Rip"], ["z"], 80)], schema)
