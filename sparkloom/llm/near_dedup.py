@@ -15,6 +15,7 @@
    component by then are settled whole: full sets of the members outside the list's largest component meet those of all in blocks,
    where intersections are counted by merging the sets' own posting lists, and only a forest of the links leaves a block. Thus no link
    between components is lost, and no pairs of a large group are listed.
+7. Texts and postings are exchanged only if a bitmap of those asked for has them.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing; repeated rows
 are one document; ties of size go by id; an empty table gives no rows; extra columns are ignored.
@@ -48,6 +49,8 @@ ORDER_SAMPLE = 20_000
 FIRST = 2
 #: Pairs a merging task remembers to say each once.
 REMEMBERED = 200_000
+#: Bits of the bitmap by which rows are narrowed before they are exchanged, a power of two; it is broadcast as longs.
+BITS = 1 << 24
 
 _rng = np.random.default_rng(64)
 _A = _rng.integers(0, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,6 +66,18 @@ def signature(values: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     return best
 
 
+def _narrowed(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` isn't among ``wanted`` (one column); all rows of a value stay or go.
+
+    A bitmap of hashes is broadcast, of ``BITS`` bits whatever comes; with many values it only lets more rows through, which the join that
+    follows turns down."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    word, place = F.shiftright("_bit", 6), F.col("_bit").bitwiseAND(F.lit(63)).cast("int")
+    bits = wanted.select(bit(F.col(wanted.columns[0])).alias("_bit")).groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
+    met = rows.withColumn("_bit", bit(F.col(column))).join(F.broadcast(bits), word == F.col("_word"))
+    return met.where(F.call_function("shiftright", F.col("_bits"), place).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
 def _sketches(docs: DataFrame, length: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -199,6 +214,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """(class_id, members): full sets of ``wanted`` (class_id, d1, d2), read from the texts whose set has the class's digest."""
     kind = wanted.schema["class_id"].dataType.simpleString()
     texts = docs.select(docs["doc_id"].alias("of_doc"), docs["text"].alias("own_text"))
+    texts = _narrowed(texts, "of_doc", wanted.select("class_id"))  # texts are what is exchanged most, and few are asked for
     texts = wanted.join(texts, F.col("class_id") == F.col("of_doc")).select("class_id", "d1", "d2", "own_text")
 
     def make(batch: pa.RecordBatch):
@@ -246,14 +262,19 @@ def _unsettled(postings: DataFrame, found: DataFrame, short: int) -> DataFrame:
     """(group_id, class_id, minor): members of long or dealt lists that hold several components, and whether they are outside the
     group's largest one, which needn't be compared within itself. Lists of one first member are one
     group: near copies share most lists, and those mostly begin with the same one, so that a class is in few groups."""
-    of = postings.join(found, F.col("class_id") == F.col("node"), "left").select("token", "class_id", F.col("part").alias("dealt"), F.coalesce("component", "class_id").alias("part"))
+    counts = postings.groupBy("token").agg(F.count("*").alias("m"), (F.min("part") != F.max("part")).alias("in_parts"))
+    listed = _narrowed(postings, "token", counts.where((F.col("m") > short) | F.col("in_parts")).select("token"))
+    of = listed.join(found, F.col("class_id") == F.col("node"), "left").select("token", "class_id", F.col("part").alias("dealt"), F.coalesce("component", "class_id").alias("part"))
+    of = stored(of, "listed")
     lists = of.groupBy("token").agg(
         F.count("*").alias("m"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("class_id").alias("group_id"), (F.min("dealt") != F.max("dealt")).alias("in_parts")
     )
     mixed_lists = lists.where(((F.col("m") > short) | F.col("in_parts")) & (F.col("low") != F.col("high"))).select("token", "group_id")
     members = of.join(mixed_lists, "token").select("group_id", "class_id", "part").distinct()
     largest = members.groupBy("group_id", "part").agg(F.count("*").alias("m")).groupBy("group_id").agg(F.max_by("part", F.struct("m", "part")).alias("largest"))
-    return members.join(largest, "group_id").select("group_id", "class_id", (F.col("part") != F.col("largest")).alias("minor"))
+    groups = stored(members.join(largest, "group_id").select("group_id", "class_id", (F.col("part") != F.col("largest")).alias("minor")), "groups")
+    discard(of)
+    return groups
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -314,18 +335,23 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, matches
     ``length`` words make a shingle; documents link where 100 * shared >= ``percent`` * all shingles."""
     spark = docs.sparkSession
     small_batches(spark)
-    sketches = stored(_sketches(docs, length), "sketches")
+    signed = stored(_sketches(docs, length), "signed-sketches")
     # Differing texts under one repeated id are classes of one id; they go by their own digests.
-    classes = stored(
-        sketches.where("n > 0 AND doc_id IS NOT NULL")
+    signed_classes = stored(
+        signed.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("d1", "d2")
         .agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("signature").alias("signature")),
-        "classes",
+        "signed-classes",
     )
-    postings = stored(_postings(classes, matches, longest), "postings")
+    # Signatures are most of these tables and aren't asked for once pairs are counted.
+    sketches = stored(signed.drop("signature"), "sketches")
+    discard(signed)
+    postings = stored(_postings(signed_classes, matches, longest), "postings")
     small_batches(spark, 4_000)
-    counted = stored(_counted(_merge(postings, percent, short), classes, matches), "pairs")
+    counted = stored(_counted(_merge(postings, percent, short), signed_classes, matches), "pairs")
     small_batches(spark)
+    classes = stored(signed_classes.drop("signature"), "classes")
+    discard(signed_classes)
     order = [F.desc("agree"), "other"]
     ends = counted.select(F.col("a").alias("own"), F.col("b").alias("other"), "agree").union(counted.select("b", "a", "agree"))
     best = ends.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy(*order))).where(F.col("place") <= FIRST)
@@ -340,7 +366,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, matches
         more.append(stored(_confirmed(rest, sets, percent), "links"))
         found = components(more[0].union(more[1]))
     discard(sets)
-    groups = stored(_unsettled(postings, found, short), "groups")
+    groups = _unsettled(postings, found, short)
     if not groups.isEmpty():
         more.append(stored(_settled(groups, classes, docs, length, percent, block_shingles), "links"))
     if len(more) > 1:

@@ -1,7 +1,9 @@
 """Near-dedup, substring dedup, embeddings, line dedup and components against brute force."""
 
+import glob
 import hashlib
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -265,3 +267,28 @@ def test_lines_odd_rows(odd_docs, no_docs):
 def test_kept_digest_of_a_plain_text(spark):
     frame = spark.createDataFrame([(1, " a  b\tc ")], "doc_id long, text string")
     assert digests(frame)[1] == (3, 0, hashlib.sha256(b"a b c").hexdigest())
+
+
+def test_near_duplicates_exchange_only_texts_asked_for(spark):
+    """Of 400 texts two are asked for; the others go before the exchange, but for those that share a bit."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a text of number"), "id").alias("text"))
+    sketches = near_dedup._sketches(docs, 5).where("doc_id IN (7, 300)")
+    wanted = sketches.select(F.col("doc_id").alias("class_id"), "d1", "d2")
+    sets = near_dedup._sets(wanted, docs, 5)
+    assert {r["class_id"] for r in sets.collect()} == {7, 300}
+    assert sets._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    assert near_dedup._narrowed(docs, "doc_id", wanted.select("class_id")).count() == 2
+    assert near_dedup._narrowed(docs, "doc_id", docs.select("doc_id")).count() == 400
+
+
+def test_near_duplicates_leave_no_signatures(spark, copies):
+    frame = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
+    folder = tempfile.mkdtemp(prefix="sparkloom-test-")
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(folder)
+    try:
+        near_dedup.near_duplicates(frame).count()
+        own = glob.glob(f"{folder}/**/sparkloom-*", recursive=True)
+        assert own and not any("signature" in spark.read.parquet(path).columns for path in own if glob.glob(f"{path}/part-*"))
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
