@@ -151,8 +151,12 @@ def _segment(length: Column, shorter_by: Column, i: Column, move: Column, edits:
 
 
 def segment_key(line: Column, length: Column, shorter_by: Column, i: Column, move: Column, edits: int, scope: Column | None = None) -> Column:
+    """The key of a place in ``line`` of ``length`` characters, a column that was worked out before.
+
+    Where characters are bytes, the piece is cut by bytes: a cut by characters counts them from the line's start each time."""
     total, start, size = _segment(length, shorter_by, i, move, edits)
-    return F.xxhash64(*([] if scope is None else [scope]), total, i, F.substring(line, start, size))
+    piece = F.when(F.octet_length(line) == length, F.substring(line.cast("binary"), start, size)).otherwise(F.substring(line, start, size).cast("binary"))
+    return F.xxhash64(*([] if scope is None else [scope]), total, i, piece)
 
 
 def own_keys(line: Column, length: Column, edits: int) -> list[Column]:
@@ -168,8 +172,8 @@ def posted(lines: DataFrame, line: str, edits: int, scope: str | None = None, pa
     places = F.array(*[F.struct(F.lit(n).alias("place"), *[F.lit(x).alias(c) for x, c in zip(p, ("shorter_by", "i", "move"), strict=True)]) for n, p in enumerate(_places(edits))])
     if partner is not None:
         places = F.filter(places, lambda p: p["shorter_by"] == F.char_length(line) - F.col(partner))
-    each = lines.withColumn("at", F.explode(places))
-    key = segment_key(F.col(line), F.char_length(line), F.col("at.shorter_by"), F.col("at.i"), F.col("at.move"), edits, None if scope is None else F.col(scope))
+    each = lines.withColumn("_length", F.char_length(line)).withColumn("at", F.explode(places))
+    key = segment_key(F.col(line), F.col("_length"), F.col("at.shorter_by"), F.col("at.i"), F.col("at.move"), edits, None if scope is None else F.col(scope))
     return each.select(*[c for c in lines.columns if c != line], F.col("at.place").alias("place"), key.alias("key"))
 
 
@@ -200,10 +204,11 @@ def _first_places(docs: DataFrame, least_chars: int, least_exact: int, edits: in
     """(doc_id, number, near, length, keys): the first place of each distinct line, whether near ones count, and if so its keys in
     the index; only hashes are exchanged."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "raw"))
-    lines = lines.select("doc_id", "number", _trimmed(F.col("raw")).alias("line")).where(F.char_length("line") >= least_exact)
-    near = F.char_length("line") >= least_chars
-    keys = [F.when(near, k).alias(f"k{i}") for i, k in enumerate(own_keys(F.col("line"), F.char_length("line"), edits))]
-    hashed = lines.select(F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), near.alias("near"), "doc_id", "number", F.char_length("line").alias("length"), *keys)
+    lines = lines.select("doc_id", "number", _trimmed(F.col("raw")).alias("line"))
+    lines = lines.select("*", F.char_length("line").alias("length")).where(F.col("length") >= least_exact)
+    near = F.col("length") >= least_chars
+    keys = [F.when(near, k).alias(f"k{i}") for i, k in enumerate(own_keys(F.col("line"), F.col("length"), edits))]
+    hashed = lines.select(F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), near.alias("near"), "doc_id", "number", "length", *keys)
     # The running number orders places within a document; equal lines have equal keys, so any of them will do.
     place = F.struct("doc_id", "number")
     firsts = hashed.groupBy("h1", "h2", "near").agg(F.min(place).alias("first"), F.max("length").alias("length"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(edits + 1)])
@@ -313,8 +318,8 @@ def _common_segments(docs: DataFrame, firsts: DataFrame, hot: DataFrame, edits:
     # A key is of lines of one length, so only those up to as many longer as edits allow can have it.
     lengths = hot.select(F.explode(F.sequence("length", F.col("length") + edits)).alias("length")).distinct()
     told = [r["length"] for r in lengths.limit(LENGTHS + 1).collect()]
-    long_enough = F.char_length("line") >= least_chars
-    some = all_lines.where(long_enough & F.char_length("line").isin(told) if len(told) <= LENGTHS else long_enough)
+    length = F.char_length("line")
+    some = all_lines.where(length.isin(told) if len(told) <= LENGTHS else length >= least_chars)  # lines with keys are long enough
     probing = posted(some, "line", edits).join(hot, "key", "left_semi")
     members = probing.join(firsts.select("doc_id", "number"), ["doc_id", "number"])
     members = stored(members.select("doc_id", "number", "place", "key"), "common-segments")
@@ -356,7 +361,8 @@ def near_places(docs: DataFrame, firsts: DataFrame, edits: int, least_chars: int
     if edits != 2 or hot.isEmpty():  # forms are those of two edits
         pairs = candidate_pairs(index, posted(lines, "line", edits), edits)
     else:
-        pairs = candidate_pairs(index.join(hot, "key", "left_anti"), posted(lines, "line", edits), edits)
+        # No key of these is common, so a task's part of the index is looked up as a table of hashes and the many probing rows aren't sorted.
+        pairs = candidate_pairs(index.join(hot, "key", "left_anti").hint("shuffle_hash"), posted(lines, "line", edits), edits)
         pairs = pairs.union(_common_segments(docs, firsts, hot, edits, least_chars, few, core))
     met = _with_line(docs, _with_line(docs, pairs.distinct(), "a"), "b")
     apart = F.abs(F.char_length("line_b") - F.char_length("line_a"))
