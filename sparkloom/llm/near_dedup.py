@@ -12,9 +12,10 @@
 5. The pairs' agreeing coordinates are counted over whole signatures; those above the match threshold
    are confirmed on full sets, best pairs first, and confirmed links are united.
 6. Of short lists, pairs across what is united by then are confirmed next. Long lists, and lists dealt into parts, that are not one
-   component by then are settled whole: full sets of the members outside the list's largest component meet those of all in blocks,
-   where intersections are counted by merging the sets' own posting lists, and only a forest of the links leaves a block. Thus no link
-   between components is lost, and no pairs of a large group are listed.
+   component by then are settled whole: members outside the list's largest component meet all others in blocks, first with a byte of each
+   coordinate. Only the full sets of members with a partner of another component that agrees in ``LEAST`` bytes (a link fails to with a
+   chance of 1e-14) meet again: intersections are counted by merging the sets' own posting lists, and only a forest of the links leaves a
+   block. Thus no link between components is lost, and no pairs of a large group are listed.
 7. Texts and postings are exchanged only if a bitmap of those asked for has them.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing; repeated rows
@@ -29,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import as_bytes, bounded_sample, discard, map_batches, small_batches, stored
@@ -39,6 +40,10 @@ from sparkloom.llm.shingles import mixed, set_digest, shingle_set
 COORDINATES = 128
 MATCHES = 82
 SHORT = 9
+#: Agreeing bytes of two signatures from which on members of a long list meet with their full sets.
+LEAST = 64
+#: Members of one side of a block where signatures' bytes meet.
+BLOCK_MEMBERS = 8_000
 #: Shingles of one side of a block of a long list.
 BLOCK_SHINGLES = 1_000_000
 #: Postings of one token that meet in one task, about.
@@ -259,7 +264,7 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _unsettled(postings: DataFrame, found: DataFrame, short: int) -> DataFrame:
-    """(group_id, class_id, minor): members of long or dealt lists that hold several components, and whether they are outside the
+    """(group_id, class_id, part, minor): members of long or dealt lists that hold several components, theirs, and whether it isn't the
     group's largest one, which needn't be compared within itself. Lists of one first member are one
     group: near copies share most lists, and those mostly begin with the same one, so that a class is in few groups."""
     counts = postings.groupBy("token").agg(F.count("*").alias("m"), (F.min("part") != F.max("part")).alias("in_parts"))
@@ -272,47 +277,96 @@ def _unsettled(postings: DataFrame, found: DataFrame, short: int) -> DataFrame:
     mixed_lists = lists.where(((F.col("m") > short) | F.col("in_parts")) & (F.col("low") != F.col("high"))).select("token", "group_id")
     members = of.join(mixed_lists, "token").select("group_id", "class_id", "part").distinct()
     largest = members.groupBy("group_id", "part").agg(F.count("*").alias("m")).groupBy("group_id").agg(F.max_by("part", F.struct("m", "part")).alias("largest"))
-    groups = stored(members.join(largest, "group_id").select("group_id", "class_id", (F.col("part") != F.col("largest")).alias("minor")), "groups")
+    groups = stored(members.join(largest, "group_id").select("group_id", "class_id", "part", (F.col("part") != F.col("largest")).alias("minor")), "groups")
     discard(of)
     return groups
 
 
-def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, [j, ...]): sets of ``right`` that reach the threshold with left[i], by merging posting lists of the right sets' members."""
-    sizes = np.array([len(x) for x in right], dtype=np.int64)
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, counts): values that left[i] shares with each set of ``right``, if any, by merging posting lists of the right sets' members."""
     values = np.concatenate(right) if right else np.empty(0, np.uint64)
     order = np.argsort(values, kind="stable")
-    values, owners = values[order], np.repeat(np.arange(len(right)), sizes)[order]
+    values, owners = values[order], np.repeat(np.arange(len(right)), np.array([len(x) for x in right], dtype=np.int64))[order]
     for i, own in enumerate(left):
         low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
         times = high - low
         if not times.any():
             continue
         at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        shared = np.bincount(owners[at], minlength=len(right))
-        linked = np.flatnonzero((shared > 0) & (100 * shared >= percent * (len(own) + sizes - shared)))
+        yield i, np.bincount(owners[at], minlength=len(right))
+
+
+def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, [j, ...]): sets of ``right`` that reach the threshold with left[i]."""
+    sizes = np.array([len(x) for x in right], dtype=np.int64)
+    for i, shared in _shared(left, right):
+        linked = np.flatnonzero((shared > 0) & (100 * shared >= percent * (len(left[i]) + sizes - shared)))
         if len(linked):
             yield i, linked
 
 
-def _settled(groups: DataFrame, classes: DataFrame, docs: DataFrame, length: int, percent: int, block_shingles: int) -> DataFrame:
-    """(src, dst): a forest of all links between components of each group: members outside its largest component against all,
-    block against block."""
-    kind = classes.schema["class_id"].dataType.simpleString()
-    wanted = groups.select("class_id").distinct().join(classes.select("class_id", "d1", "d2"), "class_id")
-    sized = groups.join(classes.select("class_id", "n"), "class_id").groupBy("group_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("minor"), F.col("n")).otherwise(0)).alias("n_minor"))
-    blocks = sized.select("group_id", F.ceil(F.col("n") / block_shingles).cast("int").alias("blocks"), F.ceil(F.greatest(F.col("n_minor"), F.lit(1)) / block_shingles).cast("int").alias("minor_blocks"))
-    sets = _sets(wanted, docs, length).toDF("set_id", "members")
+def _dealt(members: DataFrame, sized: DataFrame, most: int) -> DataFrame:
+    """``members`` (group_id, class_id, minor, and more) with low, high and left, once for each block where they meet: those outside the
+    largest component on the left, all on the right. ``sized`` (group_id, n, n_minor): sizes of groups, of which ``most`` a side make a block."""
+    blocks = sized.select("group_id", F.ceil(F.col("n") / most).cast("int").alias("blocks"), F.ceil(F.greatest(F.col("n_minor"), F.lit(1)) / most).cast("int").alias("minor_blocks"))
     block = lambda n: F.pmod(F.xxhash64(F.lit("block"), "class_id"), F.col(n)).cast("int")
-    joined = groups.join(blocks, "group_id").join(sets, F.col("class_id") == F.col("set_id"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda low, high, left: F.struct(low.alias("low"), high.alias("high"), F.lit(left).alias("left"))
-    # A set's copies for both sides come out of one row, so that sets are made and exchanged once.
+    # A member's copies for both sides come out of one row, so that members are made and exchanged once.
     right = F.transform(every("minor_blocks"), lambda low: place(low, F.col("own_block"), False))
     left = F.transform(every("blocks"), lambda high: place(F.col("own_minor"), high, True))
-    numbered = joined.withColumn("own_block", block("blocks")).withColumn("own_minor", block("minor_blocks"))
+    numbered = members.join(blocks, "group_id").withColumn("own_block", block("blocks")).withColumn("own_minor", block("minor_blocks"))
     places = F.when(F.col("minor"), F.concat(right, left)).otherwise(right)
-    dealt = numbered.select("group_id", "class_id", "members", F.explode(places).alias("at")).select("group_id", "class_id", "members", "at.low", "at.high", "at.left")
+    return numbered.select(*members.columns, F.explode(places).alias("at")).select(*members.columns, "at.low", "at.high", "at.left")
+
+
+def _sized(members: DataFrame, size: Column) -> DataFrame:
+    return members.groupBy("group_id").agg(F.sum(size).alias("n"), F.sum(F.when(F.col("minor"), size).otherwise(0)).alias("n_minor"))
+
+
+def _marks(classes: DataFrame) -> DataFrame:
+    """(class_id, n, mark): a byte of each coordinate of the signatures."""
+    kind = classes.schema["class_id"].dataType.simpleString()
+
+    def work(batch: pa.RecordBatch):
+        marks = [row.tobytes() for row in _read(batch.column(2)).astype(np.uint8)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], names=["class_id", "n", "mark"])
+
+    return map_batches(classes.select("class_id", "n", "signature"), work, f"class_id {kind}, n long, mark binary")
+
+
+def _near(groups: DataFrame, marks: DataFrame, least: int, percent: int, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """(group_id, class_id, minor): members of groups with a partner of another component, one of both outside the largest, whose size allows
+    the threshold and whose mark agrees in ``least`` bytes; pairs aren't listed."""
+    kind = groups.schema["class_id"].dataType.simpleString()
+    asked = _narrowed(marks, "class_id", groups.select("class_id").distinct())
+    dealt = _dealt(groups.join(asked, "class_id").select("group_id", "class_id", "part", "minor", "n", "mark"), _sized(groups, F.lit(1)), block_members)
+
+    def meet(table: pa.Table) -> pa.Table:
+        on_left, part, n = (table[c].to_numpy(zero_copy_only=False) for c in ("left", "part", "n"))
+        marks = np.frombuffer(b"".join(table["mark"].to_pylist()), np.uint8).reshape(len(n), -1)
+        tokens = marks.astype(np.uint16) + (np.arange(marks.shape[1], dtype=np.uint16) << np.uint16(8))
+        left, right = np.flatnonzero(on_left), np.flatnonzero(~on_left)
+        near = np.zeros(len(n), dtype=bool)
+        for i, shared in _shared(list(tokens[left]), list(tokens[right])):
+            own = left[i]
+            sizes = n[right]
+            found = (shared >= least) & (part[right] != part[own]) & (100 * np.minimum(sizes, n[own]) >= percent * np.maximum(sizes, n[own]))
+            near[own] = found.any()
+            near[right[found]] = True
+        return table.select(["group_id", "class_id", "minor"]).filter(pa.array(near))
+
+    return dealt.groupBy("group_id", "low", "high").applyInArrow(meet, f"group_id {kind}, class_id {kind}, minor boolean").distinct()
+
+
+def _settled(groups: DataFrame, classes: DataFrame, docs: DataFrame, length: int, percent: int, block_shingles: int) -> DataFrame:
+    """(src, dst): a forest of all links between components of each group: members outside its largest component against all,
+    block against block."""
+    kind = classes.schema["class_id"].dataType.simpleString()
+    wanted = groups.select("class_id").distinct().join(classes.select("class_id", "d1", "d2"), "class_id")
+    sets = _sets(wanted, docs, length).toDF("set_id", "members")
+    members = groups.join(sets, F.col("class_id") == F.col("set_id")).select("group_id", "class_id", "minor", "members")
+    dealt = _dealt(members, _sized(groups.join(classes.select("class_id", "n"), "class_id"), F.col("n")), block_shingles)
 
     def settle(table: pa.Table) -> pa.Table:
         ids, on_left = table["class_id"].to_pylist(), table["left"].to_numpy(zero_copy_only=False)
@@ -351,6 +405,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, matches
     counted = stored(_counted(_merge(postings, percent, short), signed_classes, matches), "pairs")
     small_batches(spark)
     classes = stored(signed_classes.drop("signature"), "classes")
+    marks = stored(_marks(signed_classes), "marks")
     discard(signed_classes)
     order = [F.desc("agree"), "other"]
     ends = counted.select(F.col("a").alias("own"), F.col("b").alias("other"), "agree").union(counted.select("b", "a", "agree"))
@@ -363,15 +418,17 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, matches
     rest = stored(_across(counted.where("of_short").select("a", "b").join(best, ["a", "b"], "left_anti"), found), "rest")
     more = [links]
     if not rest.isEmpty():
-        more.append(stored(_confirmed(rest, sets, percent), "links"))
+        asked = rest.select("a").union(rest.select("b")).distinct()
+        more.append(stored(_confirmed(rest, _narrowed(sets, "class_id", asked), percent), "links"))
         found = components(more[0].union(more[1]))
     discard(sets)
     groups = _unsettled(postings, found, short)
-    if not groups.isEmpty():
-        more.append(stored(_settled(groups, classes, docs, length, percent, block_shingles), "links"))
+    near = stored(_near(groups, marks, min(matches, LEAST), percent), "near")
+    if not near.isEmpty():
+        more.append(stored(_settled(near, classes, docs, length, percent, block_shingles), "links"))
     if len(more) > 1:
         found = components(reduce(DataFrame.union, more))
-    discard(postings, counted, best, rest, groups, *more)
+    discard(postings, counted, best, rest, groups, marks, near, *more)
     told = classes.join(found, F.col("class_id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "class_id").alias("component"))
     return (
         sketches.join(told, ["d1", "d2"], "left")

@@ -292,3 +292,35 @@ def test_near_duplicates_leave_no_signatures(spark, copies):
         assert own and not any("signature" in spark.read.parquet(path).columns for path in own if glob.glob(f"{path}/part-*"))
     finally:
         spark.sparkContext.setCheckpointDir(before)
+
+
+def test_near_duplicates_settle_only_members_with_a_near_partner(spark, copies, monkeypatch):
+    """Documents that share a passage are in long lists, but far from the threshold: their sets meet nobody."""
+    passage = {i for i, text in copies.items() if text and text.startswith("s0 s1 s2 ")}
+    dealt, inner = set(), near_dedup._settled
+    monkeypatch.setattr(near_dedup, "_settled", lambda groups, *more: dealt.update(r["class_id"] for r in groups.collect()) or inner(groups, *more))
+    frame = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
+    rows = near_dedup.near_duplicates(frame, length=4, short=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == near_brute(copies, 4)[0]
+    assert len(passage) == 20 and not dealt & passage
+
+
+def test_near_partners_match_brute_force(spark):
+    """Members in blocks of 5 against all pairs, with agreements around the least one and sizes that rule pairs out."""
+    rng = random.Random(8)
+    groups, marks = [], {}
+    for i in range(60):
+        mark = [rng.randrange(256) if rng.random() < 0.3 else k for k in range(128)]
+        marks[i] = (rng.choice([10, 11, 30]), bytes(mark))
+        groups += [(g, i, i % 7, i % 7 != 0) for g in (0, 1) if rng.random() < 0.6]
+    agree = lambda x, y: sum(a == b for a, b in zip(marks[x][1], marks[y][1], strict=True))
+    fits = lambda x, y: 100 * min(marks[x][0], marks[y][0]) >= 80 * max(marks[x][0], marks[y][0])
+    met = lambda a, b: a[0] == b[0] and a[2] != b[2] and (a[3] or b[3]) and fits(a[1], b[1]) and agree(a[1], b[1]) >= 68
+    expected = {(a[0], a[1]) for a in groups for b in groups if met(a, b)}
+    frame = spark.createDataFrame(groups, "group_id long, class_id long, part long, minor boolean")
+    told = spark.createDataFrame([(i, *m) for i, m in marks.items()], "class_id long, n long, mark binary")
+    for block in (5, 1_000):
+        rows = near_dedup._near(frame, told, 68, 80, block).collect()
+        assert len(rows) == len(expected) and {(r["group_id"], r["class_id"]) for r in rows} == expected
+        assert all(r["minor"] == (r["class_id"] % 7 != 0) for r in rows)
+    assert 10 < len(expected) < len(groups) - 10
