@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom.operators import graph
+from sparkloom.plans import study
 
 
 def drawn(spark):
@@ -45,3 +46,8 @@ def test_attention_derives_edges_once_more_than_its_hubs(spark):
 
 def test_references_meet_before_they_are_summed(spark):
     assert "RepartitionByExpression" in plan(graph.reference_features(drawn(spark)[0], 60))
+
+
+def test_attention_tells_only_lines_of_hubs_apart(spark, sf_dir):
+    told = plan(study.elite_attention(spark, sf_dir))
+    assert "_degree" not in told and told.rindex("Aggregate") < told.index("LeftSemi")
